@@ -1,4 +1,4 @@
-"""Abbreviation rule between normalised names, as column expressions.
+"""Abbreviation rule between normalised names, as SQL expressions over named columns.
 
 A short form is read left to right. It starts on the first character of the long form,
 and every further character must be found later in the current word, at the space that
@@ -8,90 +8,65 @@ a word between two hits may not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 KEY_LENGTH = 3
 
 _Q = r"\\Q$1\\E"
-_NEXT = rf"(?:[^ {_Q}]*+{_Q}|[^ ]*+ {_Q})"
 
 
-def abbrev_pattern(short: Column) -> Column:
+def abbrev_pattern(short: str) -> str:
     """Regex that finds ``short`` as an abbreviation at the start of a longer text.
 
     Possessive gaps stop at the next hit inside a word, so the only choice left to the
     regex engine is when to move on to the next word.
     """
-    first = F.concat(F.lit("^\\Q"), F.substring(short, 1, 1), F.lit("\\E"))
-    rest = F.regexp_replace(F.substring(short, 2, 2**31 - 1), "(?s)(.)", _NEXT)
-    return F.when(short == "", F.lit("")).otherwise(F.concat(first, rest))
+    onward = f"(?:[^ {_Q}]*+{_Q}|[^ ]*+ {_Q})"
+    return rf"""if({short} = '', '', concat(
+        r'^\Q', substring({short}, 1, 1), r'\E',
+        regexp_replace(substring({short}, 2), '(?s)(.)', r'{onward}')))"""
 
 
-def abbreviates(short: Column, long: Column) -> Column:
+def abbreviates(short: str, long: str) -> str:
     """The same rule as a walk over the set of reachable positions.
 
     Takes polynomial time on any input; used where names are too long for the regex.
     """
-
-    def hop(at: Column, char: Column) -> Column:
-        space = F.position(F.lit(" "), long, at + 1)
-        hit = F.position(char, long, at + 1)
-        in_word = F.when((hit > 0) & ((space == 0) | (hit <= space)), hit).otherwise(0)
-        next_word = F.when(
-            (space > 0) & (F.substring(long, space + 1, F.lit(1)) == char), space + 1
-        ).otherwise(0)
-        return F.array(in_word, next_word)
-
-    chars = F.filter(F.split(F.substring(short, 2, 2**31 - 1), ""), lambda c: c != "")
-    reached = F.aggregate(
-        chars,
-        F.array(F.lit(1)),
-        lambda at, char: F.filter(
-            F.array_distinct(F.flatten(F.transform(at, lambda p: hop(p, char)))), lambda p: p > 0
-        ),
-    )
-    same_start = F.substring(short, 1, 1) == F.substring(long, 1, 1)
-    return (short == "") | ((long != "") & same_start & (F.size(reached) > 0))
-
-
-def abbrev_heads(long: Column) -> Column:
+    hit, space = f"position(c, {long}, p + 1)", f"position(' ', {long}, p + 1)"
+    hops = f"""array(
+        if({hit} > 0 and ({space} = 0 or {hit} <= {space}), {hit}, 0),
+        if({space} > 0 and substring({long}, {space} + 1, 1) = c, {space} + 1, 0))"""
+    reached = f"""aggregate(
+        filter(split(substring({short}, 2), ''), c -> c <> ''),
+        array(1),
+        (at, c) -> filter(
+            array_distinct(flatten(transform(at, p -> {hops}))), p -> p > 0))"""
+    return f"""({short} = '' or (
+        {long} <> '' and substring({short}, 1, 1) = substring({long}, 1, 1)
+        and size({reached}) > 0))"""
+
+
+def abbrev_heads(long: str) -> str:
     """Every abbreviation of ``long`` with one to ``KEY_LENGTH`` characters, as an array.
 
     Inside a word the earliest hit of a character reaches whatever a later hit does, so
     one step per distinct character is enough.
     """
-
-    def step(state: Column) -> Column:
-        head, rest = state["head"], state["rest"]
-        word = F.substring_index(rest, " ", 1)
-        beyond = F.substring(rest, F.length(word) + 2, F.length(rest))
-        inside = F.transform(
-            F.array_distinct(F.filter(F.split(word, ""), lambda c: c != "")),
-            lambda c: _state(
-                F.concat(head, c),
-                F.substring(rest, F.position(c, rest) + 1, F.length(rest)),
-            ),
-        )
-        across = F.filter(
-            F.array(
-                _state(F.concat(head, F.lit(" ")), beyond),
-                _state(
-                    F.concat(head, F.substring(beyond, 1, 1)),
-                    F.substring(beyond, 2, 2**31 - 1),
-                ),
-            ),
-            lambda s: F.contains(rest, F.lit(" ")),
-        )
-        return F.concat(inside, across)
-
-    level = F.array(_state(F.substring(long, 1, 1), F.substring(long, 2, 2**31 - 1)))
-    heads = [F.transform(level, lambda s: s["head"])]
+    word = "substring_index(s.rest, ' ', 1)"
+    beyond = f"length({word}) + 2"
+    step = f"""concat(
+        transform(
+            array_distinct(filter(split({word}, ''), c -> c <> '')),
+            c -> named_struct('head', concat(s.head, c),
+                              'rest', substring(s.rest, position(c, s.rest) + 1))),
+        filter(
+            array(
+                named_struct('head', concat(s.head, ' '), 'rest', substring(s.rest, {beyond})),
+                named_struct('head', concat(s.head, substring(s.rest, {beyond}, 1)),
+                             'rest', substring(s.rest, {beyond} + 1))),
+            z -> contains(s.rest, ' ')))"""
+    levels = [
+        f"""array(named_struct('head', substring({long}, 1, 1), 'rest', substring({long}, 2)))"""
+    ]
     for _ in range(KEY_LENGTH - 1):
-        level = F.flatten(F.transform(level, step))
-        heads.append(F.transform(level, lambda s: s["head"]))
-    return F.filter(F.array_distinct(F.flatten(F.array(*heads))), lambda h: h != "")
-
-
-def _state(head: Column, rest: Column) -> Column:
-    return F.struct(head.alias("head"), rest.alias("rest"))
+        levels.append(f"flatten(transform({levels[-1]}, s -> {step}))")
+    heads = ", ".join(f"transform({level}, s -> s.head)" for level in levels)
+    return f"filter(array_distinct(concat({heads})), h -> h <> '')"

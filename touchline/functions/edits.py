@@ -1,14 +1,11 @@
-"""Keys that turn "within two edits" into an equality, as column expressions."""
+"""Keys that turn "within two edits" into an equality, as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 MAX_EDITS = 2
 
 
-def edit_keys(text: Column, k: int = MAX_EDITS) -> Column:
+def edit_keys(text: str, k: int = MAX_EDITS) -> str:
     """Array of (key, masked, deleted) for up to ``k`` characters touched in ``text``.
 
     A key is the text without the touched characters, led by the positions of the masked
@@ -16,88 +13,52 @@ def edit_keys(text: Column, k: int = MAX_EDITS) -> Column:
     count plus both deletion counts is at most ``k``: a mask at the same place on both
     sides is a substitution, a deletion on one side is an insertion on the other.
     """
-    length = F.length(text)
-
-    def key(masks: list[Column], rest: Column, deleted: int) -> Column:
-        lead = F.concat_ws(",", *[m.cast("string") for m in masks]) if masks else F.lit("")
-        return F.struct(
-            F.concat(lead, F.lit(":"), rest).alias("key"),
-            F.lit(len(masks)).alias("masked"),
-            F.lit(deleted).alias("deleted"),
-        )
-
-    def without(source: Column, at: Column) -> Column:
-        return F.concat(
-            F.substring(source, F.lit(1), at - 1), F.substring(source, at + 1, length)
-        )
-
-    keys = [F.array(key([], text, 0))]
-    positions = F.filter(F.sequence(F.lit(0), length), lambda i: i > 0)
+
+    def key(masks: str, rest: str, masked: int, deleted: int) -> str:
+        return f"""named_struct('key', concat({masks}, ':', {rest}),
+                                'masked', {masked}, 'deleted', {deleted})"""
+
+    def cut(source: str, at: str) -> str:
+        return f"concat(substring({source}, 1, {at} - 1), substring({source}, {at} + 1))"
+
+    positions = f"filter(sequence(0, length({text})), p -> p > 0)"
+    keys = [f"array({key(repr(''), text, 0, 0)})"]
     if k >= 1:
-        keys.append(
-            F.flatten(
-                F.transform(
-                    positions,
-                    lambda i: F.array(
-                        key([], without(text, i), 1), key([i], without(text, i), 0)
-                    ),
-                )
-            )
-        )
+        one = cut(text, "i")
+        keys.append(f"""flatten(transform({positions}, i -> array(
+            {key("''", one, 0, 1)}, {key("i", one, 1, 0)})))""")
     if k >= 2:
+        two = cut(cut(text, "j"), "i")
+        keys.append(f"""flatten(transform({positions}, i -> flatten(transform(
+            filter({positions}, p -> p > i), j -> array(
+                {key("''", two, 0, 2)}, {key("j - 1", two, 1, 1)},
+                {key("i", two, 1, 1)}, {key("i, ',', j", two, 2, 0)})))))""")
+    return f"concat({', '.join(keys)})"
+
+
+# Start and width of one of three near-equal segments of a text with ``n`` characters.
+_PARTS = MAX_EDITS + 1
+_START = f"(n div {_PARTS}) * part + 1"
+_WIDTH = f"if(part < {_PARTS - 1}, n div {_PARTS}, n - (n div {_PARTS}) * part)"
 
-        def pair(i: Column, j: Column) -> Column:
-            rest = without(without(text, j), i)
-            return F.array(
-                key([], rest, 2), key([j - 1], rest, 1), key([i], rest, 1), key([i, j], rest, 0)
-            )
-
-        keys.append(
-            F.flatten(
-                F.transform(
-                    positions,
-                    lambda i: F.flatten(
-                        F.transform(
-                            F.filter(positions, lambda j: j > i), lambda j: pair(i, j)
-                        )
-                    ),
-                )
-            )
-        )
-    return F.concat(*keys)
-
-
-def segment_cuts(length: Column, part: int, parts: int = MAX_EDITS + 1) -> tuple[Column, Column]:
-    """1-based start and width of one of ``parts`` near-equal segments of a text."""
-    width = F.floor(length / parts).cast("int")
-    start = width * part + 1
-    return start, width if part < parts - 1 else (length - width * part).cast("int")
-
-
-def segment_index_keys(text: Column) -> Column:
+
+def _segment_key(segment: str) -> str:
+    # Hashed to keep rows small; every hit is verified afterwards.
+    return f"concat_ws(',', n, part, xxhash64({segment}))"
+
+
+def segment_index_keys(text: str) -> str:
     """Keys of the segments of a dictionary text, one of which survives two edits."""
-    length = F.length(text)
-    return F.array(
-        *[
-            _segment_key(length, part, F.substring(text, *segment_cuts(length, part)))
-            for part in range(MAX_EDITS + 1)
-        ]
-    )
+    segment = f"substring({text}, int({_START}), int({_WIDTH}))"
+    return f"""flatten(transform(array(length({text})), n -> transform(
+        sequence(0, {_PARTS - 1}), part -> {_segment_key(segment)})))"""
 
 
-def segment_probe_keys(text: Column) -> Column:
+def segment_probe_keys(text: str) -> str:
     """Keys under which texts within two edits of ``text`` may be indexed."""
-    keys = []
-    for gap in range(-MAX_EDITS, MAX_EDITS + 1):
-        length = F.length(text) + gap
-        for part in range(MAX_EDITS + 1):
-            start, width = segment_cuts(length, part)
-            for shift in range(-MAX_EDITS, MAX_EDITS + 1):
-                begin = F.greatest(start + shift, F.lit(1))
-                keys.append(_segment_key(length, part, F.substring(text, begin, width)))
-    return F.array_distinct(F.array(*keys))
-
-
-def _segment_key(length: Column, part: int, segment: Column) -> Column:
-    # Hashed to keep rows small; every hit is verified afterwards.
-    return F.concat_ws(",", length.cast("string"), F.lit(part), F.xxhash64(segment))
+    segment = f"substring({text}, int(greatest({_START} + shift, 1)), int({_WIDTH}))"
+    around = f"sequence(-{MAX_EDITS}, {MAX_EDITS})"
+    return f"""array_distinct(flatten(flatten(transform(
+        transform({around}, gap -> length({text}) + gap),
+        n -> transform(sequence(0, {_PARTS - 1}), part -> transform(
+            {around}, shift -> {_segment_key(segment)}))))))"""

@@ -1,92 +1,62 @@
-"""Token overlap between normalised names, as column expressions."""
+"""Token overlap between normalised names, as SQL expressions over named columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def token_count(text: str) -> str:
+    return f"if({text} = '', 0, length({text}) - length(replace({text}, ' ', '')) + 1)"
 
-def token_count(text: Column) -> Column:
-    return F.when(text == "", 0).otherwise(
-        F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
-    )
 
-
-def occurrences(token: Column, text: Column) -> Column:
+def occurrences(token: str, text: str) -> str:
     """How many tokens of ``text`` equal ``token``; 0 for a null token."""
-    padded = F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))
-    around = F.concat(F.lit(" "), token, F.lit(" "))
-    removed = F.length(padded) - F.length(F.replace(padded, around, F.lit("")))
-    return F.coalesce((removed / F.length(around)).cast("int"), F.lit(0))
+    padded = f"concat(' ', replace({text}, ' ', '  '), ' ')"
+    removed = f"length({padded}) - length(replace({padded}, concat(' ', {token}, ' '), ''))"
+    return f"coalesce(int(({removed}) div (length({token}) + 2)), 0)"
 
 
-def token_columns(prefix: str, text: Column) -> list[Column]:
+def token_columns(side: str, text: str) -> list[str]:
     """Token count and first two tokens, precomputed once per row before a join."""
-    second = F.when(F.contains(text, F.lit(" ")), F.split_part(text, F.lit(" "), F.lit(2)))
     return [
-        token_count(text).alias(f"{prefix}_n"),
-        F.substring_index(text, " ", 1).alias(f"{prefix}_t1"),
-        second.alias(f"{prefix}_t2"),
+        f"{token_count(text)} as {side}_n",
+        f"substring_index({text}, ' ', 1) as {side}_t1",
+        f"if(contains({text}, ' '), split_part({text}, ' ', 2), null) as {side}_t2",
     ]
 
 
-def tokens_agree(threshold: float, long_repeats: bool) -> Column:
+def tokens_agree(threshold: float, long_repeats: bool) -> str:
     """Equal token pairs over the product of the token counts reach ``threshold``.
 
     Reads the columns x, y and those of ``token_columns``. If both sides have more than
     two tokens the rule can hold only where both repeat one; ``long_repeats`` says
     whether the dictionary has such names.
     """
-    x, y, nx, ny = (F.col(c) for c in ("x", "y", "x_n", "y_n"))
-
-    def same(a: str, b: str) -> Column:
-        return F.coalesce((F.col(a) == F.col(b)).cast("int"), F.lit(0))
-
-    pairs = (
-        same("x_t1", "y_t1") + same("x_t1", "y_t2") + same("x_t2", "y_t1") + same("x_t2", "y_t2")
-    )
-    hits = (
-        F.when((nx <= 2) & (ny <= 2), pairs)
-        .when(ny <= 2, occurrences(F.col("y_t1"), x) + occurrences(F.col("y_t2"), x))
-        .when(nx <= 2, occurrences(F.col("x_t1"), y) + occurrences(F.col("x_t2"), y))
-    )
-    hits = hits.otherwise(_all_pairs(x, y) if long_repeats else F.lit(0))
-    return (nx > 0) & (ny > 0) & (hits >= F.lit(threshold) * nx * ny)
 
+    def same(a: str, b: str) -> str:
+        return f"coalesce(int({a} = {b}), 0)"
 
-def _all_pairs(x: Column, y: Column) -> Column:
-    return F.aggregate(
-        F.split(x, " "), F.lit(0), lambda total, token: total + occurrences(token, y)
-    )
+    pairs = " + ".join(same(a, b) for a in ("x_t1", "x_t2") for b in ("y_t1", "y_t2"))
+    rest = "0"
+    if long_repeats:
+        rest = f"aggregate(split(x, ' '), 0, (total, t) -> total + {occurrences('t', 'y')})"
+    return f"""(x_n > 0 and y_n > 0 and {threshold}D * x_n * y_n <= case
+        when x_n <= 2 and y_n <= 2 then {pairs}
+        when y_n <= 2 then {occurrences('y_t1', 'x')} + {occurrences('y_t2', 'x')}
+        when x_n <= 2 then {occurrences('x_t1', 'y')} + {occurrences('x_t2', 'y')}
+        else {rest} end)"""
 
 
-def dominant_tokens(text: Column) -> Column:
+def dominant_tokens(text: str) -> str:
     """The tokens, at most two, that make up half of ``text`` or more.
 
     In the sorted tokens such a token covers one of the middle places.
     """
-    ordered = F.array_sort(F.split(text, " "))
-    size = F.size(ordered)
-    middle = F.array(
-        F.element_at(ordered, F.floor((size + 1) / 2).cast("int")),
-        F.element_at(ordered, F.floor(size / 2 + 1).cast("int")),
-    )
-    half = F.filter(
-        F.array_distinct(middle), lambda t: occurrences(t, text) * 2 >= token_count(text)
-    )
-    return F.when(text == "", F.array().cast("array<string>")).when(
-        size == 1, F.array(text)
-    ).otherwise(half)
-
-
-def dominant_pairs(text: Column) -> Column:
+    return f"""filter(
+        flatten(transform(array(array_sort(split({text}, ' '))), o -> array_distinct(array(
+            element_at(o, int((size(o) + 1) div 2)), element_at(o, int(size(o) div 2 + 1)))))),
+        t -> {text} <> '' and {occurrences('t', text)} * 2 >= {token_count(text)})"""
+
+
+def dominant_pairs(text: str) -> str:
     """Each dominant token together with each other token of ``text``."""
-    tokens = F.array_distinct(F.split(text, " "))
-    return F.flatten(
-        F.transform(
-            dominant_tokens(text),
-            lambda t: F.transform(
-                F.filter(tokens, lambda u: u != t), lambda u: F.concat(t, F.lit(" "), u)
-            ),
-        )
-    )
+    return f"""flatten(transform({dominant_tokens(text)}, t -> transform(
+        filter(array_distinct(split({text}, ' ')), u -> u <> t), u -> concat(t, ' ', u))))"""

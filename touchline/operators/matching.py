@@ -33,7 +33,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from touchline.functions import abbrev, edits, tokens
@@ -137,9 +137,7 @@ def match_normalized(
     coded = aliases.filter(F.col("alias_norm").isNotNull()).select(
         "league",
         F.col("alias_norm").alias("y"),
-        (F.shiftleft(F.col("entity_pos").cast("bigint"), _ALIAS_BITS) + F.col("alias_pos")).alias(
-            "place"
-        ),
+        F.expr(f"(bigint(entity_pos) << {_ALIAS_BITS}) + alias_pos").alias("place"),
         "entity",
     )
     if strict:
@@ -151,12 +149,12 @@ def match_normalized(
     if profile.direct_rows:
         small = dictionary
         if profile.index_rows:
-            small = _of_size(dictionary, F.col("size") <= direct_limit)
+            small = _of_size(dictionary, f"size <= {direct_limit}")
         found.append(_match_direct(names, small, strategies, profile, broadcast_rows))
     if profile.index_rows:
         large = dictionary
         if profile.direct_rows:
-            large = _of_size(dictionary, F.col("size") > direct_limit)
+            large = _of_size(dictionary, f"size > {direct_limit}")
         found.append(_match_indexed(names, large, strategies, profile, broadcast_rows))
     if not found:
         return names.select(
@@ -173,49 +171,60 @@ def match_normalized(
         hits.select(
             "league",
             "x",
-            F.get(strategy_names, F.shiftright("hit", _RANK_BITS).cast("int")).alias("strategy"),
-            F.col("hit").bitwiseAND((1 << _RANK_BITS) - 1).alias("place"),
+            F.get(strategy_names, F.expr(f"int(hit >> {_RANK_BITS})")).alias("strategy"),
+            F.expr(f"hit & {(1 << _RANK_BITS) - 1}L").alias("place"),
         )
         .join(entities, ["league", "place"])
         .select("league", "x", "entity", "strategy")
     )
 
 
-def _of_size(dictionary: DataFrame, condition: Column) -> DataFrame:
+def _of_size(dictionary: DataFrame, condition: str) -> DataFrame:
     sizes = dictionary.groupBy("league").agg(F.count("*").alias("size"))
     return dictionary.join(sizes.filter(condition), "league", "left_semi")
 
 
 def _profile(dictionary: DataFrame, direct_limit: int) -> Row:
     """One row of facts about the dictionary, read before the plan is chosen."""
-    length, words = F.length("y"), tokens.token_count(F.col("y"))
-    repeats = F.size(F.array_distinct(F.split("y", " "))) < words
-    keyed = F.least(length, F.lit(_LONGEST_KEYED)).cast("bigint")
+    words = tokens.token_count("y")
+    keyed = f"bigint(least(length(y), {_LONGEST_KEYED}))"
     per_league = dictionary.groupBy("league").agg(
-        F.count("*").alias("n"),
-        F.sum(2 * keyed * keyed + 8 * keyed + 16).alias("keys"),
-        F.max(length).alias("longest"),
-        F.max(words).alias("wordiest"),
-        F.max(((words > 2) & repeats).cast("int")).alias("repeats"),
-        *[F.max((length == n).cast("int")).alias(f"length_{n}") for n in _SHORT_LENGTHS],
+        F.expr("count(*) as n"),
+        F.expr(f"sum(2 * {keyed} * {keyed} + 8 * {keyed} + 16) as keys"),
+        F.expr("max(length(y)) as longest"),
+        F.expr(f"max({words}) as wordiest"),
+        F.expr(f"max(int({words} > greatest(2, size(array_distinct(split(y, ' ')))))) as repeats"),
+        *[F.expr(f"max(int(length(y) = {n})) as length_{n}") for n in _SHORT_LENGTHS],
     )
-    small = F.col("n") <= direct_limit
     return per_league.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("entities"),
-        F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("direct_rows"),
-        F.coalesce(F.sum(F.when(~small, F.col("keys"))), F.lit(0)).alias("index_rows"),
-        F.coalesce(F.max("longest"), F.lit(0)).alias("longest"),
-        F.coalesce(F.max("wordiest"), F.lit(0)).alias("wordiest"),
-        F.coalesce(F.max("repeats"), F.lit(0)).alias("repeats"),
-        *[F.max(f"length_{n}").alias(f"length_{n}") for n in _SHORT_LENGTHS],
+        F.expr("coalesce(sum(n), 0) as entities"),
+        F.expr(f"coalesce(sum(n) filter (where n <= {direct_limit}), 0) as direct_rows"),
+        F.expr(f"coalesce(sum(keys) filter (where n > {direct_limit}), 0) as index_rows"),
+        *[
+            F.expr(f"coalesce(max({fact}), 0) as {fact}")
+            for fact in ("longest", "wordiest", "repeats")
+        ],
+        *[F.expr(f"max(length_{n}) as length_{n}") for n in _SHORT_LENGTHS],
     ).first()
 
 
-def _abbreviation_test(profile: Row, short: str, long: str) -> Column:
+def _abbreviation_test(profile: Row, short: str, long: str) -> str:
     """The rule as a regex on the columns x_pattern or y_pattern, or as a walk."""
     if profile.longest <= _REGEX_LENGTH and profile.wordiest <= _REGEX_WORDS:
-        return F.rlike(F.col(long), F.col(f"{short}_pattern"))
-    return abbrev.abbreviates(F.col(short), F.col(long))
+        return f"rlike({long}, {short}_pattern)"
+    return abbrev.abbreviates(short, long)
+
+
+def _first_hit(conditions: Sequence[str]) -> str:
+    """Smallest packed hit of a group; a pair without a hit gives null, which min ignores.
+
+    Filtering such pairs would make Spark evaluate the cascade twice, in the join and
+    after it.
+    """
+    cases = " ".join(
+        f"when {condition} then {rank << _RANK_BITS}L" for rank, condition in enumerate(conditions)
+    )
+    return f"min(case {cases} end + place) as hit"
 
 
 # --- leagues with few aliases ---------------------------------------------------------
@@ -234,196 +243,138 @@ def _match_direct(
         right = F.broadcast(right)
     else:
         on = ["league", "salt"]
-        left = left.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALT)).cast("int"))
-        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    rank = F.coalesce(
-        *[
-            F.when(_holds(step, profile), F.lit(rank << _RANK_BITS))
-            for rank, step in enumerate(strategies)
-        ]
-    )
-    # Pairs without a hit carry a null, which min ignores; filtering them here would make
-    # Spark evaluate the cascade twice, in the join and after it.
-    return left.join(right, on).groupBy("league", "x").agg(F.min(rank + F.col("place")).alias("hit"))
+        left = left.selectExpr("*", f"int(pmod(xxhash64(x), {SALT})) as salt")
+        right = right.selectExpr("*", f"explode(sequence(0, {SALT - 1})) as salt")
+    hit = _first_hit([_holds(step, profile) for step in strategies])
+    return left.join(right, on).groupBy("league", "x").agg(F.expr(hit))
 
 
 def _comparable(df: DataFrame, side: str) -> DataFrame:
-    text = F.col(side)
-    return df.select(
+    return df.selectExpr(
         "*",
-        *tokens.token_columns(side, text),
-        F.length(text).alias(f"{side}_length"),
-        F.substring(text, 1, 1).alias(f"{side}_first"),
-        F.when(F.length(text) <= _REGEX_LENGTH, abbrev.abbrev_pattern(text)).alias(
-            f"{side}_pattern"
-        ),
+        *tokens.token_columns(side, side),
+        f"length({side}) as {side}_length",
+        f"substring({side}, 1, 1) as {side}_first",
+        f"if(length({side}) <= {_REGEX_LENGTH}, {abbrev.abbrev_pattern(side)}, null)"
+        f" as {side}_pattern",
     )
 
 
-def _holds(step: Strategy, profile: Row) -> Column:
-    x, y = F.col("x"), F.col("y")
+def _holds(step: Strategy, profile: Row) -> str:
     if step.kind == EXACT:
-        return x == y
+        return "x = y"
     if step.kind == EDIT:
-        near = F.abs(F.col("x_length") - F.col("y_length")) <= step.limit
-        return near & (F.levenshtein(x, y, int(step.limit)) >= 0)
+        k = int(step.limit)
+        return f"(abs(x_length - y_length) <= {k} and levenshtein(x, y, {k}) >= 0)"
     if step.kind == TOKEN:
         return tokens.tokens_agree(step.limit, bool(profile.repeats))
     short, long = ("x", "y") if step.kind == ABBREV else ("y", "x")
-    possible = (F.col("x_first") == F.col("y_first")) & (
-        F.col(f"{short}_length") <= F.col(f"{long}_length")
-    )
-    return (F.col(f"{short}_length") == 0) | (possible & _abbreviation_test(profile, short, long))
+    return f"""({short}_length = 0 or (
+        x_first = y_first and {short}_length <= {long}_length
+        and {_abbreviation_test(profile, short, long)}))"""
 
 
 # --- leagues with many aliases --------------------------------------------------------
 
 
-def _entry(
-    kind: str, key: Column, weight: Column | int = 0, total: Column | int = 0,
-    value: Column | None = None,
-) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"),
-        key.alias("key"),
-        (F.lit(weight) if isinstance(weight, int) else weight).cast("int").alias("weight"),
-        (F.lit(total) if isinstance(total, int) else total).cast("int").alias("total"),
-        (F.lit(None) if value is None else value).cast("string").alias("value"),
-    )
-
-
-_NO_ENTRIES = (
-    "cast(array() as array<struct<kind:string,key:string,weight:int,total:int,value:string>>)"
-)
+def _entry(kind: str, key: str, weight: str = "0", total: str = "0", value: str = "null") -> str:
+    return f"""named_struct('kind', '{kind}', 'key', {key}, 'weight', int({weight}),
+                            'total', int({total}), 'value', string({value}))"""
 
 
-def _when(condition: Column, entries: Column) -> Column:
-    return F.when(condition, entries).otherwise(F.expr(_NO_ENTRIES))
+def _entries_when(condition: str, entries: str) -> str:
+    none = "array<struct<kind:string,key:string,weight:int,total:int,value:string>>"
+    return f"if({condition}, {entries}, cast(array() as {none}))"
 
 
-def _token_entries(text: Column, value: Column | None = None) -> Column:
+def _token_entries(text: str, value: str) -> str:
     count = tokens.token_count(text)
-    return F.concat(
-        F.transform(
-            tokens.dominant_tokens(text),
-            lambda t: _entry("token", t, tokens.occurrences(t, text), count),
-        ),
-        _when(
-            count > 1,
-            F.transform(
-                tokens.dominant_pairs(text), lambda p: _entry("tokens", p, value=value)
-            ),
-        ),
-    )
+    single = _entry("token", "t", tokens.occurrences("t", text), count)
+    double = _entry("tokens", "p", value=value)
+    pairs = f"transform({tokens.dominant_pairs(text)}, p -> {double})"
+    return f"""concat(transform({tokens.dominant_tokens(text)}, t -> {single}),
+                      {_entries_when(f"{count} > 1", pairs)})"""
 
 
-def _edit_entries(
-    text: Column, k: int, segments: Column, value: Column | None = None
-) -> Column:
+def _edit_entries(text: str, k: int, segments: str, value: str) -> str:
     """Both ways overlap by ``MAX_EDITS`` lengths, so that no pair falls between them."""
-    length = F.length(text)
-    return F.concat(
-        _when(
-            length <= _LONGEST_KEYED,
-            F.transform(
-                edits.edit_keys(text, k),
-                lambda e: _entry("edit", e["key"], e["deleted"], e["masked"]),
-            ),
-        ),
-        _when(
-            length > _LONGEST_KEYED - edits.MAX_EDITS,
-            F.transform(segments, lambda s: _entry("segment", s, value=value)),
-        ),
-    )
+    near = _entry("edit", "e.key", "e.deleted", "e.masked")
+    part = _entry("segment", "s", value=value)
+    keyed = f"transform({edits.edit_keys(text, k)}, e -> {near})"
+    split = f"transform({segments}, s -> {part})"
+    return f"""concat(
+        {_entries_when(f"length({text}) <= {_LONGEST_KEYED}", keyed)},
+        {_entries_when(f"length({text}) > {_LONGEST_KEYED - edits.MAX_EDITS}", split)})"""
 
 
-def _index_entries(step: Strategy) -> Column:
-    y = F.col("y")
-    length = F.length(y)
+def _index_entries(step: Strategy) -> str:
     if step.kind == EXACT:
-        return F.array(_entry("exact", y))
+        return f"array({_entry('exact', 'y')})"
     if step.kind == EDIT:
-        return _edit_entries(y, int(step.limit), edits.segment_index_keys(y), y)
+        return _edit_entries("y", int(step.limit), edits.segment_index_keys("y"), "y")
     if step.kind == TOKEN:
-        return _token_entries(y, y)
+        return _token_entries("y", "y")
     if step.kind == ABBREV:
-        heads = abbrev.abbrev_heads(y)
-        return F.concat(
-            F.array(_entry("short", F.lit(""))),
-            F.transform(heads, lambda h: _entry("short", h)),
-            _when(
-                length > abbrev.KEY_LENGTH,
-                F.transform(
-                    F.filter(heads, lambda h: F.length(h) == abbrev.KEY_LENGTH),
-                    lambda h: _entry("head", h, value=y),
-                ),
-            ),
-        )
-    is_long = length > abbrev.KEY_LENGTH
-    return F.array(
-        _entry(
-            "reverse",
-            F.when(is_long, F.substring(y, 1, abbrev.KEY_LENGTH)).otherwise(y),
-            value=F.when(is_long, y),
-        )
-    )
-
-
-def _probe_entries(step: Strategy, profile: Row) -> Column:
-    x = F.col("x")
-    length = F.length(x)
+        heads = abbrev.abbrev_heads("y")
+        full = f"filter({heads}, h -> length(h) = {abbrev.KEY_LENGTH})"
+        verified = f"transform({full}, h -> {_entry('head', 'h', value='y')})"
+        return f"""concat(
+            array({_entry("short", "''")}),
+            transform({heads}, h -> {_entry("short", "h")}),
+            {_entries_when(f"length(y) > {abbrev.KEY_LENGTH}", verified)})"""
+    is_long = f"length(y) > {abbrev.KEY_LENGTH}"
+    return f"""array({_entry(
+        "reverse",
+        f"if({is_long}, substring(y, 1, {abbrev.KEY_LENGTH}), y)",
+        value=f"if({is_long}, y, null)",
+    )})"""
+
+
+def _probe_entries(step: Strategy, profile: Row) -> str:
     if step.kind == EXACT:
-        return F.array(_entry("exact", x))
+        return f"array({_entry('exact', 'x')})"
     if step.kind == EDIT:
-        return _when(
-            length <= profile.longest + edits.MAX_EDITS,
-            _edit_entries(x, int(step.limit), edits.segment_probe_keys(x)),
+        return _entries_when(
+            f"length(x) <= {profile.longest + edits.MAX_EDITS}",
+            _edit_entries("x", int(step.limit), edits.segment_probe_keys("x"), "null"),
         )
     if step.kind == TOKEN:
-        return _token_entries(x)
+        return _token_entries("x", "null")
     if step.kind == ABBREV:
-        return F.when(length <= abbrev.KEY_LENGTH, F.array(_entry("short", x))).otherwise(
-            _when(
-                length <= profile.longest,
-                F.array(_entry("head", F.substring(x, 1, abbrev.KEY_LENGTH))),
-            )
-        )
+        head = _entry("head", f"substring(x, 1, {abbrev.KEY_LENGTH})")
+        longer = _entries_when(f"length(x) <= {profile.longest}", f"array({head})")
+        return f"if(length(x) <= {abbrev.KEY_LENGTH}, array({_entry('short', 'x')}), {longer})"
     # Emit only key lengths that the dictionary has; one-letter keys would be hot.
     present = [n for n in _SHORT_LENGTHS if profile[f"length_{n}"]]
-    heads = F.filter(
-        abbrev.abbrev_heads(x), lambda h: F.length(h).isin(*present, abbrev.KEY_LENGTH)
-    )
-    entries = F.transform(heads, lambda h: _entry("reverse", h))
+    wanted = ", ".join(map(str, [*present, abbrev.KEY_LENGTH]))
+    heads = f"filter({abbrev.abbrev_heads('x')}, h -> length(h) in ({wanted}))"
+    entries = f"transform({heads}, h -> {_entry('reverse', 'h')})"
     if 0 in present:
-        entries = F.concat(F.array(_entry("reverse", F.lit(""))), entries)
+        entries = f"""concat(array({_entry("reverse", "''")}), {entries})"""
     return entries
 
 
-def _confirmed(step: Strategy, profile: Row) -> Column:
+def _confirmed(step: Strategy, profile: Row) -> str:
     """Whether a pair that met on a key of ``step`` is a hit."""
-    met = F.col("kind")
     if step.kind == EXACT:
-        return met == "exact"
+        return "kind = 'exact'"
     if step.kind == EDIT:
         k = int(step.limit)
-        cost = F.col("x_weight") + F.col("y_weight") + F.col("x_total")
-        return ((met == "edit") & (cost <= k)) | (
-            (met == "segment") & (F.levenshtein("x", "y", k) >= 0)
-        )
+        return f"""((kind = 'edit' and x_weight + y_weight + x_total <= {k})
+                    or (kind = 'segment' and levenshtein(x, y, {k}) >= 0))"""
     if step.kind == TOKEN:
-        shares = F.col("x_weight") * F.col("y_weight")
-        needed = F.lit(step.limit) * F.col("x_total") * F.col("y_total")
-        return ((met == "token") & (shares >= needed)) | (
-            (met == "tokens") & tokens.tokens_agree(step.limit, bool(profile.repeats))
-        )
+        return f"""((kind = 'token'
+                     and x_weight * y_weight >= {step.limit}D * x_total * y_total)
+                    or (kind = 'tokens'
+                        and {tokens.tokens_agree(step.limit, bool(profile.repeats))}))"""
     if step.kind == ABBREV:
-        return (met == "short") | ((met == "head") & _abbreviation_test(profile, "x", "y"))
-    return (met == "reverse") & (F.col("y").isNull() | _abbreviation_test(profile, "y", "x"))
+        return f"(kind = 'short' or (kind = 'head' and {_abbreviation_test(profile, 'x', 'y')}))"
+    return f"(kind = 'reverse' and (y is null or {_abbreviation_test(profile, 'y', 'x')}))"
 
 
-def _pattern_for(kind: str, text: Column) -> Column:
-    needed = (F.col("kind") == kind) & (F.length(text) <= _REGEX_LENGTH)
-    return F.when(needed, abbrev.abbrev_pattern(text))
+def _pattern_for(kind: str, text: str) -> str:
+    needed = f"kind = '{kind}' and length({text}) <= {_REGEX_LENGTH}"
+    return f"if({needed}, {abbrev.abbrev_pattern(text)}, null) as {text}_pattern"
 
 
 def _match_indexed(
@@ -433,58 +384,36 @@ def _match_indexed(
     profile: Row,
     broadcast_rows: int,
 ) -> DataFrame:
-    entries = F.concat(*[_index_entries(step) for step in strategies])
+    entries = ", ".join(_index_entries(step) for step in strategies)
     index = (
-        dictionary.select("league", "place", F.explode(entries).alias("e"))
-        .select("league", "place", "e.*")
+        dictionary.selectExpr("league", "place", f"inline(concat({entries}))")
         .groupBy("league", "kind", "key", "weight", "total", "value")
         .agg(F.min("place").alias("place"))
-        .select(
+        .selectExpr(
             "league", "kind", "key", "place",
-            F.col("weight").alias("y_weight"), F.col("total").alias("y_total"),
-            F.col("value").alias("y"),
+            "weight as y_weight", "total as y_total", "value as y",
         )
-    )
-    index = index.select(
-        "*",
-        _pattern_for("reverse", F.col("y")).alias("y_pattern"),
-        *tokens.token_columns("y", F.col("y")),
+        .selectExpr("*", _pattern_for("reverse", "y"), *tokens.token_columns("y", "y"))
     )
     if profile.index_rows <= broadcast_rows:
         index = F.broadcast(index)
 
-    probes = F.concat(*[_probe_entries(step, profile) for step in strategies])
+    probes = f"concat({', '.join(_probe_entries(step, profile) for step in strategies)})"
     if strategies[0].kind == EXACT:
         # Early exit: a text with an exact hit needs no other key.
-        known = dictionary.select("league", F.col("y").alias("x"), F.lit(True).alias("known"))
+        known = dictionary.selectExpr("league", "y as x", "true as known")
         if profile.entities <= broadcast_rows:
             known = F.broadcast(known)
         names = names.join(known, ["league", "x"], "left")
-        probes = F.when(F.col("known"), _probe_entries(strategies[0], profile)).otherwise(probes)
+        probes = f"if(known, {_probe_entries(strategies[0], profile)}, {probes})"
     probed = (
-        names.select("league", "x", F.explode(probes).alias("e"))
-        .select(
-            "league",
-            "x",
-            "e.kind",
-            "e.key",
-            F.col("e.weight").alias("x_weight"),
-            F.col("e.total").alias("x_total"),
-        )
-        .select(
+        names.selectExpr("league", "x", f"inline({probes})")
+        .selectExpr("league", "x", "kind", "key", "weight as x_weight", "total as x_total")
+        .selectExpr(
             "*",
-            _pattern_for("head", F.col("x")).alias("x_pattern"),
-            *tokens.token_columns("x", F.when(F.col("kind") == "tokens", F.col("x"))),
+            _pattern_for("head", "x"),
+            *tokens.token_columns("x", "if(kind = 'tokens', x, null)"),
         )
     )
-    rank = F.coalesce(
-        *[
-            F.when(_confirmed(step, profile), F.lit(rank << _RANK_BITS))
-            for rank, step in enumerate(strategies)
-        ]
-    )
-    return (
-        probed.join(index, ["league", "kind", "key"])
-        .groupBy("league", "x")
-        .agg(F.min(rank + F.col("place")).alias("hit"))
-    )
+    hit = _first_hit([_confirmed(step, profile) for step in strategies])
+    return probed.join(index, ["league", "kind", "key"]).groupBy("league", "x").agg(F.expr(hit))
