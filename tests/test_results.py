@@ -1,0 +1,180 @@
+import json
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.test_matching import alias_frame
+from touchline import schemas
+from touchline.operators import consolidate, feed, results
+from touchline.streaming import jobs
+
+TEAMS = [
+    ("Manchester United", ["Man Utd", "Man United"]),
+    ("Liverpool", ["Liverpool FC"]),
+    ("Chelsea", ["Chelsea FC"]),
+    ("Arsenal", ["Arsenal FC", "The Gunners"]),
+    ("Manchester City", ["Man City"]),
+    ("Tottenham Hotspur", ["Spurs", "Tottenham"]),
+]
+T0 = datetime(2025, 11, 20, 12, 0)
+
+
+def texts(spark, names, league="ENG1"):
+    return spark.createDataFrame([(league, n) for n in names], "league string, name string")
+
+
+def test_match_batch(spark):
+    aliases = alias_frame(spark, {"ENG1": TEAMS})
+    names = [
+        "Man Utd vs Liverpool", "Chelsea v Arsenal", "Man City VS Spurs", "Man City vs. Spurs",
+        "Invalid Team vs Another Invalid", "Invalid Team vs Another Invalid", "Chelsea vs Chelsea",
+        "Chelsea", "a vs b vs c", "  Man Utd   v\tspurs", " vs Liverpool", "Liverpool vs ",
+    ]
+    matched, unmatched = results.match_batch(texts(spark, names), aliases)
+    assert {r.name: r.canonical for r in matched.collect()} == {
+        "Man Utd vs Liverpool": "Manchester United vs Liverpool",
+        "Chelsea v Arsenal": "Chelsea vs Arsenal",
+        "Man City VS Spurs": "Manchester City vs Tottenham Hotspur",
+        "  Man Utd   v\tspurs": "Manchester United vs Tottenham Hotspur",
+        " vs Liverpool": "Manchester United vs Liverpool",
+        "Liverpool vs ": "Liverpool vs Manchester United",
+    }
+    assert sorted(r.name for r in unmatched.collect()) == sorted(
+        ["Man City vs. Spurs", "Invalid Team vs Another Invalid", "Invalid Team vs Another Invalid",
+         "Chelsea vs Chelsea", "Chelsea", "a vs b vs c"]
+    )
+    matched, unmatched = results.match_batch(texts(spark, names, "NOWHERE"), aliases)
+    assert matched.count() == 0 and unmatched.count() == len(names)
+    matched, unmatched = results.match_batch(texts(spark, []), aliases)
+    assert matched.count() == 0 and unmatched.count() == 0
+
+
+def result_rows(spark):
+    rows = [
+        # page, source, pos, date, name, score, minutes
+        (1, "bbc", 0, "2025-11-19", "Man Utd vs Liverpool", "1-0", 0),
+        (1, "bbc", 1, "2025-11-19", "Man United v Liverpool", "2-0", 0),
+        (2, "fishy", 0, "2025-11-19", "Man Utd vs Liverpool FC", "1-1", 5),
+        (3, "fishy", 0, "2025-11-19", "Man Utd vs Liverpool FC", "0-0", 1),
+        (4, "bbc", 0, "2025-11-18", "Spurs vs Gunners", "3-3", 2),
+        (4, "bbc", 1, "2025-11-18", "Nobody vs Knows", "9-9", 2),
+        (5, "bbc", 0, "2025-11-18", "Nobody vs Knows", "9-9", 3),
+    ]
+    return spark.createDataFrame(
+        [(p, s, "ENG1", pos, d, n, sc, T0 + timedelta(minutes=m)) for p, s, pos, d, n, sc, m in rows],
+        schemas.RESULTS,
+    )
+
+
+EXPECTED = {
+    ("Manchester United vs Liverpool", "2025-11-19"): ("2-0", "1-1", 0, 5),
+    ("Tottenham Hotspur vs Arsenal", "2025-11-18"): ("3-3", None, 2, 2),
+}
+
+
+def as_dict(events):
+    minute = lambda t: int((t - T0).total_seconds() // 60)
+    return {
+        (r.name, r.date): (r.bbc_score, r.fishy_score, minute(r.created_at), minute(r.updated_at))
+        for r in events.collect()
+    }
+
+
+def test_consolidation_and_reports(spark):
+    aliases = alias_frame(spark, {"ENG1": TEAMS})
+    annotated = results.annotate_matchups(result_rows(spark), aliases)
+    report = {r.source: r.asDict() for r in results.match_report(annotated).collect()}
+    assert report["bbc"] == dict(
+        source="bbc", league="ENG1", parsed=5, matched=3, unmatched_rows=2, unmatched_names=1
+    )
+    assert report["fishy"]["matched"] == 1
+    assert [tuple(r) for r in results.unmatched_names(annotated).collect()] == [
+        ("bbc", "ENG1", "Nobody vs Knows", 2)
+    ]
+    matched, unmatched = results.resolve_matchups(result_rows(spark), aliases)
+    assert unmatched.count() == 2
+    events = consolidate.consolidate_scores(matched)
+    assert as_dict(events) == EXPECTED
+    assert [tuple(r) for r in consolidate.count_by_league(events).collect()] == [("ENG1", 2)]
+    assert consolidate.events_for_league(events, "X").count() == 0
+    assert consolidate.all_events(events).count() == 2
+
+
+def test_attach_canonical(spark):
+    aliases = alias_frame(spark, {"ENG1": TEAMS})
+    rows = result_rows(spark)
+    matched, _ = results.match_batch(rows, aliases)
+    kept = results.attach_canonical(rows, matched)
+    assert kept.columns == rows.columns
+    assert as_dict(consolidate.consolidate_scores(kept)) == EXPECTED
+
+
+@pytest.fixture()
+def landed(spark, tmp_path):
+    """The result rows as one file per page, later pages first."""
+    rows = result_rows(spark)
+    for page in (3, 5, 1, 2, 4):
+        rows.filter(F.col("page_id") == page).coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "in")
+        )
+    return tmp_path
+
+
+def test_stream_equals_batch_and_replay_changes_nothing(spark, landed):
+    aliases = alias_frame(spark, {"ENG1": TEAMS})
+    source = (
+        spark.readStream.schema(schemas.RESULTS).option("maxFilesPerTrigger", 2)
+        .parquet(str(landed / "in"))
+    )
+    matched = results.attach_canonical(
+        source, results.match_batch(result_rows(spark), aliases)[0]
+    )
+    table = str(landed / "events")
+    jobs.consolidate_stream(matched, table, str(landed / "cp")).awaitTermination()
+    stored = consolidate.read_events(spark, table)
+    assert as_dict(stored) == EXPECTED
+    assert as_dict(consolidate.read_events(spark, table, ["ENG1"])) == EXPECTED
+    assert consolidate.read_events(spark, table, ["ENG2"]).count() == 0
+
+    again = results.resolve_matchups(result_rows(spark), aliases)[0]
+    consolidate.upsert_events(consolidate.consolidate_scores(again), 77, table)
+    consolidate.upsert_events(consolidate.consolidate_scores(again), 77, table)
+    assert as_dict(consolidate.read_events(spark, table)) == EXPECTED
+    consolidate.compact_events(spark, table, str(landed / "compact"))
+    assert as_dict(consolidate.read_events(spark, str(landed / "compact"))) == EXPECTED
+
+
+def test_feed_documents(spark, tmp_path):
+    aliases = alias_frame(spark, {"ENG1": TEAMS})
+    events = consolidate.consolidate_scores(
+        results.resolve_matchups(result_rows(spark), aliases)[0]
+    )
+    codes = spark.createDataFrame([("ENG1",), ('E"2',), ("ENG1",)], "code string")
+    lines = feed.league_feed(events, codes)
+    docs = {}
+    for r in lines.orderBy("league", "part", "date", "name").collect():
+        docs[r.league] = docs.get(r.league, "") + r.line
+    docs = {league: json.loads(text) for league, text in docs.items()}
+    assert docs['E"2'] == {"league": 'E"2', "count": 0, "events": []}
+    assert docs["ENG1"]["count"] == 2
+    assert docs["ENG1"]["events"][0] == {
+        "league": "ENG1", "name": "Tottenham Hotspur vs Arsenal", "date": "2025-11-18",
+        "bbc_score": "3-3", "created_at": 1763640120000, "updated_at": 1763640120000,
+    }
+    feed.write_league_feed(lines, str(tmp_path / "feed"))
+    written = feed.read_league_feed(spark, str(tmp_path / "feed"), "ENG1").collect()
+    assert json.loads("".join(r.value for r in sorted(written, key=lambda r: r.file))) == docs["ENG1"]
+
+
+def test_league_lookup(spark):
+    leagues = spark.createDataFrame(
+        [("A", "old", 0), ("B", "b", 1), ("A", "new", 2)], "code string, bbcName string, league_idx int"
+    )
+    aliases = alias_frame(spark, {"A": [("One", ["Uno"]), ("Two", [])]})
+    codes = spark.createDataFrame([("A",), ("B",), ("Z",)], "code string")
+    got = results.league_lookup(codes, leagues, aliases)
+    assert sorted(map(tuple, got.collect()), key=str) == [
+        ("A", True, "new", 0, "One"), ("A", True, "new", 1, "Two"),
+        ("B", True, "b", None, None), ("Z", False, None, None, None),
+    ]
