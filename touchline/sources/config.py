@@ -26,12 +26,20 @@ def read_entities(spark: SparkSession, path: str, leagues: DataFrame) -> DataFra
 
 def missing_dictionaries(spark: SparkSession, path: str, leagues: DataFrame) -> DataFrame:
     """(league, reason) of the listed leagues without a usable dictionary file."""
-    files = _by_stem(_whole_files(spark, f"{path.rstrip('/')}/*.json"))
-    found = leagues.select(F.col("code").alias("league")).distinct().join(files, "league", "left")
+    return missing_files(_whole_files(spark, f"{path.rstrip('/')}/*.json"), leagues)
+
+
+def missing_files(files: DataFrame, leagues: DataFrame) -> DataFrame:
+    """The same from (path, value) rows."""
+    wanted = leagues.select(F.col("code").alias("league")).distinct()
     reason = F.when(F.col("value").isNull(), "file missing").when(
         F.col("entries").isNull(), "not decodable"
     )
-    return found.select("league", reason.alias("reason")).filter("reason is not null")
+    return (
+        wanted.join(_by_stem(files), "league", "left")
+        .select("league", reason.alias("reason"))
+        .filter("reason is not null")
+    )
 
 
 def decode_leagues(files: DataFrame) -> DataFrame:
