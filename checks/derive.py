@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def by_page(df: DataFrame) -> DataFrame:
+    """Spread rows over as many tasks as a landing table would have files."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
+
+
 # --- dictionary and free-text names from part and lineitem ----------------------------
 
 
@@ -155,7 +160,7 @@ def fixture_pages(spark: SparkSession, sf: str) -> DataFrame:
         '</a></td><td><a class="cats" href="#">', replace(parts[1], '&', '&amp;'),
         '</a></td></tr>')"""
     pages = (
-        rows.selectExpr("*", "split(name, '(?i) vs?[.]? ') as parts")
+        by_page(rows).selectExpr("*", "split(name, '(?i) vs?[.]? ') as parts")
         .selectExpr(
             "page_id", "source", "league", "fetched_at",
             f"struct(pos, if(source = 'bbc', {event}, {row}) as item) as item",
@@ -192,7 +197,7 @@ def order_script_pages(spark: SparkSession, sf: str) -> DataFrame:
         f"struct(o_orderkey, if(o_orderkey % 29 = 0, replace({event}, '\"home\":', '\"home\":1,\"h\":'),"
         f" {event}) as item) as item",
     )
-    by_priority = orders.groupBy("page_id", "o_orderpriority").agg(
+    by_priority = by_page(orders).groupBy("page_id", "o_orderpriority").agg(
         F.expr(
             "array_join(transform(array_sort(collect_list(item)), i -> i.item), ',') as events"
         )
@@ -221,9 +226,10 @@ def order_table_pages(spark: SparkSession, sf: str) -> DataFrame:
             when o_orderkey % 10 = 5 then 'P-P' when o_orderkey % 14 = 3 then ''
             else concat(o_custkey % 2, '-', o_custkey % 4) end,
         '</a></td><td><a href="/u" class="cats">Clerk&#39;s ', o_custkey % 5, '</a></td></tr>')"""
-    pages = table(spark, sf, "orders").selectExpr(
+    orders = table(spark, sf, "orders").selectExpr(
         f"o_orderkey div {PAGE_ORDERS} as page_id", f"struct(o_orderkey, {item} as item) as item"
-    ).groupBy("page_id").agg(
+    )
+    pages = by_page(orders).groupBy("page_id").agg(
         F.expr("array_join(transform(array_sort(collect_list(item)), i -> i.item), '') as rows")
     )
     return _raw(

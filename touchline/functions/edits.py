@@ -5,8 +5,25 @@ from __future__ import annotations
 MAX_EDITS = 2
 
 
-def edit_keys(text: str, k: int = MAX_EDITS) -> str:
-    """Array of (key, masked, deleted) for up to ``k`` characters touched in ``text``.
+def edit_spots(text: str, k: int = MAX_EDITS) -> str:
+    """Array of the places (i, j) of up to ``k`` touched characters; 0 stands for none."""
+    positions = f"sequence(0, length({text}))"
+    if k == 0:
+        return "array(named_struct('i', 0, 'j', 0))"
+    if k == 1:
+        return f"transform({positions}, j -> named_struct('i', 0, 'j', j))"
+    return f"""flatten(transform({positions}, i -> transform(
+        filter({positions}, j -> j > i or i = 0), j -> named_struct('i', i, 'j', j))))"""
+
+
+def untouched(text: str) -> str:
+    """``text`` without the characters at the columns i < j."""
+    return f"""concat(substring({text}, 1, i - 1), substring({text}, i + 1, j - i - 1),
+                      substring({text}, j + 1))"""
+
+
+def edit_keys() -> str:
+    """Array of (key, masked, deleted) for the columns i, j and rest of one spot.
 
     A key is the text without the touched characters, led by the positions of the masked
     ones. Two texts are within ``k`` edits exactly when they share a key and the masked
@@ -14,26 +31,15 @@ def edit_keys(text: str, k: int = MAX_EDITS) -> str:
     sides is a substitution, a deletion on one side is an insertion on the other.
     """
 
-    def key(masks: str, rest: str, masked: int, deleted: int) -> str:
-        return f"""named_struct('key', concat({masks}, ':', {rest}),
+    def key(masks: str, masked: int, deleted: int) -> str:
+        return f"""named_struct('key', concat({masks}, ':', rest),
                                 'masked', {masked}, 'deleted', {deleted})"""
 
-    def cut(source: str, at: str) -> str:
-        return f"concat(substring({source}, 1, {at} - 1), substring({source}, {at} + 1))"
-
-    positions = f"filter(sequence(0, length({text})), p -> p > 0)"
-    keys = [f"array({key(repr(''), text, 0, 0)})"]
-    if k >= 1:
-        one = cut(text, "i")
-        keys.append(f"""flatten(transform({positions}, i -> array(
-            {key("''", one, 0, 1)}, {key("i", one, 1, 0)})))""")
-    if k >= 2:
-        two = cut(cut(text, "j"), "i")
-        keys.append(f"""flatten(transform({positions}, i -> flatten(transform(
-            filter({positions}, p -> p > i), j -> array(
-                {key("''", two, 0, 2)}, {key("j - 1", two, 1, 1)},
-                {key("i", two, 1, 1)}, {key("i, ',', j", two, 2, 0)})))))""")
-    return f"concat({', '.join(keys)})"
+    return f"""case
+        when j = 0 then array({key("''", 0, 0)})
+        when i = 0 then array({key("''", 0, 1)}, {key("j", 1, 0)})
+        else array({key("''", 0, 2)}, {key("j - 1", 1, 1)},
+                   {key("i", 1, 1)}, {key("i, ',', j", 2, 0)}) end"""
 
 
 # Start and width of one of three near-equal segments of a text with ``n`` characters.

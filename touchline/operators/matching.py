@@ -58,7 +58,7 @@ DEFAULT_STRATEGIES = (
     Strategy("token", TOKEN, 0.5),
 )
 
-DIRECT_LIMIT = 64  # aliases of one league compared one by one
+DIRECT_LIMIT = 256  # aliases of one league compared one by one
 BROADCAST_ROWS = 200_000  # dictionary or index rows sent to every executor
 SALT = 16  # parts a league's texts are cut into where the dictionary is not broadcast
 
@@ -163,7 +163,7 @@ def match_normalized(
         ).filter(F.lit(False))
 
     hits = reduce(DataFrame.unionByName, found).filter(F.col("hit").isNotNull())
-    entities = coded.groupBy("league", "place").agg(F.first("entity").alias("entity"))
+    entities = coded.select("league", "place", "entity").distinct()
     if profile.entities <= broadcast_rows:
         entities = F.broadcast(entities)
     strategy_names = F.array(*[F.lit(s.name) for s in strategies])
@@ -179,6 +179,18 @@ def match_normalized(
     )
 
 
+def _spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Exchange with a fixed task count.
+
+    These rows are few bytes but much work, so adaptive execution must not merge their
+    tasks. It also pins what was computed before it: a projection right below a broadcast
+    join is evaluated once per joined pair. Spark drops an exchange on the very columns
+    the rows are already partitioned by, so name them in another order.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *columns)
+
+
 def _of_size(dictionary: DataFrame, condition: str) -> DataFrame:
     sizes = dictionary.groupBy("league").agg(F.count("*").alias("size"))
     return dictionary.join(sizes.filter(condition), "league", "left_semi")
@@ -237,7 +249,8 @@ def _match_direct(
     profile: Row,
     broadcast_rows: int,
 ) -> DataFrame:
-    left, right = _comparable(names, "x"), _comparable(dictionary, "y")
+    left = _spread(_comparable(names, "x"), "x", "league")
+    right = _comparable(dictionary, "y")
     on = ["league"]
     if profile.direct_rows <= broadcast_rows:
         right = F.broadcast(right)
@@ -277,14 +290,33 @@ def _holds(step: Strategy, profile: Row) -> str:
 # --- leagues with many aliases --------------------------------------------------------
 
 
-def _entry(kind: str, key: str, weight: str = "0", total: str = "0", value: str = "null") -> str:
-    return f"""named_struct('kind', '{kind}', 'key', {key}, 'weight', int({weight}),
-                            'total', int({total}), 'value', string({value}))"""
+def _entry(
+    kind: str, base: str, weight: str = "0", total: str = "0", value: str = "null",
+    spot: str = "0, 0",
+) -> str:
+    i, j = spot.split(", ")
+    return f"""named_struct('kind', '{kind}', 'base', {base}, 'weight', int({weight}),
+                            'total', int({total}), 'value', string({value}), 'i', {i}, 'j', {j})"""
 
 
 def _entries_when(condition: str, entries: str) -> str:
-    none = "array<struct<kind:string,key:string,weight:int,total:int,value:string>>"
-    return f"if({condition}, {entries}, cast(array() as {none}))"
+    none = "struct<kind:string,base:string,weight:int,total:int,value:string,i:int,j:int>"
+    return f"if({condition}, {entries}, cast(array() as array<{none}>))"
+
+
+def _keyed(df: DataFrame, text: str, entries: str, *keep: str) -> DataFrame:
+    """One row (kind, key, weight, total, value) per entry of a text.
+
+    The many edit keys are spelled out from their spots in generated code, which the
+    lambdas that make the entries are not.
+    """
+    spelled = f"""case when kind = 'edit' then {edits.edit_keys()}
+        else array(named_struct('key', base, 'masked', total, 'deleted', weight)) end"""
+    return (
+        df.selectExpr(*keep, f"inline({entries})")
+        .selectExpr("*", f"if(kind = 'edit', {edits.untouched(text)}, null) as rest")
+        .selectExpr(*keep, "kind", "value", f"inline({spelled}) as (key, total, weight)")
+    )
 
 
 def _token_entries(text: str, value: str) -> str:
@@ -298,9 +330,9 @@ def _token_entries(text: str, value: str) -> str:
 
 def _edit_entries(text: str, k: int, segments: str, value: str) -> str:
     """Both ways overlap by ``MAX_EDITS`` lengths, so that no pair falls between them."""
-    near = _entry("edit", "e.key", "e.deleted", "e.masked")
+    near = _entry("edit", "string(null)", spot="e.i, e.j")
     part = _entry("segment", "s", value=value)
-    keyed = f"transform({edits.edit_keys(text, k)}, e -> {near})"
+    keyed = f"transform({edits.edit_spots(text, k)}, e -> {near})"
     split = f"transform({segments}, s -> {part})"
     return f"""concat(
         {_entries_when(f"length({text}) <= {_LONGEST_KEYED}", keyed)},
@@ -386,7 +418,13 @@ def _match_indexed(
 ) -> DataFrame:
     entries = ", ".join(_index_entries(step) for step in strategies)
     index = (
-        dictionary.selectExpr("league", "place", f"inline(concat({entries}))")
+        _spread(
+            _keyed(
+                _spread(dictionary, "y", "league"), "y", f"concat({entries})",
+                "league", "y", "place",
+            ),
+            "league", "kind", "key",
+        )
         .groupBy("league", "kind", "key", "weight", "total", "value")
         .agg(F.min("place").alias("place"))
         .selectExpr(
@@ -407,7 +445,7 @@ def _match_indexed(
         names = names.join(known, ["league", "x"], "left")
         probes = f"if(known, {_probe_entries(strategies[0], profile)}, {probes})"
     probed = (
-        names.selectExpr("league", "x", f"inline({probes})")
+        _keyed(_spread(names, "x", "league"), "x", probes, "league", "x")
         .selectExpr("league", "x", "kind", "key", "weight as x_weight", "total as x_total")
         .selectExpr(
             "*",
