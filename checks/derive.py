@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def in_tasks(df: DataFrame) -> DataFrame:
+    """Rows of a small single-file table, spread over all tasks; large tables as they are."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def by_page(df: DataFrame) -> DataFrame:
     """Spread rows over as many tasks as a landing table would have files."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
@@ -92,7 +98,7 @@ def spoiled(name: str, key: str) -> str:
 
 def entity_texts(spark: SparkSession, sf: str, size: int = LEAGUE_PARTS) -> DataFrame:
     """(league, text) of each line item: its part's name, spoiled."""
-    line = table(spark, sf, "lineitem").selectExpr(
+    line = in_tasks(table(spark, sf, "lineitem")).selectExpr(
         "l_partkey as p_partkey", "l_orderkey + l_linenumber * 3 as k"
     )
     return line.join(part_names(spark, sf, size), "p_partkey").selectExpr(
@@ -103,7 +109,7 @@ def entity_texts(spark: SparkSession, sf: str, size: int = LEAGUE_PARTS) -> Data
 def fixtures(spark: SparkSession, sf: str) -> DataFrame:
     """Result rows: each line item's part against another part of the same league."""
     names = part_names(spark, sf)
-    line = table(spark, sf, "lineitem").selectExpr(
+    line = in_tasks(table(spark, sf, "lineitem")).selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey as home_key",
         f"(l_partkey div {LEAGUE_PARTS}) * {LEAGUE_PARTS} + (l_suppkey + l_linenumber)"
         f" % {LEAGUE_PARTS} as away_key",

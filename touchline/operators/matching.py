@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import abbrev, edits, tokens
 from touchline.functions.text import normalized
+from touchline.session import spread
 
 EXACT, EDIT, ABBREV, ABBREV_REVERSE, TOKEN = "exact", "edit", "abbrev", "abbrev_reverse", "token"
 
@@ -179,18 +180,6 @@ def match_normalized(
     )
 
 
-def _spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Exchange with a fixed task count.
-
-    These rows are few bytes but much work, so adaptive execution must not merge their
-    tasks. It also pins what was computed before it: a projection right below a broadcast
-    join is evaluated once per joined pair. Spark drops an exchange on the very columns
-    the rows are already partitioned by, so name them in another order.
-    """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, *columns)
-
-
 def _of_size(dictionary: DataFrame, condition: str) -> DataFrame:
     sizes = dictionary.groupBy("league").agg(F.count("*").alias("size"))
     return dictionary.join(sizes.filter(condition), "league", "left_semi")
@@ -249,7 +238,7 @@ def _match_direct(
     profile: Row,
     broadcast_rows: int,
 ) -> DataFrame:
-    left = _spread(_comparable(names, "x"), "x", "league")
+    left = spread(_comparable(names, "x"), "x", "league")
     right = _comparable(dictionary, "y")
     on = ["league"]
     if profile.direct_rows <= broadcast_rows:
@@ -418,9 +407,9 @@ def _match_indexed(
 ) -> DataFrame:
     entries = ", ".join(_index_entries(step) for step in strategies)
     index = (
-        _spread(
+        spread(
             _keyed(
-                _spread(dictionary, "y", "league"), "y", f"concat({entries})",
+                spread(dictionary, "y", "league"), "y", f"concat({entries})",
                 "league", "y", "place",
             ),
             "league", "kind", "key",
@@ -445,7 +434,7 @@ def _match_indexed(
         names = names.join(known, ["league", "x"], "left")
         probes = f"if(known, {_probe_entries(strategies[0], profile)}, {probes})"
     probed = (
-        _keyed(_spread(names, "x", "league"), "x", probes, "league", "x")
+        _keyed(spread(names, "x", "league"), "x", probes, "league", "x")
         .selectExpr("league", "x", "kind", "key", "weight as x_weight", "total as x_total")
         .selectExpr(
             "*",

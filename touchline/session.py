@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "touchline", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,3 +38,27 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    For rows that several branches of a plan need: without it Spark would run everything
+    below them, page parsing included, once per branch. The table survives the loss of
+    executors, and its size tells the planner whether it may be broadcast.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Exchange with a fixed task count.
+
+    These rows are few bytes but much work, so adaptive execution must not merge their
+    tasks. It also pins what was computed before it: a projection right below a broadcast
+    join is evaluated once per joined pair. Spark drops an exchange on the very columns
+    the rows are already partitioned by, so name them in another order.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *columns)
