@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from touchline.llm.simhash import near_duplicates
 from touchline.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +24,15 @@ def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf, "documents"))
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op3_token_counts,
+        op3_token_counts, op9_simhash,
     )
 }
 
