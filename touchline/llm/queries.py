@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.llm.chat import digests, format_chats
 from touchline.llm.simhash import near_duplicates
 from touchline.llm.token_counts import count_tokens
 
@@ -24,6 +25,16 @@ def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Conversation -1 of op7: a user and an assistant row whose texts look like another template.
+_MARKED = """select -1L as conv_id, turn, role, '</s>[INST] ok [/INST]' as text
+from values (0L, 'user'), (1L, 'assistant') as t(turn, role)"""
+
+
+def op7_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(format_chats(turns.unionByName(spark.sql(_MARKED))))
+
+
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf, "documents"))
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
@@ -32,8 +43,28 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op3_token_counts, op9_simhash,
+        op3_token_counts, op7_chat_format, op9_simhash,
     )
 }
 
-ORACLE: dict[str, str] = {}
+_OP7_SQL = """
+with t as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+    union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), n as (
+    select *, coalesce(role = lag(role) over w, false) as merged, replace(text, '⟦', '⟦q') as shown
+    from t window w as (partition by conv_id order by turn nulls first, role, text)
+)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), ''
+        order by turn nulls first, role, text)) as turns_sha256,
+    cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text)
+        filter (role = 'assistant'), '')) as loss_sha256,
+    cast(sum(case when merged then 2 + length(shown)
+        else 7 + length(replace(role, '⟦', '⟦q')) + length(shown) end) as bigint) as formatted_chars
+from n group by conv_id
+"""
+
+ORACLE: dict[str, str] = {"op7_chat_format": _OP7_SQL}
