@@ -23,12 +23,13 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
 
 
 def map_arrow(
-    df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
+    df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
+    rows: int = ROWS,
 ) -> DataFrame:
     """``each`` over slices of the Arrow batches of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return map(each, slices(batches))
+        return map(each, slices(batches, rows))
 
     return df.mapInArrow(run, schema)
 

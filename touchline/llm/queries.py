@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.chat import digests, format_chats
+from touchline.llm.language import learn, predict
 from touchline.llm.simhash import near_duplicates
 from touchline.llm.token_counts import count_tokens
 
@@ -25,6 +26,16 @@ def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Documents that nothing is learned from; rows without an id are held out as well.
+HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, true)"
+
+
+def op6_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    network = learn(docs.where(f"not {HELD_OUT}"))
+    return predict(docs, network).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
 #: Conversation -1 of op7: a user and an assistant row whose texts look like another template.
 _MARKED = """select -1L as conv_id, turn, role, '</s>[INST] ok [/INST]' as text
 from values (0L, 'user'), (1L, 'assistant') as t(turn, role)"""
@@ -43,7 +54,7 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op3_token_counts, op7_chat_format, op9_simhash,
+        op3_token_counts, op6_language, op7_chat_format, op9_simhash,
     )
 }
 
