@@ -12,6 +12,7 @@ from touchline.llm.chat import digests, format_chats
 from touchline.llm.language import learn, predict
 from touchline.llm.simhash import near_duplicates
 from touchline.llm.token_counts import count_tokens
+from touchline.llm.token_files import token_file_digests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return token_file_digests(
+        _table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(
         _table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model")
@@ -54,7 +61,7 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op3_token_counts, op6_language, op7_chat_format, op9_simhash,
+        op1_token_files, op3_token_counts, op6_language, op7_chat_format, op9_simhash,
     )
 }
 
