@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.chat import digests, format_chats
+from touchline.llm.fingerprints import compare_with_next
 from touchline.llm.language import learn, predict
 from touchline.llm.simhash import near_duplicates
 from touchline.llm.token_counts import count_tokens
@@ -53,6 +54,10 @@ def op7_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     return digests(format_chats(turns.unionByName(spark.sql(_MARKED))))
 
 
+def op8_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return compare_with_next(_table(spark, sf, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf, "documents"))
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
@@ -61,7 +66,7 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_token_files, op3_token_counts, op6_language, op7_chat_format, op9_simhash,
+        op1_token_files, op3_token_counts, op6_language, op7_chat_format, op8_minhash, op9_simhash,
     )
 }
 
