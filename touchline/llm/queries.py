@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from touchline.llm.chat import digests, format_chats
 from touchline.llm.fingerprints import compare_with_next
 from touchline.llm.language import learn, predict
+from touchline.llm.neighbours import nearest
 from touchline.llm.simhash import near_duplicates
 from touchline.llm.token_counts import count_tokens
 from touchline.llm.token_files import token_file_digests
@@ -63,10 +64,14 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest(_table(spark, sf, "embeddings"), "vec_id % 50 = 0")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_token_files, op3_token_counts, op6_language, op7_chat_format, op8_minhash, op9_simhash,
+        op1_token_files, op3_token_counts, op6_language, op7_chat_format, op8_minhash, op9_simhash, op10_neighbours,
     )
 }
 
