@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from touchline.llm.chat import digests, format_chats
 from touchline.llm.fingerprints import compare_with_next
+from touchline.llm.fixity import audit, warc_record, with_offsets
 from touchline.llm.language import learn, predict
 from touchline.llm.neighbours import nearest
 from touchline.llm.simhash import near_duplicates
 from touchline.llm.token_counts import count_tokens
 from touchline.llm.token_files import token_file_digests
+from touchline.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +37,33 @@ def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_warc_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Two replicas of the WARC archives of all pages, 512 page ids an archive.
+
+    The second has what storage does to files: by the page id some records have one
+    character altered in the middle, some are cut to half, some are gone.
+    """
+    record = _table(spark, sf, "pages").select(
+        "page_id", F.expr("page_id div 512").alias("archive"), warc_record(F.col("url"), F.col("html")).alias("r")
+    )
+    harm = F.expr("""case coalesce(page_id, 0) % 97
+        when 13 then concat(left(r, length(r) div 2), '~', substring(r, length(r) div 2 + 2))
+        when 31 then left(r, length(r) div 2) else r end""")
+    both = with_offsets(
+        record.select(
+            "page_id", "archive", F.octet_length("r").cast("bigint").alias("length"), F.sha2("r", 256).alias("digest"),
+            F.octet_length(harm).cast("bigint").alias("length_b"), F.sha2(harm, 256).alias("digest_b"),
+        ),
+        "page_id", "digest",
+    )
+    both = staged(both, "replicas")
+    first = both.select("archive", "offset", "length", "digest")
+    second = both.where("coalesce(page_id, 0) % 97 != 59").select(
+        "archive", "offset", F.col("length_b").alias("length"), F.col("digest_b").alias("digest")
+    )
+    return audit(first, second)
+
+
 #: Documents that nothing is learned from; rows without an id are held out as well.
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, true)"
 
@@ -71,7 +100,7 @@ def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_token_files, op3_token_counts, op6_language, op7_chat_format, op8_minhash, op9_simhash, op10_neighbours,
+        op1_token_files, op3_token_counts, op5_warc_audit, op6_language, op7_chat_format, op8_minhash, op9_simhash, op10_neighbours,
     )
 }
 
@@ -95,4 +124,33 @@ select conv_id, count(*) as n_turns,
 from n group by conv_id
 """
 
-ORACLE: dict[str, str] = {"op7_chat_format": _OP7_SQL}
+_OP5_SQL = r"""
+with p as (
+    select page_id, page_id // 512 as archive, coalesce(url, '') as u, coalesce(html, '') as h from pages
+), w as (
+    select page_id, archive, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+        || 'WARC-Record-ID: <urn:md5:' || md5(u || chr(10) || h) || '>' || chr(13) || chr(10)
+        || 'WARC-Date: 2000-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u
+        || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+        || strlen(h) || chr(13) || chr(10) || chr(13) || chr(10) || h
+        || chr(13) || chr(10) || chr(13) || chr(10) as r
+    from p
+), d as (
+    select page_id, archive, strlen(r) as length_a, sha256(r) as digest_a,
+        case coalesce(page_id, 0) % 97 when 13 then left(r, length(r) // 2) || '~' || substring(r, length(r) // 2 + 2)
+            when 31 then left(r, length(r) // 2) else r end as damaged
+    from w
+), o as (
+    select *, coalesce(sum(length_a) over (partition by archive order by page_id, digest_a
+        rows between unbounded preceding and 1 preceding), 0) as pos
+    from d
+)
+select archive, cast(pos as bigint) as "offset",
+    case when page_id % 97 = 59 then 'missing' else 'altered' end as problem,
+    cast(length_a as bigint) as length_a,
+    case when page_id % 97 = 59 then null else cast(strlen(damaged) as bigint) end as length_b, digest_a,
+    case when page_id % 97 = 59 then null else sha256(damaged) end as digest_b
+from o where page_id % 97 = 59 or sha256(damaged) != digest_a
+"""
+
+ORACLE: dict[str, str] = {"op5_warc_audit": _OP5_SQL, "op7_chat_format": _OP7_SQL}
