@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.batches import column_type, map_arrow
+from touchline.llm.batches import column_type, map_arrow, slices
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -209,6 +209,28 @@ def learn(
     return network
 
 
+def keep_identified(
+    docs: DataFrame, network: Network | None, *, text_col: str = "text", least_score: float = 0.4
+) -> DataFrame:
+    """Rows of ``docs`` whose text has a letter and a language of at least ``least_score``.
+
+    Documents half in one language and half in another score about a half and stay. Without
+    a network only texts without a letter (empty and null ones too) go. All columns stay.
+    """
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            texts = [t or "" for t in batch.column(place).to_pylist()]
+            kept = np.array([has_letter(t) for t in texts], bool)
+            if network is not None and kept.any():
+                probs = network.document_probs([t.encode() for t, k in zip(texts, kept, strict=True) if k])
+                kept[kept] = probs.max(axis=1) >= least_score
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(
     docs: DataFrame, network: Network | None, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:

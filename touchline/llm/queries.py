@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.chat import digests, format_chats
 from touchline.llm.fingerprints import compare_with_next
 from touchline.llm.fixity import audit, warc_record, with_offsets
 from touchline.llm.language import learn, predict
+from touchline.llm.mixing import calibrated, draw, topic, words
 from touchline.llm.neighbours import nearest
+from touchline.llm.packing import pack
 from touchline.llm.simhash import near_duplicates
 from touchline.llm.token_counts import count_tokens
 from touchline.llm.token_files import token_file_digests
@@ -31,12 +33,35 @@ def op1_token_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(
+        count_tokens(_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(
         _table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model")
     )
 
 
+#: Exponents that flatten sources and topics, and languages a little less.
+MIX_TARGETS: dict[str, float] = {"source": 0.5, "lang": 0.7, "topic": 0.5}
+
+
+def mix_dimensions() -> dict[str, Column]:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))}
+
+
+def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    rows = calibrated(docs, mix_dimensions(), MIX_TARGETS, tokens=words(F.col("text")))
+    return rows.where(draw(F.col("doc_id"), F.col("text")) < F.col("_probability")).select(
+        "doc_id", "source", "lang", topic(F.col("text")).alias("topic"), F.col("_tokens").alias("n_tokens"),
+        F.round("_weight", 6).alias("weight"), F.round("_probability", 6).alias("probability"),
+    )
+
+
 def op5_warc_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Two replicas of the WARC archives of all pages, 512 page ids an archive.
 
@@ -100,7 +125,7 @@ def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_token_files, op3_token_counts, op5_warc_audit, op6_language, op7_chat_format, op8_minhash, op9_simhash, op10_neighbours,
+        op1_token_files, op2_packing, op3_token_counts, op4_mixing, op5_warc_audit, op6_language, op7_chat_format, op8_minhash, op9_simhash, op10_neighbours,
     )
 }
 
@@ -124,6 +149,48 @@ select conv_id, count(*) as n_turns,
 from n group by conv_id
 """
 
+# Raking as a recursion of 60 sweeps over the cells; the rate by setting cells aside in the
+# order of their factors.
+_OP4_SQL = r"""
+with recursive d as (
+    select doc_id, source, lang, case when text like '%icense%' then 'license' when text like '%@%' then 'contact'
+            when text like '% | %' then 'table' else 'prose' end as topic,
+        coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as n, text
+    from documents
+), c as (
+    select source, lang, topic, sum(n)::double as t from d group by all
+), m as (
+    select *, pow(sum(t) over (partition by source), 0.5) as gs, pow(sum(t) over (partition by lang), 0.7) as gl,
+        pow(sum(t) over (partition by topic), 0.5) as gt, sum(t) over () as total from c
+), g as (
+    select source, lang, topic, t, total,
+        total * gs / (select sum(x) from (select distinct source, gs as x from m)) as ts,
+        total * gl / (select sum(x) from (select distinct lang, gl as x from m)) as tl,
+        total * gt / (select sum(x) from (select distinct topic, gt as x from m)) as tt
+    from m
+), ipf as (
+    select 0 as k, *, t as w from g
+    union all
+    select k + 1, source, lang, topic, t, total, ts, tl, tt, w * tt / sum(w) over (partition by topic) from (
+        select *  replace (w * tl / sum(w) over (partition by lang) as w) from (
+            select * replace (w * ts / sum(w) over (partition by source) as w) from ipf where k < 60))
+), f as (
+    select source, lang, topic, t, total, w / t as factor from ipf where k = 60
+), s as (
+    select *, coalesce(sum(t) over o, 0) as full_, sum(w) over r as open_ from (select *, factor * t as w from f)
+    window o as (order by factor desc, source, lang, topic rows between unbounded preceding and 1 preceding),
+        r as (order by factor desc, source, lang, topic rows between current row and unbounded following)
+), rate as (
+    select (0.5 * total - full_) / open_ as rate from s
+    where factor * (0.5 * total - full_) / open_ <= 1 order by factor desc, source, lang, topic limit 1
+)
+select doc_id, source, lang, topic, n as n_tokens, round(factor, 6) as weight,
+    round(least(1.0, factor * (select rate from rate)), 6) as probability
+from d join f using (source, lang, topic)
+where ('0x' || substr(md5(cast(doc_id as varchar)), 1, 13))::bigint / 4503599627370496.0
+    < least(1.0, factor * (select rate from rate))
+"""
+
 _OP5_SQL = r"""
 with p as (
     select page_id, page_id // 512 as archive, coalesce(url, '') as u, coalesce(html, '') as h from pages
@@ -153,4 +220,4 @@ select archive, cast(pos as bigint) as "offset",
 from o where page_id % 97 = 59 or sha256(damaged) != digest_a
 """
 
-ORACLE: dict[str, str] = {"op5_warc_audit": _OP5_SQL, "op7_chat_format": _OP7_SQL}
+ORACLE: dict[str, str] = {"op4_mixing": _OP4_SQL, "op5_warc_audit": _OP5_SQL, "op7_chat_format": _OP7_SQL}
