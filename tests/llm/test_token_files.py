@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,8 +25,21 @@ def test_coding_round_trip(ranks):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("aA bÉé'́.,1 \n\t\x0b\x1c\x85\xa0ſΣσ<|endoftext>") | st.characters(exclude_categories=["Cs"]), max_size=30))
 def test_words_give_ids_of_text(text):
-    want = json_tokenizer(PATH).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(WordIds(PATH).encode([text])[0], "<u4").tolist() == want
+    check(text)
+
+
+def check(*texts):
+    words = WordIds(PATH)
+    for text, got in zip(texts, words.encode(list(texts)), strict=True):
+        want = json_tokenizer(PATH).encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got, words.dtype).tolist() == want
+
+
+def test_words_of_given_texts():
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])
+    check(*table.column(0).to_pylist())
+    check(". , .. a. a., Ab, İstanbul. ÉTÉ, é. e\u0301. ª, ʰ. straße. 'S. don't, <|ENDOFTEXT|>. <|endoftext|>, x<|startoftext|>y,")
+    check("İ", "ǅ, ΑΣ. ΣΑΣ, ﬀ. K. 中文, हिन्दी.")
 
 
 def test_image():

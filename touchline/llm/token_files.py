@@ -9,6 +9,7 @@ missing in its last one have no data. ``ranks.bin`` in the folder maps rank to i
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,34 +29,75 @@ MAGIC = b"RANKVB01"
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8"), ("control", "<u8"), ("data", "<u8")])
 #: A file closes with the document that brings it to this many bytes.
 FILE_BYTES = 8 << 20
-#: Ids of distinct words that a worker keeps, at about 250 bytes each; then it starts anew.
-KEPT_WORDS = 500_000
+#: Ids of distinct words that a worker keeps, at about 200 bytes each; then it starts anew.
+KEPT_WORDS = 800_000
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
+#: Words of the letters a-z, À-Ö, Ø-Þ, ß-ö and ø-ÿ: composed already, and lower-cased one by one.
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: The byte alphabet of byte-level models: printable bytes are themselves, the others follow 255.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class WordIds:
     """Ids of a text, each distinct word of it encoded once by the tokenizers library.
 
-    For tokenizers that drop white space and never join characters over it: the ids of a
-    text are then those of its words in order. Words are cut at the ASCII white space.
+    For tokenizers that drop white space, lower-case, take a run of letters as one unit and
+    never join characters over white space: the ids of a text are those of its words in
+    order. Words are cut at the ASCII white space, A-Z lower-cased first. A word that is one
+    run of Latin letters goes to the library's merge model as such; one full stop or comma behind
+    it is a unit of its own. All other words pass through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = json_tokenizer(path)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
 
+    def _whole(self, words: list[bytes]) -> None:
+        for batch in by_bytes((word.decode() for word in words), 1 << 18):
+            found = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
+            for word, encoding in zip(batch, found, strict=True):
+                self.known[word.encode()] = np.array(encoding.ids, self.dtype).tobytes()
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, merge, code = self.known, self.tokenizer.model.tokenize, self.code
+        stems = {w[:-1] for w in new if w[-1:] in b".," and len(w) > 1} | new
+        rest = []
+        for word in stems - known.keys():
+            if _LATIN.fullmatch(word):
+                units = word.decode()
+                if not units.isascii():
+                    units = units.lower().encode().decode("latin-1").translate(_BYTES)
+                known[word] = b"".join([code[t.id] for t in merge(units)])
+            else:
+                rest.append(word)
+        letters = {w for w in rest if w.decode().isalpha()}
+        self._whole(sorted(letters | {b".", b","}))
+        whole = set(rest) - letters
+        for word in [w for w in whole if w[-1:] in b".," and w[:-1] in known]:
+            if word[:-1].decode().isalpha():
+                known[word] = known[word[:-1]] + known[word[-1:]]
+                whole.discard(word)
+        self._whole(sorted(whole & new))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
+        """Little-endian ids of each text, of type ``dtype``."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        known, cut = self.known, [text.encode().split() for text in texts]
-        new = sorted({word for words in cut for word in words if word not in known})
-        for batch in by_bytes((word.decode() for word in new), 1 << 18):
-            found = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)
-            for word, encoding in zip(batch, found, strict=True):
-                known[word.encode()] = np.array(encoding.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+        cut = []
+        for text in texts:
+            octets = text.encode()
+            # Lower-casing could turn other text into a special string.
+            cut.append((octets if b"<|" in octets else octets.lower()).split())
+        new = set().union(*cut).difference(self.known)
+        if new:
+            self._learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 
 @lru_cache(maxsize=2)
@@ -143,18 +185,14 @@ def write_tokens(
     ``n_tokens``. ``folder`` is a URI that pyarrow can open on every worker.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
-
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _words(tokenizer).encode(pc.fill_null(batch.column(1), "").to_pylist())
-        small = [np.frombuffer(ids + end, "<u4") for ids in found]
-        # Two bytes an id where all ids of the batch fit.
-        kind = "<u2" if all(ids.max() < 1 << 16 for ids in small) else "<u4"
+        words = _words(tokenizer)
+        end = np.array([end_id], words.dtype).tobytes()
+        found = words.encode(pc.fill_null(batch.column(1), "").to_pylist())
         return pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
-                pa.array([np.dtype(kind).itemsize] * len(small), pa.int32()),
-                pa.array([ids.astype(kind).tobytes() for ids in small], pa.binary()),
+                batch.column(0), pa.array([words.dtype.itemsize] * len(found), pa.int32()),
+                pa.array([ids + end for ids in found], pa.binary()),
             ],
             names=["id", "width", "ids"],
         )
