@@ -53,10 +53,8 @@ def entity_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def leagues(spark: SparkSession, sf: str) -> DataFrame:
     """The leagues of ``entity_files``, plus some without a file."""
-    return table(spark, sf, "part").filter(f"p_partkey % {LEAGUE_PARTS} = 0").selectExpr(
-        f"inline(array(struct('L' || p_partkey div {LEAGUE_PARTS} as code),"
-        f" struct('M' || p_partkey div {LEAGUE_PARTS} as code)))"
-    )
+    blocks = table(spark, sf, "part").selectExpr(f"p_partkey div {LEAGUE_PARTS} as block").distinct()
+    return blocks.selectExpr("inline(array(struct('L' || block as code), struct('M' || block as code)))")
 
 
 def part_names(spark: SparkSession, sf: str, size: int = LEAGUE_PARTS) -> DataFrame:
@@ -87,7 +85,7 @@ def spoiled(name: str, key: str) -> str:
         when ({key}) % 97 = 0 then '2025'
         when ({key}) % 9 = 0 then {name}
         when ({key}) % 9 = 1 then upper({name})
-        when ({key}) % 9 = 2 then concat(substring({name}, 1, 2), substring({name}, 4, 99))
+        when ({key}) % 9 = 2 then concat(substring({name}, 1, 2), substring({name}, 4, length({name})))
         when ({key}) % 9 = 3 then concat(substring({name}, 1, 1), ' ', split_part({name}, ' ', 2))
         when ({key}) % 9 = 4 then concat({name}, ' Town')
         when ({key}) % 9 = 5 then split_part({name}, ' ', 2)
@@ -219,7 +217,11 @@ def order_script_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def order_table_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as table pages: a header row now and then, some without a usable date."""
+    """Orders as table pages: a header row now and then, some without a usable date.
+
+    Some rows lack an end tag, hold a table of their own or spell a letter as a number with
+    leading zeros; a comment before the table looks like one.
+    """
     item = """concat(
         case when o_orderkey % 4 <> 0 then ''
              when o_orderkey % 24 = 0 then '<tr class="success"><th>Sun 31-Foo-2025</th></tr>'
@@ -227,11 +229,14 @@ def order_table_pages(spark: SparkSession, sf: str) -> DataFrame:
              else concat('<TR class=success id=a><th>', date_format(o_orderdate, 'EEE dd-MMM-yyyy'),
                          '</th></TR>') end,
         '<tr class="', if(o_orderkey % 19 = 0, 'cats odd', 'cats'),
-        '"><td><a class="cats" href="/t">Tom &amp; <b>Co</b>  ', o_custkey % 3, '</a></td>',
+        '"><td><a class="cats" href="/t">', if(o_orderkey % 9 = 2, '&#00000084;om', 'Tom'),
+        ' &amp; <b>Co</b>  ', o_custkey % 3, '</a></td>',
         '<td class="num catsc"><a href="/s">', case when o_orderkey % 6 = 0 then ' 3–1 '
             when o_orderkey % 10 = 5 then 'P-P' when o_orderkey % 14 = 3 then ''
             else concat(o_custkey % 2, '-', o_custkey % 4) end,
-        '</a></td><td><a href="/u" class="cats">Clerk&#39;s ', o_custkey % 5, '</a></td></tr>')"""
+        '</a></td><td><a href="/u" class="cats">Clerk&#39;s ', o_custkey % 5, '</a>',
+        if(o_orderkey % 8 = 3, '<table><tr class="odd"><td>1</td></tr></table>', ''),
+        if(o_orderkey % 5 = 1, '', '</td></tr>'))"""
     orders = table(spark, sf, "orders").selectExpr(
         f"o_orderkey div {PAGE_ORDERS} as page_id", f"struct(o_orderkey, {item} as item) as item"
     )
@@ -240,7 +245,7 @@ def order_table_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
     return _raw(
         pages, "fishy",
-        "concat('<p>x</p><table class=\"a table-results\">', rows, '</table><table></table>')",
+        "concat('<p>x</p><!-- <table class=\"table-results\"></table> --><table class=\"a table-results\">', rows, '</table><table></table>')",
     )
 
 

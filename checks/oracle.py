@@ -291,7 +291,8 @@ ORACLE: dict[str, str] = {
             case when event_type = 'signup'
                  then {'v': case when value >= 2 then value end} end ignore nulls) over (
             partition by user_id order by event_id
-            rows between unbounded preceding and current row)).v as current from events""",
+            rows between unbounded preceding and current row)).v as current
+        from (select * replace (case when user_id % 50 <> 0 then user_id end as user_id) from events)""",
     "collapse_repeats": """select l_partkey, l_quantity::int as quantity,
         min(l_shipdate)::date::varchar as date from lineitem group by all""",
     "normalize_names": f"select doc_id, {_norm('text')} as norm from documents",
@@ -392,3 +393,8 @@ ORACLE["pages_to_events"] = f"""with {_aliases()}, {_FIXTURES}, {_PAGE_RESULTS},
     {_consolidate('canonical', 'fetched_ms', '')}
     select * from consolidated"""
 ORACLE["ingest_stream"] = ORACLE["pages_to_events"]
+ORACLE["ingest_errors"] = ORACLE["parse_errors"]
+ORACLE["ingest_unmatched"] = f"""with {_aliases()}, {_FIXTURES}, {_PAGE_RESULTS},
+    {_matchups('page_results')}
+    select distinct league, name from page_results p
+    where not exists (from resolved r where r.league = p.league and r.name = p.name)"""

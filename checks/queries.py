@@ -156,10 +156,13 @@ def parse_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def carry_forward(spark: SparkSession, sf: str) -> DataFrame:
-    events = derive.table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+    events = derive.table(spark, sf, "events").select(
+        F.when(F.col("user_id") % 50 != 0, F.col("user_id")).alias("user_id"), "event_id",
+        "event_type", "value",
+    )
     return carry(
         events, ["user_id"], ["event_id"], F.col("event_type") == "signup",
-        F.when(F.col("value") >= 2, F.col("value")), F.expr("event_id div 100000"), "current",
+        F.when(F.col("value") >= 2, F.col("value")), F.expr("event_id div 1000"), "current",
     ).select("event_id", "user_id", "current")
 
 
@@ -260,8 +263,24 @@ def consolidate_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _events_out(_consolidated(spark, sf))
 
 
+def _stored(spark: SparkSession, sf: str) -> str:
+    """An event table of two writers with batches 0 and 1 each, a replay, a compaction, one more."""
+    table = shared_dir(spark, "events")
+    rows = derive.event_results(spark, sf)
+
+    def batch(part: int) -> DataFrame:
+        return consolidate.consolidate_scores(rows.filter(F.col("page_id") % 5 == part))
+
+    for part, (writer, batch_id) in enumerate((("a", 0), ("b", 0), ("a", 1), ("b", 1))):
+        consolidate.upsert_events(batch(part), batch_id, table, writer)
+    consolidate.upsert_events(batch(1), 0, table, "b")
+    consolidate.compact_events(spark, table)
+    consolidate.upsert_events(batch(4), 2, table, "a")
+    return table
+
+
 def all_events(spark: SparkSession, sf: str) -> DataFrame:
-    return _events_out(consolidate.all_events(_consolidated(spark, sf)))
+    return _events_out(consolidate.all_events(spark, _stored(spark, sf)))
 
 
 def _landed_results(spark: SparkSession, sf: str) -> str:
@@ -279,21 +298,15 @@ def consolidate_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def upsert_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Two halves stored as two batches, the second one twice."""
-    table = shared_dir(spark, "events")
-    rows = derive.event_results(spark, sf)
-    for batch_id in (0, 1, 1):
-        half = rows.filter(F.col("page_id") % 2 == batch_id)
-        consolidate.upsert_events(consolidate.consolidate_scores(half), batch_id, table)
-    return _events_out(consolidate.read_events(spark, table))
+    return _events_out(consolidate.read_events(spark, _stored(spark, sf)))
 
 
 def events_for_league(spark: SparkSession, sf: str) -> DataFrame:
-    return _events_out(consolidate.events_for_league(_consolidated(spark, sf), "purchase"))
+    return _events_out(consolidate.events_for_league(spark, _stored(spark, sf), "purchase"))
 
 
 def count_by_league(spark: SparkSession, sf: str) -> DataFrame:
-    return consolidate.count_by_league(_consolidated(spark, sf))
+    return consolidate.count_by_league(consolidate.read_events(spark, _stored(spark, sf)))
 
 
 def league_feed(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,7 +314,7 @@ def league_feed(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("none-"), F.col("user_id") % 7))
         .when(F.col("event_type") != "view", F.col("event_type")).alias("code")
     ).filter("code is not null")
-    return feed.league_feed(_consolidated(spark, sf), codes)
+    return feed.league_feed(consolidate.read_events(spark, _stored(spark, sf)), codes)
 
 
 def pages_to_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,18 +323,40 @@ def pages_to_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
-    landing, table = shared_dir(spark, "landing"), shared_dir(spark, "events")
-    pages.write_pages(derive.fixture_pages(spark, sf), landing)
+def _ingest(spark: SparkSession, sf: str, raw: DataFrame) -> tuple[str, str]:
+    """Table and reports of a stream that takes the pages in four batches or more."""
+    landing, table, reports = (shared_dir(spark, n) for n in ("landing", "events", "reports"))
+    pages.write_pages(raw, landing)
     dictionary = shared_dir(spark, "aliases")
     derive.aliases(spark, sf).write.parquet(dictionary)
+    files = spark.read.parquet(landing).select("_metadata.file_path").distinct().count()
     jobs.ingest_pages(
-        pages.stream_pages(spark, landing, max_files=100_000), spark.read.parquet(dictionary),
-        table, shared_dir(spark, "state"),
+        pages.stream_pages(spark, landing, max_files=max(1, files // 4)),
+        spark.read.parquet(dictionary), table, shared_dir(spark, "state"), reports=reports,
     ).awaitTermination()
+    return table, reports
+
+
+def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
+    table, _ = _ingest(spark, sf, derive.fixture_pages(spark, sf))
     return _events_out(consolidate.read_events(spark, table))
 
 
+def ingest_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    _, reports = _ingest(spark, sf, derive.fixture_pages(spark, sf))
+    return jobs.read_reports(spark, reports, "unmatched").select("league", "name").distinct()
+
+
+def ingest_errors(spark: SparkSession, sf: str) -> DataFrame:
+    raw = derive.order_script_pages(spark, sf).unionByName(
+        derive.order_table_pages(spark, sf)
+    ).unionByName(derive.fetched_pages(spark, sf))
+    _, reports = _ingest(spark, sf, raw)
+    return jobs.read_reports(spark, reports, "errors").groupBy("source", "reason").agg(
+        F.count("*").alias("n"), F.sum("page_id").alias("ids")
+    )
+
+
 # --- logs -------------------------------------------------------------------------------
 
 
@@ -399,6 +434,8 @@ QUERIES: dict[str, Query] = {
     "league_feed": league_feed,
     "pages_to_events": pages_to_events,
     "ingest_stream": ingest_stream,
+    "ingest_unmatched": ingest_unmatched,
+    "ingest_errors": ingest_errors,
     "parse_log_lines": parse_log_lines,
     "log_stream": log_stream,
 }

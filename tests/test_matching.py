@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from tests import brute
 from touchline.functions.text import normalized
 from touchline.operators import matching
 
+# Dictionaries of two leagues.
 ENG1 = [
     (name, [])
     for name in (
@@ -152,3 +154,22 @@ def test_bad_limits(spark):
         matching.edit_join(frame, aliases, k=3)
     with pytest.raises(ValueError):
         matching.token_join(frame, aliases, threshold=0.2)
+
+
+def test_long_texts_take_the_walk(spark):
+    """A junk text of many words must not let the regex try every way through it."""
+    aliases = alias_frame(spark, {"L": [("a" * 38 + "b", []), ("Other", [])]})
+    texts = spark.createDataFrame([("L", " ".join(["aaaa"] * 60))], "league string, text string")
+    matching.abbrev_join(texts, aliases, reverse=True).count()
+    start = time.time()
+    for limit in (256, 0):
+        got = matching.abbrev_join(texts, aliases, reverse=True, direct_limit=limit).collect()
+        assert [r.entity for r in got] == [None]
+    assert time.time() - start < 20
+
+
+def test_too_many_aliases_are_refused(spark):
+    aliases = alias_frame(spark, {"L": [("One", [])]}).withColumn("alias_pos", F.lit(1 << 20))
+    texts = spark.createDataFrame([("L", "one")], "league string, text string")
+    with pytest.raises(Exception, match="too many aliases"):
+        matching.exact_join(texts, aliases).collect()

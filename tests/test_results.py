@@ -9,6 +9,7 @@ from touchline import schemas
 from touchline.operators import consolidate, feed, results
 from touchline.streaming import jobs
 
+# A small dictionary.
 TEAMS = [
     ("Manchester United", ["Man Utd", "Man United"]),
     ("Liverpool", ["Liverpool FC"]),
@@ -97,8 +98,6 @@ def test_consolidation_and_reports(spark):
     events = consolidate.consolidate_scores(matched)
     assert as_dict(events) == EXPECTED
     assert [tuple(r) for r in consolidate.count_by_league(events).collect()] == [("ENG1", 2)]
-    assert consolidate.events_for_league(events, "X").count() == 0
-    assert consolidate.all_events(events).count() == 2
 
 
 def test_attach_canonical(spark):
@@ -137,12 +136,45 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, landed):
     assert as_dict(consolidate.read_events(spark, table, ["ENG1"])) == EXPECTED
     assert consolidate.read_events(spark, table, ["ENG2"]).count() == 0
 
-    again = results.resolve_matchups(result_rows(spark), aliases)[0]
-    consolidate.upsert_events(consolidate.consolidate_scores(again), 77, table)
-    consolidate.upsert_events(consolidate.consolidate_scores(again), 77, table)
+    again = consolidate.consolidate_scores(results.resolve_matchups(result_rows(spark), aliases)[0])
+    consolidate.upsert_events(again, 77, table)
+    consolidate.upsert_events(again, 77, table)
     assert as_dict(consolidate.read_events(spark, table)) == EXPECTED
-    consolidate.compact_events(spark, table, str(landed / "compact"))
-    assert as_dict(consolidate.read_events(spark, str(landed / "compact"))) == EXPECTED
+    # A second stream over the same rows starts at batch 0 again, under a name of its own.
+    jobs.consolidate_stream(matched, table, str(landed / "cp2")).awaitTermination()
+    names = consolidate.live_folders(spark, table)
+    assert len({n.split("-")[0] for n in names}) == 3
+    consolidate.compact_events(spark, table)
+    assert len(consolidate.live_folders(spark, table)) == 1
+    assert as_dict(consolidate.all_events(spark, table)) == EXPECTED
+    consolidate.upsert_events(again, 0, table)
+    assert as_dict(consolidate.read_events(spark, table)) == EXPECTED
+    assert consolidate.writer_id(spark, str(landed / "cp")) in " ".join(names)
+
+
+def test_event_table_edges(spark, tmp_path):
+    table = str(tmp_path / "t")
+    assert consolidate.read_events(spark, table).collect() == []
+    rows = [(code, "A vs B", "2025-01-01", "1-0", None, None, None, None, None) for code in ("", "a/b=%", "null", "7")]
+    events = spark.createDataFrame(rows, schemas.EVENTS).withColumn(
+        "bbc_order", F.expr("named_struct('fetched_at', timestamp'2025-01-01', 'page_id', 1L, 'pos', 1)")
+    )
+    consolidate.upsert_events(events.where("league != ''"), 0, table, "w1")
+    consolidate.upsert_events(events.where("league = ''"), 0, table, "w2")
+    assert {r.league for r in consolidate.all_events(spark, table).collect()} == {"", "a/b=%", "null", "7"}
+    for code in ("", "a/b=%", "null", "7"):
+        assert [r.league for r in consolidate.events_for_league(spark, table, code).collect()] == [code]
+    feed.write_league_feed(feed.league_feed(events, events.select(F.col("league").alias("code"))), f"{table}-feed")
+    lines = [r.value for r in feed.read_league_feed(spark, f"{table}-feed", "a/b=%").collect()]
+    assert json.loads("".join(lines))["count"] == 1
+
+
+def test_feed_of_event_without_date(spark):
+    rows = [("L", "A vs B", None, "1-0", None, None, None, None, None), ("L", "C vs D", "2025-01-01", "1-0", None, None, None, None, None)]
+    events = spark.createDataFrame(rows, schemas.EVENTS)
+    codes = spark.createDataFrame([("L",)], "code string")
+    lines = feed.league_feed(events, codes).orderBy("part", "date", "name").collect()
+    assert len(json.loads("".join(r.line for r in lines))["events"]) == 2
 
 
 def test_feed_documents(spark, tmp_path):

@@ -2,6 +2,7 @@ import json
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from touchline import schemas
@@ -155,3 +156,19 @@ def test_shared_dir_follows_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     path = shared_dir(spark, "x")
     assert base is None or path.startswith(base)
+
+
+def test_carry_forward_keeps_null_groups_and_blocks(spark):
+    rows = [(None, 1, True, 5), (None, 2, False, 0), ("a", 1, True, 7), ("a", 2, False, 0)]
+    df = spark.createDataFrame(rows, "g string, i int, head boolean, v int")
+    for block in (F.lit(None).cast("int"), F.col("i")):
+        got = carry_forward(df, ["g"], ["i"], F.col("head"), F.col("v"), block)
+        assert sorted((str(r.g), r.i, r.carried) for r in got.collect()) == [
+            ("None", 1, 5), ("None", 2, 5), ("a", 1, 7), ("a", 2, 7)
+        ]
+
+
+def test_crawl_needs_a_cycle(spark):
+    leagues = spark.createDataFrame([("A", "a", 1, 0)], "code string, bbcName string, thefishyId int, league_idx int")
+    with pytest.raises(ValueError, match="cycles"):
+        pages.crawl_table(leagues, pages.SOURCES, "2025-01-01", cycles=0)

@@ -73,21 +73,34 @@ def after_first(text: Column, mark: str) -> Column:
     return F.when(at > 0, F.substring(text, at + len(mark), F.length(text)))
 
 
-_ENTITY = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_ENTITY = "&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
 
 def unescape_entities(text: Column) -> Column:
-    """Decode numeric and named character references."""
+    """Decode numeric and named character references.
+
+    Numbers that name no character (0, surrogates, above U+10FFFF) give U+FFFD.
+    """
     named = F.create_map(
         *[F.lit(v) for name, code in sorted(name2codepoint.items()) for v in (name, chr(code))],
         F.lit("apos"), F.lit("'"),
     )
 
     def decode(ref: Column) -> Column:
-        hexadecimal = F.when(
-            F.lower(F.substring(ref, 1, 2)) == "#x", F.substring(ref, 3, 8)
-        ).otherwise(F.conv(F.substring(ref, 2, 9), 10, 16))
-        char = F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")
+        is_hex = F.lower(F.substring(ref, 1, 2)) == "#x"
+        digits = F.ltrim(
+            F.when(is_hex, F.substring(ref, F.lit(3), F.length(ref)))
+            .otherwise(F.substring(ref, F.lit(2), F.length(ref))),
+            F.lit("0"),
+        )
+        # Seven digits hold every character in either base; longer numbers name none.
+        code = F.when(F.length(digits).between(1, 7), F.conv(
+            F.concat(F.lit("0"), digits), 16, 10)).cast("bigint")
+        code = F.when(is_hex, code).otherwise(
+            F.when(F.length(digits).between(1, 7), digits.cast("bigint")))
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        hexadecimal = F.when(real, F.lpad(F.hex(code), 8, "0")).otherwise(F.lit("0000FFFD"))
+        char = F.decode(F.unhex(hexadecimal), "UTF-32")
         return F.coalesce(
             F.when(F.startswith(ref, F.lit("#")), char).otherwise(F.try_element_at(named, ref)),
             F.concat(F.lit("&"), ref, F.lit(";")),

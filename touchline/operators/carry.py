@@ -40,4 +40,9 @@ def carry_forward(
     )
     local = rows.withColumn("_local", F.last("_held", ignorenulls=True).over(within))
     carried = F.coalesce("_local", "_before")["value"].alias(name)
-    return local.join(blocks, [*partition, "_block"]).select(*df.columns, carried)
+    # Null keys and blocks are groups like any other.
+    same = F.lit(True)
+    for i, key in enumerate([*partition, "_block"]):
+        blocks = blocks.withColumnRenamed(key, f"_key{i}")
+        same = same & F.col(key).eqNullSafe(F.col(f"_key{i}"))
+    return local.join(blocks, same).select(*df.columns, carried)

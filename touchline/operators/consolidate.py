@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline import schemas
 
@@ -65,39 +68,102 @@ def _flat() -> list:
     ]
 
 
-def upsert_events(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Add one batch of consolidated rows to the table at ``path``.
+#: Folders of the table that a reader sees; ``upsert_events`` and ``compact_events`` make them.
+_BATCH, _COMPACTED = "batch=", "compacted"
 
-    A batch goes to a folder of its own, which a replay of that batch replaces. Earlier
-    batches are not read, so the cost is that of the batch, however large the table.
-    """
+
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path, as the session's own store sees them."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    files, place = _files(spark, path)
+    if not files.exists(place):
+        return []
+    return sorted(status.getPath().getName() for status in files.listStatus(place))
+
+
+def live_folders(spark: SparkSession, path: str) -> list[str]:
+    """Completely written folders of the table."""
+    written = [f for f in _children(spark, path) if f.startswith(_BATCH)]
+    return [f for f in written if "_SUCCESS" in _children(spark, f"{path}/{f}")]
+
+
+def _store(rows: DataFrame, folder: str) -> None:
+    # Led by a sign, so that the empty code and codes that look like no value survive.
     (
-        batch.hint("rebalance", "league")
-        .write.mode("overwrite")
-        .partitionBy("league")
-        .parquet(f"{path}/batch={batch_id}")
+        rows.withColumn("league_part", F.concat(F.lit("="), "league")).drop("league")
+        .hint("rebalance", "league_part")
+        .write.mode("overwrite").partitionBy("league_part").parquet(folder)
     )
 
 
+def upsert_events(batch: DataFrame, batch_id: int, path: str, writer: str = "main") -> None:
+    """Add one batch of consolidated rows to the table at ``path``.
+
+    A batch goes to a folder named by its writer and its number, which only a replay of that
+    batch by that writer replaces. Each stream needs a writer name of its own, one for each
+    checkpoint (``writer_id``). Earlier batches are not read, so the cost is that of the
+    batch, however large the table.
+    """
+    _store(batch, f"{path}/{_BATCH}{writer}-{batch_id}")
+
+
+def writer_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name kept beside a stream's checkpoint; a new checkpoint gets a new name."""
+    folder = f"{checkpoint.rstrip('/')}/writer"
+    names = [f.removeprefix("id=") for f in _children(spark, folder) if f.startswith("id=")]
+    if names:
+        return names[0]
+    name = uuid.uuid4().hex
+    files, place = _files(spark, f"{folder}/id={name}")
+    files.mkdirs(place)
+    return name
+
+
 def read_events(spark: SparkSession, path: str, leagues: list[str] | None = None) -> DataFrame:
-    """Current rows of the table; naming leagues reads only their folders."""
-    stored = spark.read.schema(schemas.EVENTS).option("basePath", path).parquet(f"{path}/batch=*")
+    """Current rows of the table; naming leagues reads only their folders.
+
+    A table without batches is empty.
+    """
+    live = [f"{path}/{f}" for f in live_folders(spark, path)]
+    if not live:
+        return spark.createDataFrame([], schemas.EVENTS)
+    columns = [f for f in schemas.EVENTS if f.name != "league"]
+    stored_as = T.StructType([*columns, T.StructField("league_part", T.StringType())])
+    stored = spark.read.schema(stored_as).option("basePath", path).parquet(*live)
     if leagues is not None:
-        stored = stored.filter(F.col("league").isin(leagues))
-    return merge_events(stored)
+        stored = stored.filter(F.col("league_part").isin([f"={code}" for code in leagues]))
+    return merge_events(stored.withColumn("league", F.substring("league_part", 2, 1 << 30)))
 
 
-def compact_events(spark: SparkSession, source: str, target: str) -> None:
-    """Write the merged rows of one table as the only batch of another."""
-    upsert_events(read_events(spark, source), 0, target)
+def compact_events(spark: SparkSession, path: str) -> None:
+    """Merge the table's folders into one, in place.
+
+    The merged folder appears complete, then the folders it holds are removed. In between a
+    reader meets rows twice, which merging does not mind, so there is no moment at which rows
+    are missing or wrong. Batches that writers add meanwhile are not touched; a replayed batch
+    that was merged before comes back as a folder and merges again without effect. Run one
+    compaction at a time. A query that started before it and still reads fails and is run again.
+    """
+    live = live_folders(spark, path)
+    if len(live) < 2:
+        return
+    _store(read_events(spark, path), f"{path}/{_BATCH}{_COMPACTED}-{uuid.uuid4().hex}")
+    for folder in live:
+        files, place = _files(spark, f"{path}/{folder}")
+        files.delete(place, True)
 
 
-def events_for_league(events: DataFrame, code: str) -> DataFrame:
-    return events.filter(F.col("league") == code)
+def events_for_league(spark: SparkSession, path: str, code: str) -> DataFrame:
+    return read_events(spark, path, [code])
 
 
-def all_events(events: DataFrame) -> DataFrame:
-    return events
+def all_events(spark: SparkSession, path: str) -> DataFrame:
+    return read_events(spark, path)
 
 
 def count_by_league(events: DataFrame) -> DataFrame:

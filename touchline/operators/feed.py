@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.session import staged
+
 OPENING, EVENT, CLOSING = 0, 1, 2
 _ORDER = ["league", "part", "date", "name"]
 
@@ -21,7 +23,8 @@ def league_feed(events: DataFrame, codes: DataFrame) -> DataFrame:
     league without events gets an empty list.
     """
     wanted = codes.select(F.col("code").alias("league")).distinct()
-    chosen = events.join(wanted, "league", "left_semi")
+    # Counted and listed, so written once; events are aggregated or read only here.
+    chosen = staged(events.join(wanted, "league", "left_semi"), "feed")
     per_league = chosen.groupBy("league").agg(
         F.count("*").alias("count"), F.min(F.struct("date", "name")).alias("first")
     )
@@ -46,7 +49,7 @@ def league_feed(events: DataFrame, codes: DataFrame) -> DataFrame:
             F.unix_millis("updated_at").alias("updated_at"),
         )
     )
-    is_first = F.struct("date", "name") == F.col("first")
+    is_first = F.struct("date", "name").eqNullSafe(F.col("first"))
     lines = chosen.join(per_league.select("league", "first"), "league").select(
         "league", F.lit(EVENT).alias("part"), "date", "name",
         F.concat(F.when(is_first, "").otherwise(","), record).alias("line"),
@@ -76,6 +79,7 @@ def write_league_feed(feed: DataFrame, path: str) -> None:
 
 def read_league_feed(spark: SparkSession, path: str, code: str) -> DataFrame:
     """Lines of one league's document with the file each came from."""
-    return spark.read.text(f"{path}/league={code}").select(
+    feed = spark.read.schema("value string, league string").text(path)
+    return feed.where(F.col("league") == code).select(
         F.col("_metadata.file_name").alias("file"), "value"
     )

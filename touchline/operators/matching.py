@@ -61,6 +61,7 @@ DEFAULT_STRATEGIES = (
 
 DIRECT_LIMIT = 256  # aliases of one league compared one by one
 BROADCAST_ROWS = 200_000  # dictionary or index rows sent to every executor
+BROADCAST_BYTES = 32 << 20  # names and entities of a dictionary from which rows are sent
 SALT = 16  # parts a league's texts are cut into where the dictionary is not broadcast
 
 # Up to here the two-edit keys of a name stay in the low thousands.
@@ -138,13 +139,18 @@ def match_normalized(
     coded = aliases.filter(F.col("alias_norm").isNotNull()).select(
         "league",
         F.col("alias_norm").alias("y"),
-        F.expr(f"(bigint(entity_pos) << {_ALIAS_BITS}) + alias_pos").alias("place"),
+        F.expr(f"""(bigint(entity_pos) << {_ALIAS_BITS}) + if(alias_pos < {1 << _ALIAS_BITS}, alias_pos,
+            raise_error(concat('too many aliases: ', entity)))""").alias("place"),
         "entity",
     )
     if strict:
         coded, names = coded.filter("y != ''"), names.filter("x != ''")
-    dictionary = coded.groupBy("league", "y").agg(F.min("place").alias("place"))
-    profile = _profile(dictionary, direct_limit)
+    first = coded.groupBy("league", "y").agg(F.min(F.struct("place", "entity")).alias("p"))
+    entities = first.select("league", "y", "p.place", "p.entity")
+    profile = _profile(entities, direct_limit)
+    dictionary = entities.drop("entity")
+    if profile.bytes > BROADCAST_BYTES:
+        broadcast_rows = -1
 
     found = []
     if profile.direct_rows:
@@ -164,7 +170,7 @@ def match_normalized(
         ).filter(F.lit(False))
 
     hits = reduce(DataFrame.unionByName, found).filter(F.col("hit").isNotNull())
-    entities = coded.select("league", "place", "entity").distinct()
+    entities = entities.drop("y")
     if profile.entities <= broadcast_rows:
         entities = F.broadcast(entities)
     strategy_names = F.array(*[F.lit(s.name) for s in strategies])
@@ -191,6 +197,7 @@ def _profile(dictionary: DataFrame, direct_limit: int) -> Row:
     keyed = f"bigint(least(length(y), {_LONGEST_KEYED}))"
     per_league = dictionary.groupBy("league").agg(
         F.expr("count(*) as n"),
+        F.expr("sum(octet_length(y) + octet_length(entity)) as bytes"),
         F.expr(f"sum(2 * {keyed} * {keyed} + 8 * {keyed} + 16) as keys"),
         F.expr("max(length(y)) as longest"),
         F.expr(f"max({words}) as wordiest"),
@@ -199,6 +206,7 @@ def _profile(dictionary: DataFrame, direct_limit: int) -> Row:
     )
     return per_league.agg(
         F.expr("coalesce(sum(n), 0) as entities"),
+        F.expr("coalesce(sum(bytes), 0) as bytes"),
         F.expr(f"coalesce(sum(n) filter (where n <= {direct_limit}), 0) as direct_rows"),
         F.expr(f"coalesce(sum(keys) filter (where n > {direct_limit}), 0) as index_rows"),
         *[
@@ -209,11 +217,16 @@ def _profile(dictionary: DataFrame, direct_limit: int) -> Row:
     ).first()
 
 
-def _abbreviation_test(profile: Row, short: str, long: str) -> str:
-    """The rule as a regex on the columns x_pattern or y_pattern, or as a walk."""
-    if profile.longest <= _REGEX_LENGTH and profile.wordiest <= _REGEX_WORDS:
-        return f"rlike({long}, {short}_pattern)"
-    return abbrev.abbreviates(short, long)
+def _abbreviation_test(short: str, long: str) -> str:
+    """The rule as a regex on the columns x_pattern or y_pattern, or as a walk.
+
+    The regex is faster, but its ways multiply with the words of the long side, so each row
+    takes the walk where that side is long or has many words, be it from the dictionary or
+    a page. A short form longer than the bound has no pattern.
+    """
+    words = f"length({long}) - length(replace({long}, ' ', '')) < {_REGEX_WORDS}"
+    return f"""if(length({long}) <= {_REGEX_LENGTH} and length({short}) <= {_REGEX_LENGTH} and {words},
+        rlike({long}, {short}_pattern), {abbrev.abbreviates(short, long)})"""
 
 
 def _first_hit(conditions: Sequence[str]) -> str:
@@ -273,7 +286,7 @@ def _holds(step: Strategy, profile: Row) -> str:
     short, long = ("x", "y") if step.kind == ABBREV else ("y", "x")
     return f"""({short}_length = 0 or (
         x_first = y_first and {short}_length <= {long}_length
-        and {_abbreviation_test(profile, short, long)}))"""
+        and {_abbreviation_test(short, long)}))"""
 
 
 # --- leagues with many aliases --------------------------------------------------------
@@ -389,8 +402,8 @@ def _confirmed(step: Strategy, profile: Row) -> str:
                     or (kind = 'tokens'
                         and {tokens.tokens_agree(step.limit, bool(profile.repeats))}))"""
     if step.kind == ABBREV:
-        return f"(kind = 'short' or (kind = 'head' and {_abbreviation_test(profile, 'x', 'y')}))"
-    return f"(kind = 'reverse' and (y is null or {_abbreviation_test(profile, 'y', 'x')}))"
+        return f"(kind = 'short' or (kind = 'head' and {_abbreviation_test('x', 'y')}))"
+    return f"(kind = 'reverse' and (y is null or {_abbreviation_test('y', 'x')}))"
 
 
 def _pattern_for(kind: str, text: str) -> str:
@@ -407,12 +420,9 @@ def _match_indexed(
 ) -> DataFrame:
     entries = ", ".join(_index_entries(step) for step in strategies)
     index = (
-        spread(
-            _keyed(
-                spread(dictionary, "y", "league"), "y", f"concat({entries})",
-                "league", "y", "place",
-            ),
-            "league", "kind", "key",
+        # Not exchanged before the minimum, so a key of very many names is one row a task.
+        _keyed(
+            spread(dictionary, "y", "league"), "y", f"concat({entries})", "league", "y", "place"
         )
         .groupBy("league", "kind", "key", "weight", "total", "value")
         .agg(F.min("place").alias("place"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,18 +42,33 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
+def staged(df: DataFrame, purpose: str, within: list[str] | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     For rows that several branches of a plan need: without it Spark would run everything
     below them, page parsing included, once per branch. The table survives the loss of
-    executors, and its size tells the planner whether it may be broadcast.
+    executors, and its size tells the planner whether it may be broadcast. The path is added
+    to ``within``, for a caller that can tell when the table is no longer needed.
     """
     path = shared_dir(df.sparkSession, purpose)
+    if within is not None:
+        within.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[list[str]]:
+    """A list for ``staged``, whose tables are removed when the block ends."""
+    paths: list[str] = []
+    try:
+        yield paths
+    finally:
+        for path in paths:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Exchange with a fixed task count.
 

@@ -83,10 +83,14 @@ def _by_stem(files: DataFrame) -> DataFrame:
 
 
 def _decoded(value: str, entry: str) -> Column:
-    """The JSON array, or null where the text is not one."""
+    """The JSON array, or null where the text is not one.
+
+    The JSON reader takes a lone object for an array of one, so the first sign is looked at.
+    It has no size limit of its own, other than that of a string.
+    """
     return F.when(
-        F.schema_of_variant(F.try_parse_json(value)).startswith("ARRAY"),
-        F.from_json(value, f"array<{entry}>"),
+        F.startswith(F.ltrim(F.col(value), F.lit(" \t\r\n\ufeff")), F.lit("[")),
+        F.from_json(value, f"array<{entry}>", {"mode": "PERMISSIVE"}),
     )
 
 
