@@ -11,6 +11,8 @@ from touchline.session import staged
 SWEEPS = 6
 MOST_JOBS = 15
 TOLERANCE = 1e-10
+#: Cells, as counted, whose sweeps run in one task; more are exchanged for each marginal.
+FEW_CELLS = 50_000
 
 
 def words(text: Column) -> Column:
@@ -49,10 +51,15 @@ def rake(cells: DataFrame, names: list[str]) -> DataFrame:
 
     From weight = tokens, weights are scaled in turn so that each value of each dimension
     sums to its target, until all marginals agree or the jobs run out (targets that no
-    weights can meet). Windows run over cells, which are counts, never over documents.
+    weights can meet). Windows run over cells, which are sums, never over documents; where
+    there are few, by count, one task sweeps them all, with the same result.
     """
+    few = cells.count() <= FEW_CELLS
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(MOST_JOBS):
+        if few:
+            # One partition serves the windows of all dimensions without an exchange.
+            now = now.coalesce(1)
         for _ in range(SWEEPS):
             now = now.withColumn("off", F.lit(0.0))
             for name in names:
@@ -122,8 +129,9 @@ def calibrated(
     )
     cells = staged(marked.groupBy(*names).agg(F.sum(count).alias("tokens")), "cells")
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
+    aimed = staged(_targets(cells, names, wanted), "aimed")
     raked = staged(
-        rake(_targets(cells, names, wanted), names).select(*names, "tokens", factor.alias("factor")), "raked"
+        rake(aimed, names).select(*names, "tokens", factor.alias("factor")), "raked"
     )
     total = raked.agg(F.sum("tokens")).first()[0] or 0
     rate = _rate(raked, keep * total)
