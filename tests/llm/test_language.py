@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from touchline.llm import language
-from touchline.llm.language import Network, Settings, learn, predict
+from touchline.llm.language import Network, Settings, keep_identified, learn, predict
 from touchline.llm.queries import op6_language
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +75,15 @@ def test_prediction_uses_text_only(spark):
     plain = predict(docs, net).orderBy("doc_id").collect()
     other = predict(docs.withColumn("lang", F.lit("zz")).withColumn("source", F.lit("s")), net).orderBy("doc_id").collect()
     assert plain == other
+
+
+def test_rejects_only_what_has_no_language(spark):
+    rows = [(1, "Und so."), (2, "12 34"), (3, None), (4, ""), (5, "und so weiter und so fort " * 20), (6, "\u4f60\u597d" * 300)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")
+    net = Network(["a", "b", "c", "d"], Settings())
+    for w in net.weights:
+        w[:] = 0  # all languages alike, a quarter each
+    assert {r.doc_id for r in keep_identified(docs, net).collect()} == {1}
+    assert {r.doc_id for r in keep_identified(docs, net, least_score=0.2).collect()} == {1, 5, 6}
+    kept = keep_identified(docs, None)
+    assert {r.doc_id for r in kept.collect()} == {1, 5, 6} and kept.columns == docs.columns

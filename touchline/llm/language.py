@@ -210,12 +210,15 @@ def learn(
 
 
 def keep_identified(
-    docs: DataFrame, network: Network | None, *, text_col: str = "text", least_score: float = 0.4
+    docs: DataFrame, network: Network | None, *, text_col: str = "text",
+    least_score: float = 0.3, least_bytes: int = 200,
 ) -> DataFrame:
-    """Rows of ``docs`` whose text has a letter and a language of at least ``least_score``.
+    """Rows of ``docs`` whose text has a letter and, if it is long enough to tell, a language.
 
-    Documents half in one language and half in another score about a half and stay. Without
-    a network only texts without a letter (empty and null ones too) go. All columns stay.
+    A text of ``least_bytes`` or more whose best language scores below ``least_score`` is
+    rejected: its positions agree with none. Shorter texts give too little evidence for
+    that and stay, as do documents in two languages, which score about a half. Without a
+    network only texts without a letter go, empty and null ones too. All columns stay.
     """
     place = docs.columns.index(text_col)
 
@@ -224,8 +227,9 @@ def keep_identified(
             texts = [t or "" for t in batch.column(place).to_pylist()]
             kept = np.array([has_letter(t) for t in texts], bool)
             if network is not None and kept.any():
-                probs = network.document_probs([t.encode() for t, k in zip(texts, kept, strict=True) if k])
-                kept[kept] = probs.max(axis=1) >= least_score
+                octets = [t.encode() for t, k in zip(texts, kept, strict=True) if k]
+                short = np.array([len(o) < least_bytes for o in octets])
+                kept[kept] = short | (network.document_probs(octets).max(axis=1) >= least_score)
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

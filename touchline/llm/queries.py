@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,8 +125,27 @@ def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(_table(spark, sf, "embeddings"), "vec_id % 50 = 0")
 
 
+def importable(query: Query) -> Query:
+    """``query``, with Python workers on this machine able to import the library.
+
+    They are not where a driver started elsewhere has only its own path set; on a cluster
+    the library is installed or sent with ``--py-files``.
+    """
+
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        root = str(Path(__file__).resolve().parents[2])
+        env = spark.sparkContext.environment
+        known = env.get("PYTHONPATH", "")
+        if root not in known.split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+        return query(spark, *args)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f
+    f.__name__: importable(f)
     for f in (
         op1_token_files, op2_packing, op3_token_counts, op4_mixing, op5_warc_audit, op6_language, op7_chat_format, op8_minhash, op9_simhash, op10_neighbours,
     )
