@@ -17,7 +17,8 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = (
     "fixture_events", "table_results", "carry_forward", "collapse_repeats", "normalize_names",
     "resolve_entities", "edit_join_large", "resolve_matchups", "match_report",
-    "consolidate_scores", "league_feed", "pages_to_events",
+    "consolidate_scores", "league_feed", "pages_to_events", "abbrev_join_large",
+    "abbrev_join_reverse_large", "token_join_large", "resolve_entities_large", "ingest_stream",
 )
 
 

@@ -20,7 +20,7 @@ its dictionary size:
   =============  =====================================  ==========================
   exact          the text                               none
   edit           text with up to two characters gone    sum of the costs
-  edit, long     hash of a third of the text            edit distance
+  edit, longer   hash of a third of the text            edit distance
   abbrev         first characters of an abbreviation    abbreviation rule
   token          token that makes up half of a name     counts
   token, second  that token and one more                token rule
@@ -64,8 +64,10 @@ BROADCAST_ROWS = 200_000  # dictionary or index rows sent to every executor
 BROADCAST_BYTES = 32 << 20  # names and entities of a dictionary from which rows are sent
 SALT = 16  # parts a league's texts are cut into where the dictionary is not broadcast
 
-# Up to here the two-edit keys of a name stay in the low thousands.
-_LONGEST_KEYED = 40
+# Up to here a name has at most about 500 two-edit keys, each of which proves a hit. Longer
+# names have 3 segment keys (75 to look up), whose meetings are verified; on names of 20 to
+# 30 characters that is less than half the time.
+_LONGEST_KEYED = 14
 # Up to here the abbreviation regex has few ways to move between words.
 _REGEX_LENGTH, _REGEX_WORDS = 40, 6
 
