@@ -42,6 +42,16 @@ def test_words_of_given_texts():
     check("İ", "ǅ, ΑΣ. ΣΑΣ, ﬀ. K. 中文, हिन्दी.")
 
 
+def test_letters_before_a_mark():
+    check("DENİZLİ, DENİZLİ. अज़. অড়,", "İ, İ.")
+    letters = [c for c in map(chr, range(0x80, 0x110000)) if c.isalpha()]
+    texts = [f"{c}{mark} x{c}{mark}" for c in letters for mark in ".,"]
+    words = WordIds(PATH)
+    want = json_tokenizer(PATH).encode_batch_fast(texts, add_special_tokens=False)
+    got = words.encode(texts)
+    assert not [t for t, g, w in zip(texts, got, want, strict=True) if np.frombuffer(g, words.dtype).tolist() != w.ids]
+
+
 def test_image():
     docs = [(5, False, [1, 2, 300]), (0, True, []), (-7, False, [70000] * 9)]
     image = _image([(i, null, len(r), *map(len, p := pack(np.array(r, np.uint32))), *p) for i, null, r in docs])

@@ -49,7 +49,7 @@ class WordIds:
     never join characters over white space: the ids of a text are those of its words in
     order. Words are cut at the ASCII white space, A-Z lower-cased first. A word that is one
     run of Latin letters goes to the library's merge model as such; one full stop or comma behind
-    it is a unit of its own. All other words pass through the whole tokenizer.
+    letters, if they are still letters once normalised, is a unit of its own. All other words pass through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -64,6 +64,13 @@ class WordIds:
             for word, encoding in zip(batch, found, strict=True):
                 self.known[word.encode()] = np.array(encoding.ids, self.dtype).tobytes()
 
+    def _letters(self, stem: bytes) -> bool:
+        """Whether the pre-tokenizer sees letters only; the normaliser turns some letters into letter and mark."""
+        if stem.isalpha() or _LATIN.fullmatch(stem):
+            return True
+        text = stem.decode()
+        return text.isalpha() and self.tokenizer.normalizer.normalize_str(text).isalpha()
+
     def _learn(self, new: set[bytes]) -> None:
         known, merge, code = self.known, self.tokenizer.model.tokenize, self.code
         stems = {w[:-1] for w in new if w[-1:] in b".," and len(w) > 1} | new
@@ -80,7 +87,7 @@ class WordIds:
         self._whole(sorted(letters | {b".", b","}))
         whole = set(rest) - letters
         for word in [w for w in whole if w[-1:] in b".," and w[:-1] in known]:
-            if word[:-1].decode().isalpha():
+            if self._letters(word[:-1]):
                 known[word] = known[word[:-1]] + known[word[-1:]]
                 whole.discard(word)
         self._whole(sorted(whole & new))
