@@ -229,6 +229,16 @@ def near_duplicates(
     )
 
 
+def keep_first(marked: DataFrame, rooted: DataFrame, id_col: str) -> DataFrame:
+    """One row of ``marked`` (with ``p``) of each root of ``rooted`` (p, first, root): that of the smallest id."""
+    kept = rooted.groupBy("root").agg(
+        F.min(F.struct(F.col("first").isNull(), "first", "p")).alias("k")
+    ).select(F.col("k.first").alias("first"), F.col("k.p").alias("kept_p"))
+    same = (F.col("p") == F.col("kept_p")) & F.col(id_col).eqNullSafe(F.col("first"))
+    once = Window.partitionBy("p", id_col).orderBy(F.lit(1))
+    return marked.join(kept, same, "left_semi").withColumn("row", F.row_number().over(once)).where("row = 1")
+
+
 def drop_near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
     distance: int = 4, tile: int = TILE,
@@ -243,13 +253,4 @@ def drop_near_duplicates(
     # Written once, since the fingerprints are needed for the links and again for the rows.
     marked = staged(add_fingerprints(docs.toDF(*names), text_col=text_name, out="p", words=words), "marked")
     rooted = _rooted(marked.select(F.col(id_name).alias("id"), "p"), distance, tile)
-    kept = rooted.groupBy("root").agg(
-        F.min(F.struct(F.col("first").isNull(), "first", "p")).alias("k")
-    ).select(F.col("k.first").alias("first"), F.col("k.p").alias("kept_p"))
-    same = (F.col("p") == F.col("kept_p")) & F.col(id_name).eqNullSafe(F.col("first"))
-    once = Window.partitionBy("p", id_name).orderBy(F.lit(1))
-    return (
-        marked.join(kept, same, "left_semi")
-        .withColumn("row", F.row_number().over(once)).where("row = 1")
-        .select(*names).toDF(*docs.columns)
-    )
+    return keep_first(marked, rooted, id_name).select(*names).toDF(*docs.columns)
