@@ -87,3 +87,19 @@ def test_rejects_only_what_has_no_language(spark):
     assert {r.doc_id for r in keep_identified(docs, net, least_score=0.2).collect()} == {1, 5, 6}
     kept = keep_identified(docs, None)
     assert {r.doc_id for r in kept.collect()} == {1, 5, 6} and kept.columns == docs.columns
+
+
+def test_background_rejects_unlearned_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 0")
+    for langs in (["de", "en", "fr"], ["de"]):
+        net = learn(docs.where(F.col("lang").isin(langs)), background=True)
+        assert net.langs == langs
+        learned = docs.where(F.col("lang").isin(langs) & F.col("text").rlike(r"\p{L}"))
+        # Whole texts, and their first words.
+        for text in (F.col("text"), F.substring("text", 1, 70)):
+            cut = learned.select("doc_id", text.alias("text"))
+            assert keep_identified(cut, net).count() >= 0.99 * cut.where(F.col("text").rlike(r"\p{L}")).count()
+        other = docs.where("lang = 'es' and length(text) >= 200")
+        assert keep_identified(other, net).count() <= 0.05 * other.count()
+        odd = [(i, t * k) for i, t in enumerate(["你好世界", "привет мир ", "xqzk vjwq zzkx qpwj "]) for k in (8, 90)]
+        assert keep_identified(spark.createDataFrame(odd, "doc_id long, text string"), net).count() == 0

@@ -82,12 +82,15 @@ def _gru_back(u: np.ndarray, symbols: np.ndarray, kept: list, d_states: np.ndarr
 
 
 class Network:
-    """Weights of both directions and of the output layer, and the languages in order."""
+    """Weights of both directions and of the output layer, and the languages in order.
 
-    def __init__(self, langs: list[str], settings: Settings):
-        self.langs, self.settings = langs, settings
+    With ``background`` there is one class behind those of the languages, for what is in none.
+    """
+
+    def __init__(self, langs: list[str], settings: Settings, background: bool = False):
+        self.langs, self.settings, self.background = langs, settings, background
         rng = np.random.default_rng(settings.seed)
-        h, n = settings.hidden, len(langs)
+        h, n = settings.hidden, len(langs) + background
         draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         self.weights = [
             w
@@ -137,9 +140,9 @@ class Network:
                 w -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
 
     def document_probs(self, texts: list[bytes]) -> np.ndarray:
-        """Mean over all positions of each text's label probabilities: (texts, languages)."""
+        """Mean over all positions of each text's label probabilities: (texts, classes)."""
         window = self.settings.window
-        total = np.zeros((len(texts), len(self.langs)))
+        total = np.zeros((len(texts), len(self.langs) + self.background))
         sizes = np.array([len(t) for t in texts], np.int64)
         for symbols, owner in _windows(texts, window, _BATCH):
             probs = np.exp(self._log_probs(symbols)[0])
@@ -170,14 +173,15 @@ def has_letter(text: str) -> bool:
 
 def learn(
     labelled: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id",
-    text_col: str = "text", lang_col: str = "lang",
+    text_col: str = "text", lang_col: str = "lang", background: bool = False,
 ) -> Network | None:
     """A network fitted on a bounded sample of ``labelled``; None if no row has text and label.
 
     At most ``docs_per_lang`` rows of each language, of smallest hash of the id, give
     ``windows_per_doc`` windows each, from the start to the end of their texts. What reaches
     the driver is bounded by these settings and the number of languages. Rows are first
-    thinned by a hash, so a frequent language is neither sorted nor gathered whole.
+    thinned by a hash, so a frequent language is neither sorted nor gathered whole. With
+    ``background`` the network has a class more, learned from ``_noise``.
     """
     rows = labelled.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
@@ -199,23 +203,45 @@ def learn(
     langs = sorted({r.lang for r in sample})
     if not langs:
         return None
-    network = Network(langs, settings)
-    symbols = np.full((w, len(sample)), _PAD, np.int16)
-    for i, r in enumerate(sample):
-        octets = np.frombuffer(r.part.encode()[:w], np.uint8)
-        symbols[: len(octets), i] = octets
+    network = Network(langs, settings, background)
+    parts = [r.part.encode()[:w] for r in sample]
     places = {lang: i for i, lang in enumerate(langs)}
-    network.fit(symbols, np.array([places[r.lang] for r in sample]))
+    labels = [places[r.lang] for r in sample]
+    if background:
+        noise = _noise(parts, -(-len(parts) // len(langs)), settings.seed)
+        parts, labels = parts + noise, labels + [len(langs)] * len(noise)
+    symbols = np.full((w, len(parts)), _PAD, np.int16)
+    for i, part in enumerate(parts):
+        symbols[: len(part), i] = np.frombuffer(part, np.uint8)
+    network.fit(symbols, np.array(labels))
     return network
 
 
+def _noise(parts: list[bytes], count: int, seed: int) -> list[bytes]:
+    """Windows in no language: half are shuffled ``parts``, the others any bytes or any above 127."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(count):
+        part = np.frombuffer(parts[rng.integers(len(parts))], np.uint8)
+        if k % 4 < 2:
+            part = rng.permutation(part)
+        else:
+            part = rng.integers(128 if k % 4 == 2 else 0, 256, len(part), np.uint8)
+        out.append(part.tobytes())
+    return out
+
+
 def keep_identified(
     docs: DataFrame, network: Network | None, *, text_col: str = "text",
-    least_score: float = 0.3, least_bytes: int = 200,
+    least_score: float = 0.3, least_bytes: int = 200, most_background: float = 0.4,
+    spread: float = 3.0,
 ) -> DataFrame:
     """Rows of ``docs`` whose text has a letter and, if it is long enough to tell, a language.
 
-    A text of ``least_bytes`` or more whose best language scores below ``least_score`` is
+    With a background class, a text of n bytes is rejected if that class has more than
+    ``most_background`` + ``spread`` / sqrt(n) of its probability, whatever the number of
+    languages; so the bound is 0.5 at 900 bytes, and up to 25 bytes are too few to reject.
+    Without that class, a text of ``least_bytes`` or more whose best language scores below ``least_score`` is
     rejected: its positions agree with none. Shorter texts give too little evidence for
     that and stay, as do documents in two languages, which score about a half. Without a
     network only texts without a letter go, empty and null ones too. All columns stay.
@@ -228,8 +254,12 @@ def keep_identified(
             kept = np.array([has_letter(t) for t in texts], bool)
             if network is not None and kept.any():
                 octets = [t.encode() for t, k in zip(texts, kept, strict=True) if k]
-                short = np.array([len(o) < least_bytes for o in octets])
-                kept[kept] = short | (network.document_probs(octets).max(axis=1) >= least_score)
+                size = np.array([len(o) for o in octets])
+                probs = network.document_probs(octets)
+                if network.background:
+                    kept[kept] = probs[:, -1] <= most_background + spread / np.sqrt(size)
+                else:
+                    kept[kept] = (size < least_bytes) | (probs.max(axis=1) >= least_score)
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
@@ -254,7 +284,7 @@ def predict(
             known = [i for i, t in enumerate(texts) if has_letter(t)]
             probs = network.document_probs([texts[i].encode() for i in known])
             for i, p in zip(known, probs, strict=True):
-                best = int(p.argmax())
+                best = int(p[: len(network.langs)].argmax())
                 langs[i], scores[i] = network.langs[best], min(1.0, float(p[best]))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(langs, pa.string()), pa.array(scores)],
