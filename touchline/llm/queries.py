@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from touchline.llm.chat import digests, format_chats
 from touchline.llm.fingerprints import compare_with_next
 from touchline.llm.fixity import audit, warc_record, with_offsets
+from touchline.llm.infill import digests as infill_digests
 from touchline.llm.language import learn, predict
 from touchline.llm.mixing import calibrated, draw, topic, words
 from touchline.llm.neighbours import nearest
@@ -125,6 +126,10 @@ def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(_table(spark, sf, "embeddings"), "vec_id % 50 = 0")
 
 
+def op11_infill(spark: SparkSession, sf: str) -> DataFrame:
+    return infill_digests(_table(spark, sf, "documents"))
+
+
 def importable(query: Query) -> Query:
     """``query``, with Python workers on this machine able to import the library.
 
@@ -148,6 +153,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: importable(f)
     for f in (
         op1_token_files, op2_packing, op3_token_counts, op4_mixing, op5_warc_audit, op6_language, op7_chat_format, op8_minhash, op9_simhash, op10_neighbours,
+        op11_infill,
     )
 }
 
@@ -242,4 +248,30 @@ select archive, cast(pos as bigint) as "offset",
 from o where page_id % 97 = 59 or sha256(damaged) != digest_a
 """
 
-ORACLE: dict[str, str] = {"op4_mixing": _OP4_SQL, "op5_warc_audit": _OP5_SQL, "op7_chat_format": _OP7_SQL}
+_OP11_SQL = r"""
+with d as (
+    select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+), u as (
+    select doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as units, ('0x' || h[1:8])::bigint as h1,
+        ('0x' || h[9:16])::bigint as h2, ('0x' || h[25:32])::bigint as h4 from d
+), c as (
+    select *, len(units) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a,
+        greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b from u
+), s as (
+    select doc_id, t, n, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain'
+            when h4 % 100 < 50 then 'spm' else 'psm' end as form,
+        coalesce(array_to_string(units[1:a], ''), '') as p, coalesce(array_to_string(units[a + 1:b], ''), '') as m,
+        coalesce(array_to_string(units[b + 1:n], ''), '') as s
+    from c
+)
+select doc_id, cast(n as bigint) as n, form, cast(case when form != 'plain' then length(p) end as bigint) as prefix_chars,
+    cast(case when form != 'plain' then length(m) end as bigint) as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+        else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+    sha256(t) as restored_sha256
+from s
+"""
+
+ORACLE: dict[str, str] = {
+    "op4_mixing": _OP4_SQL, "op5_warc_audit": _OP5_SQL, "op7_chat_format": _OP7_SQL, "op11_infill": _OP11_SQL,
+}
