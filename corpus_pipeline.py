@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm.language import keep_identified, learn
-from touchline.llm.likeness import drop_alike
 from touchline.llm.mixing import mix
 from touchline.llm.packing import pack
 from touchline.llm.queries import MIX_TARGETS, importable, mix_dimensions
+from touchline.llm.simhash import drop_near_duplicates
 from touchline.llm.token_counts import count_tokens
 from touchline.session import staged
 
@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies: 0.8 of five-word shingles."""
-    return drop_alike(docs)
+    """One document, that of the smallest id, of each group linked by SimHash: four words, four bits."""
+    return drop_near_duplicates(docs, words=4, distance=4)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
