@@ -16,6 +16,7 @@ from touchline.llm.fingerprints import compare_with_next
 from touchline.llm.fixity import audit, warc_record, with_offsets
 from touchline.llm.infill import digests as infill_digests
 from touchline.llm.language import learn, predict
+from touchline.llm.manifest import leaf_digest, manifest, verify
 from touchline.llm.mixing import calibrated, draw, topic, words
 from touchline.llm.neighbours import nearest
 from touchline.llm.packing import pack
@@ -130,6 +131,19 @@ def op11_infill(spark: SparkSession, sf: str) -> DataFrame:
     return infill_digests(_table(spark, sf, "documents"))
 
 
+#: What a leaf of the manifest digests, and the documents whose text is tampered with.
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+TAMPERED = "crc32(cast(doc_id as string)) % 3 = 0"
+
+
+def op12_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = F.when(F.expr(TAMPERED), lowered).otherwise(F.col("text"))
+    claimed = leaf_digest(*[F.col(c) for c in MANIFEST_FIELDS[:-1]], text)
+    grown = manifest(_table(spark, sf, "documents"), MANIFEST_FIELDS, carry={"claimed": claimed})
+    return verify(grown, "claimed").drop("claimed")
+
+
 def importable(query: Query) -> Query:
     """``query``, with Python workers on this machine able to import the library.
 
@@ -153,7 +167,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: importable(f)
     for f in (
         op1_token_files, op2_packing, op3_token_counts, op4_mixing, op5_warc_audit, op6_language, op7_chat_format, op8_minhash, op9_simhash, op10_neighbours,
-        op11_infill,
+        op11_infill, op12_manifest,
     )
 }
 
@@ -272,6 +286,62 @@ select doc_id, cast(n as bigint) as n, form, cast(case when form != 'plain' then
 from s
 """
 
+
+
+def _op12_sql(lang_levels: int = 7, root_levels: int = 3) -> str:
+    """Levels as common table expressions, one after the other: enough for 8 ** 7 documents a language."""
+
+    def grow(name: str, levels: int) -> list[str]:
+        """Runs and nodes of each level above ``name``0 (tree, i, d, c: nodes of the tree)."""
+        out = []
+        for k in range(levels):
+            out.append(f"{name}r{k} as materialized (select tree, i // 8 as r, list(d order by i) as ds, any_value(c) as c"
+                       f" from {name}{k} group by all)")
+            out.append(f"{name}{k + 1} as (select tree, r as i, case when c = 1 then ds[1] else"
+                       f" sha256(array_to_string(ds, '')) end as d, (c + 7) // 8 as c from {name}r{k})")
+        return out
+
+    def climb(name: str, rows: str, levels: int) -> list[str]:
+        """Proof and folded digest of ``rows``0 (tree, i, f, p, ..) level by level."""
+        return [
+            f"{rows}{k + 1} as (select w.* replace (i // 8 as i, case when c = 1 then f else"
+            " sha256(array_to_string(ds[1:i % 8], '') || f || array_to_string(ds[i % 8 + 2:8], '')) end as f,"
+            " p || case when c = 1 then '' else array_to_string(ds[1:i % 8], '') || array_to_string(ds[i % 8 + 2:8], '') end as p)"
+            f" from {rows}{k} w join {name}r{k} r on w.tree = r.tree and w.i // 8 = r.r)"
+            for k in range(levels)
+        ]
+
+    def field(column: str) -> str:
+        return f"coalesce(strlen(cast({column} as varchar)) || ':' || cast({column} as varchar), '-')"
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    plain = " || ".join(map(field, MANIFEST_FIELDS))
+    tampered = " || ".join(map(field, [*MANIFEST_FIELDS[:-1], low]))
+    parts = [
+        f"docs as (select doc_id, coalesce('=' || lang, '') as tree, sha256({plain}) as leaf, sha256({tampered}) as low"
+        " from documents)",
+        "placed as materialized (select *, row_number() over w - 1 as i, count(*) over (partition by tree) as c from docs"
+        " window w as (partition by tree order by doc_id nulls first, leaf))",
+        "l0 as (select tree, i, leaf as d, c from placed)",
+        *grow("l", lang_levels),
+        f"s0 as (select '' as tree, row_number() over (order by encode(tree)) - 1 as i, d, count(*) over () as c, tree as lang from l{lang_levels})",
+        *grow("s", root_levels),
+        # CRC-32 of the decimal id, which is no function there: bit by bit.
+        "crc as (select doc_id, cast(doc_id as varchar) as t, 0 as k, 4294967295::bigint as v from docs union all"
+        " select doc_id, t, k + 1, case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end from (select *,"
+        " case when k % 8 = 0 then xor(v, ord(t[k // 8 + 1])) else v end as x from crc where k < 8 * strlen(t)))",
+        "hit as (select distinct doc_id from crc where k = 8 * strlen(t) and xor(v, 4294967295) % 3 = 0)",
+        "lw0 as (select doc_id, leaf, tree as own, tree, i, case when doc_id in (from hit) then low else leaf end as f, '' as p from placed)",
+        *climb("l", "lw", lang_levels),
+        f"sw0 as (select w.* exclude (tree, i), '' as tree, s.i, s.d as subroot from lw{lang_levels} w join s0 s on w.own = s.lang)",
+        *climb("s", "sw", root_levels),
+    ]
+    return "with recursive " + ",\n".join(parts) + f"""
+select w.doc_id, w.leaf, w.subroot, r.d as root, sha256(w.p) as proof_sha256, w.f as folded_root, w.f = r.d as verified
+from sw{root_levels} w join s{root_levels} r on true"""
+
+
 ORACLE: dict[str, str] = {
     "op4_mixing": _OP4_SQL, "op5_warc_audit": _OP5_SQL, "op7_chat_format": _OP7_SQL, "op11_infill": _OP11_SQL,
+    "op12_manifest": _op12_sql(),
 }
