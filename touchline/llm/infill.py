@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 
 #: UTF-8 bytes of a piece, about: whole units up to this, a longer unit in parts of this size.
 PIECE_BYTES = 1 << 16
+#: UTF-8 bytes of the texts of a task, about, beyond what the session's partition count gives.
+TASK_BYTES = 1 << 26
 
 #: (row key, place), payload. Places: -1 the head, then 0, 1, ..
 Piece = tuple[tuple[bytes, int], object]
@@ -204,8 +206,12 @@ def _joined(pieces: Iterable[bytes]) -> str:
     return b"".join(pieces).decode()
 
 
-def _tasks(docs: DataFrame, tasks: int | None) -> int:
-    return tasks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _tasks(docs: DataFrame, column: str, tasks: int | None) -> int:
+    """Tasks by the size of the texts, since adaptive execution does not see this shuffle."""
+    if tasks:
+        return tasks
+    size = docs.agg(F.sum(F.octet_length(column).cast("bigint"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
 
 def _frame(docs: DataFrame, id_col: str, rows: RDD, *outs: str) -> DataFrame:
@@ -238,7 +244,7 @@ def transform(
                 yield row
 
     found = output_pieces(
-        docs, rule, id_col=id_col, text_col=text_col, piece_bytes=piece_bytes, tasks=_tasks(docs, tasks)
+        docs, rule, id_col=id_col, text_col=text_col, piece_bytes=piece_bytes, tasks=_tasks(docs, text_col, tasks)
     )
     return _frame(docs, id_col, found.mapPartitions(run), "output")
 
@@ -287,7 +293,7 @@ def restore(
             for _ in range(rows):
                 yield row
 
-    found = rows.rdd.mapPartitionsWithIndex(emit).repartitionAndSortWithinPartitions(_tasks(outputs, tasks), _owner)
+    found = rows.rdd.mapPartitionsWithIndex(emit).repartitionAndSortWithinPartitions(_tasks(outputs, "output", tasks), _owner)
     schema = T.StructType([
         T.StructField(id_col, outputs.schema[id_col].dataType), T.StructField("text", T.StringType()),
     ])
@@ -303,7 +309,7 @@ def digests(
     The restored text is rebuilt from the output and its form and streamed into its digest;
     a task holds the pieces of one document at a time. Nulls, repeats and empty tables as there.
     """
-    tasks = _tasks(docs, tasks)
+    tasks = _tasks(docs, text_col, tasks)
 
     def run(pieces: Iterable[Piece]) -> Iterator[tuple]:
         for _, _, (rows, head, output), payloads in _documents(pieces):
