@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.chat import digests, format_chats
+from touchline.llm.complement import pack_documents
 from touchline.llm.fingerprints import compare_with_next
 from touchline.llm.fixity import audit, warc_record, with_offsets
 from touchline.llm.infill import digests as infill_digests
@@ -144,6 +145,10 @@ def op12_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return verify(grown, "claimed").drop("claimed")
 
 
+def op13_best_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def importable(query: Query) -> Query:
     """``query``, with Python workers on this machine able to import the library.
 
@@ -167,7 +172,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: importable(f)
     for f in (
         op1_token_files, op2_packing, op3_token_counts, op4_mixing, op5_warc_audit, op6_language, op7_chat_format, op8_minhash, op9_simhash, op10_neighbours,
-        op11_infill, op12_manifest,
+        op11_infill, op12_manifest, op13_best_fit,
     )
 }
 
