@@ -77,16 +77,21 @@ def test_prediction_uses_text_only(spark):
     assert plain == other
 
 
-def test_rejects_only_what_has_no_language(spark):
-    rows = [(1, "Und so."), (2, "12 34"), (3, None), (4, ""), (5, "und so weiter und so fort " * 20), (6, "\u4f60\u597d" * 300)]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")
-    net = Network(["a", "b", "c", "d"], Settings())
-    for w in net.weights:
-        w[:] = 0  # all languages alike, a quarter each
-    assert {r.doc_id for r in keep_identified(docs, net).collect()} == {1}
-    assert {r.doc_id for r in keep_identified(docs, net, least_score=0.2).collect()} == {1, 5, 6}
-    kept = keep_identified(docs, None)
-    assert {r.doc_id for r in kept.collect()} == {1, 5, 6} and kept.columns == docs.columns
+def test_without_background_only_letterless_texts_go(spark):
+    rows = [(1, "Und so."), (2, "12 34"), (3, None), (4, ""), (None, "und so weiter " * 20), (None, "und so weiter " * 20)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kept int")
+    for net in (None, Network(["a", "b"], Settings())):
+        kept = keep_identified(docs, net)
+        assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "None", "None"] and kept.columns == docs.columns
+        assert keep_identified(docs.limit(0), net).collect() == []
+
+
+def test_learns_from_rows_without_ids(spark):
+    rows = [(None, f"{i} und so weiter und so fort", "de") for i in range(2000)]
+    rows += [(7, f"{i} the one and the other", "en") for i in range(2000)] + [(7, "y lo uno y lo otro", "es")] * 900
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert learn(docs, Settings(steps=1, docs_per_lang=50)).langs == ["de", "en", "es"]
+    assert learn(docs, Settings(steps=1, docs_per_lang=50, most_langs=2)).langs == ["de", "en"]
 
 
 def test_background_rejects_unlearned_languages(spark):

@@ -29,6 +29,7 @@ class Settings:
     window: int = 96  # bytes of a sequence; a text is cut into such windows, all of it
     docs_per_lang: int = 400  # labelled rows learned from, at most, for each language
     windows_per_doc: int = 4  # windows of each of those, evenly spaced over its text
+    most_langs: int = 500  # languages learned, the most frequent ones
     steps: int = 300
     batch: int = 192
     rate: float = 0.02
@@ -177,27 +178,29 @@ def learn(
 ) -> Network | None:
     """A network fitted on a bounded sample of ``labelled``; None if no row has text and label.
 
-    At most ``docs_per_lang`` rows of each language, of smallest hash of the id, give
+    At most ``docs_per_lang`` rows of each language, of smallest hash of id and text, give
     ``windows_per_doc`` windows each, from the start to the end of their texts. What reaches
-    the driver is bounded by these settings and the number of languages. Rows are first
-    thinned by a hash, so a frequent language is neither sorted nor gathered whole. With
+    the driver is bounded by these settings. Rows are first thinned by that hash, so a frequent
+    language is neither sorted nor gathered whole; rows alike in both are one. With
     ``background`` the network has a class more, learned from ``_noise``.
     """
     rows = labelled.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
-    ).where("lang is not null and text != ''").withColumn("h", F.xxhash64("id") / F.lit(2.0**64) + 0.5)
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    ).where("lang is not null and text != ''").withColumn("h", F.xxhash64("id", "text") / F.lit(2.0**64) + 0.5)
+    n, w, k = settings.docs_per_lang, settings.window, settings.windows_per_doc
+    # Counted by hash, so that rows alike count once, as they do below; exact where few.
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("c"))
+    counts = {r.lang: r.c for r in sizes.orderBy(F.desc("c"), "lang").limit(settings.most_langs).collect()}
     if not counts:
         return None
-    n, w, k = settings.docs_per_lang, settings.window, settings.windows_per_doc
     shares = F.create_map(*[F.lit(x) for lang, c in counts.items() for x in (lang, min(1.0, (2.0 * n + 50) / c))])
-    thinned = rows.where(F.col("h") < shares[F.col("lang")])
+    thinned = rows.where(F.col("h") < shares[F.col("lang")]).dropDuplicates(["lang", "h"])
     picked = thinned.selectExpr(
         "lang",
         "id",
         f"""transform(sequence(0, {k - 1}), i -> substring(
             text, cast(1 + i * greatest(length(text) - {w}, 0) div {max(k - 1, 1)} as int), {w})) as parts""",
-        f"row_number() over (partition by lang order by h, id, xxhash64(text)) as place",
+        f"row_number() over (partition by lang order by h) as place",
     ).where(f"place <= {n}").select("lang", F.explode(F.array_distinct("parts")).alias("part"))
     sample = picked.orderBy("lang", "part").collect()
     langs = sorted({r.lang for r in sample})
@@ -233,18 +236,16 @@ def _noise(parts: list[bytes], count: int, seed: int) -> list[bytes]:
 
 def keep_identified(
     docs: DataFrame, network: Network | None, *, text_col: str = "text",
-    least_score: float = 0.3, least_bytes: int = 200, most_background: float = 0.4,
-    spread: float = 3.0,
+    most_background: float = 0.4, spread: float = 3.0,
 ) -> DataFrame:
     """Rows of ``docs`` whose text has a letter and, if it is long enough to tell, a language.
 
     With a background class, a text of n bytes is rejected if that class has more than
     ``most_background`` + ``spread`` / sqrt(n) of its probability, whatever the number of
     languages; so the bound is 0.5 at 900 bytes, and up to 25 bytes are too few to reject.
-    Without that class, a text of ``least_bytes`` or more whose best language scores below ``least_score`` is
-    rejected: its positions agree with none. Shorter texts give too little evidence for
-    that and stay, as do documents in two languages, which score about a half. Without a
-    network only texts without a letter go, empty and null ones too. All columns stay.
+    Without that class, or without a network, only texts without a letter go, empty and null
+    ones too. All columns stay, whatever their names, and each row is judged by itself, so
+    null ids and repeated rows are treated alike. An empty table gives an empty result.
     """
     place = docs.columns.index(text_col)
 
@@ -252,14 +253,11 @@ def keep_identified(
         for batch in slices(batches, 256):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             kept = np.array([has_letter(t) for t in texts], bool)
-            if network is not None and kept.any():
+            if network is not None and network.background and kept.any():
                 octets = [t.encode() for t, k in zip(texts, kept, strict=True) if k]
                 size = np.array([len(o) for o in octets])
                 probs = network.document_probs(octets)
-                if network.background:
-                    kept[kept] = probs[:, -1] <= most_background + spread / np.sqrt(size)
-                else:
-                    kept[kept] = (size < least_bytes) | (probs.max(axis=1) >= least_score)
+                kept[kept] = probs[:, -1] <= most_background + spread / np.sqrt(size)
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
