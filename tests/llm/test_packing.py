@@ -52,3 +52,15 @@ def test_batches(spark):
             full = room if batch < len(batches) - 1 else len(slots)
             assert sorted(slots) == list(range(full)) and len(slots) <= room
     assert pack(docs.limit(0)).collect() == []
+
+
+def test_ends_are_real_lengths_above_the_exact_ones(spark):
+    lengths = [1025, 1026, 1500, 3000, 3001, 3001, 9000, 20, 20]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n_tokens long")
+    for buckets in (1, 3, 9):
+        rows = pack(docs, buckets=buckets).collect()
+        for bucket in {r.bucket for r in rows}:
+            own = [r for r in rows if r.bucket == bucket]
+            assert {r.padded_length for r in own} == {max(r.n_tokens for r in own)}
+    best = optimal_ends(sorted(set(lengths)), [lengths.count(n) for n in sorted(set(lengths))], 3)
+    assert sorted({r.padded_length for r in pack(docs, buckets=3).collect()}) == best

@@ -10,13 +10,13 @@ from touchline.session import staged
 
 #: Groups that a bucket's documents are dealt to by hash; batches run through them in order.
 CHUNKS = 1024
-#: Lengths up to this are bucket ends as they are; above, ends are multiples of a step that
-#: doubles with each octave, at most 1/512 of the length. So the histogram has a bounded size.
+#: Lengths up to this are told apart; above, lengths within a step that doubles with each
+#: octave, at most 1/512 of the length, are taken together. So the histogram has a bounded size.
 EXACT = 1024
 
 
 def candidate(length: Column) -> Column:
-    """The smallest allowed bucket end that is not below ``length``."""
+    """The end of the histogram bin of ``length``."""
     step = F.when(length <= EXACT, F.lit(1)).otherwise(
         F.pow(F.lit(2.0), F.floor(F.log2(length.cast("double"))) - 9)
     )
@@ -70,7 +70,8 @@ def pack(
 ) -> DataFrame:
     """One row per row of ``docs``: id, length, bucket, padded_length, batch and slot.
 
-    Buckets have the ends that pad least over all documents (at most ``buckets`` of them).
+    Buckets have the ends that pad least over all documents (at most ``buckets`` of them), where
+    each histogram bin stays whole; an end is the largest length of its bucket.
     Within a bucket, batches of padded_length * documents <= batch_tokens are filled one after
     the other, so each bucket has at most one batch that is not full; a document over the
     budget is a batch of its own. ``batch`` counts from 0 in each bucket, ``slot`` in each
@@ -85,8 +86,9 @@ def pack(
         F.col(id_col).alias("id"), F.coalesce(F.col(length_col), F.lit(0)).cast("bigint").alias("n")
     )
     rows = staged(rows, "lengths")
-    histogram = rows.groupBy(candidate(F.col("n")).alias("end")).count().orderBy("end").collect()
-    ends = optimal_ends([r.end for r in histogram], [r["count"] for r in histogram], buckets)
+    bins = rows.groupBy(candidate(F.col("n")).alias("bin")).agg(F.max("n").alias("end"), F.count("*").alias("c"))
+    histogram = bins.orderBy("end").collect()
+    ends = optimal_ends([r.end for r in histogram], [r.c for r in histogram], buckets)
     array = F.array(*[F.lit(e).cast("bigint") for e in ends or [0]])
     placed = rows.withColumn("bucket", F.size(F.filter(array, lambda e: e < F.col("n")))).withColumns({
         "padded": F.element_at(array, F.col("bucket") + 1),
