@@ -92,3 +92,17 @@ def test_helpers(spark):
     assert [r[0] for r in got] == [3, 0, 3, 2, 0]
     assert [r[1] for r in got] == ["prose", "prose", "table", "license", "prose"]
     assert all(0 <= r[2] < 1 for r in got)
+
+
+def test_says_when_marginals_cannot_be_met_and_refuses_taken_names(spark):
+    rows = [(1, "a", "x", 10), (2, "b", "y", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, s string, l string, n long")
+    targets = {
+        "s": spark.createDataFrame([("a", 1.0), ("b", 3.0)], "value string, weight double"),
+        "l": spark.createDataFrame([("x", 3.0), ("y", 1.0)], "value string, weight double"),
+    }
+    dims = {"s": F.col("s"), "l": F.col("l")}
+    with pytest.warns(UserWarning, match="marginals disagree"):
+        calibrated(docs, dims, targets, tokens=F.col("n")).collect()
+    with pytest.raises(ValueError):
+        calibrated(docs.withColumn("_x", F.lit(1)), dims, targets, tokens=F.col("n"))

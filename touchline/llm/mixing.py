@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +52,8 @@ def rake(cells: DataFrame, names: list[str]) -> DataFrame:
     """``cells`` (names, tokens, name_target ..) with ``weight``: raked token weights.
 
     From weight = tokens, weights are scaled in turn so that each value of each dimension
-    sums to its target, until all marginals agree or the jobs run out (targets that no
-    weights can meet). Windows run over cells, which are sums, never over documents; where
+    sums to its target, until all marginals agree. If the jobs run out first (targets that no
+    weights can meet), a warning tells how far the last factors were from 1. Windows run over cells, which are sums, never over documents; where
     there are few, by count, one task sweeps them all, with the same result.
     """
     few = cells.count() <= FEW_CELLS
@@ -71,8 +73,10 @@ def rake(cells: DataFrame, names: list[str]) -> DataFrame:
                     "off": F.greatest("off", F.abs(F.col("ratio") - 1)),
                 })
         now = staged(now, "cells")
-        if (now.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
-            break
+        off = now.agg(F.max("off")).first()[0] or 0.0
+        if off <= TOLERANCE:
+            return now
+    warnings.warn(f"marginals disagree with their targets by up to {off:.3g}", stacklevel=2)
     return now
 
 
@@ -120,6 +124,8 @@ def calibrated(
     their own; null token counts are 0; a cell without tokens has weight and probability 1.
     An empty table gives an empty result. No column of ``docs`` may start with ``prefix``.
     """
+    if taken := [c for c in docs.columns if c.startswith(prefix)]:
+        raise ValueError(f"columns {taken} start with {prefix}")
     names = [f"{prefix}d{i}" for i in range(len(dimensions))]
     wanted = dict(zip(names, (targets[d] for d in dimensions), strict=True))
     count, weight, probability = (prefix + n for n in ("tokens", "weight", "probability"))
