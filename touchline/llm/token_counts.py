@@ -20,8 +20,10 @@ from touchline.llm.batches import (
 
 #: UTF-8 bytes of one call of the tokenizer.
 BATCH_BYTES = 1 << 18
-#: Lengths of distinct pieces that a worker keeps, at about 150 bytes each; then it starts anew.
-KEPT_PIECES = 400_000
+#: Bytes of distinct pieces and their lengths that a worker keeps, about; then it starts anew.
+KEPT_BYTES = 60_000_000
+#: What an entry takes besides its text.
+ENTRY_BYTES = 140
 _SPACE = "▁"
 
 
@@ -36,6 +38,7 @@ class PieceLengths:
     def __init__(self, path: str, batch_bytes: int = BATCH_BYTES):
         self.batch_bytes = batch_bytes
         self.lengths: dict[str, int] = {}
+        self.held = 0
         self.sentencepiece = path.endswith(".model")
         if self.sentencepiece:
             self.model = sentencepiece_model(path)
@@ -63,13 +66,16 @@ class PieceLengths:
         return [first, *(" " + piece for piece in rest)]
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.lengths) > KEPT_PIECES:
+        if self.held > KEPT_BYTES:
             self.lengths.clear()
+            self.held = 0
         lengths = self.lengths
         cut = [self.pieces(text) for text in texts]
         new = {piece for pieces in cut for piece in pieces if piece not in lengths}
         for batch in by_bytes(sorted(new), self.batch_bytes):
             lengths.update(zip(batch, self.encode(batch), strict=True))
+            # Four bytes a character at most.
+            self.held += sum(ENTRY_BYTES + (len(piece) if piece.isascii() else 4 * len(piece)) for piece in batch)
         return [sum(map(lengths.__getitem__, pieces)) for pieces in cut]
 
 

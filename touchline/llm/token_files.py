@@ -29,8 +29,10 @@ MAGIC = b"RANKVB01"
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8"), ("control", "<u8"), ("data", "<u8")])
 #: A file closes with the document that brings it to this many bytes.
 FILE_BYTES = 8 << 20
-#: Ids of distinct words that a worker keeps, at about 200 bytes each; then it starts anew.
-KEPT_WORDS = 800_000
+#: Bytes of distinct words and their ids that a worker keeps, about; then it starts anew.
+KEPT_BYTES = 160_000_000
+#: What an entry of two byte strings takes besides its content.
+ENTRY_BYTES = 180
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
@@ -57,6 +59,7 @@ class WordIds:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _whole(self, words: list[bytes]) -> None:
         for batch in by_bytes((word.decode() for word in words), 1 << 18):
@@ -94,8 +97,9 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of type ``dtype``."""
-        if len(self.known) > KEPT_WORDS:
+        if self.held > KEPT_BYTES:
             self.known.clear()
+            self.held = 0
         cut = []
         for text in texts:
             octets = text.encode()
@@ -103,7 +107,10 @@ class WordIds:
             cut.append((octets if b"<|" in octets else octets.lower()).split())
         new = set().union(*cut).difference(self.known)
         if new:
+            before = len(self.known)
             self._learn(new)
+            # A word's stem may be kept beside it.
+            self.held += ENTRY_BYTES * (len(self.known) - before) + 2 * sum(len(w) + len(self.known[w]) for w in new)
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 
