@@ -267,14 +267,21 @@ ORACLE: dict[str, str] = {
     "fixture_events": f"""with {_SCRIPT_EVENTS}
         select page_id, pos::int as pos, date, name, score from script_events where not bad""",
     "table_rows": f"""with r as (
-        select o_orderkey // {P} as page_id, 'success' as css_class, o_orderkey, 0 as k
+        select o_orderkey // {P} as page_id, 'success' as css_class, o_orderkey, 0 as k,
+            case when o_orderkey % 24 = 0 then '<th>Sun 31-Foo-2025</th>'
+                 when o_orderkey % 40 = 4 then '<th> </th>'
+                 else '<th>' || strftime(o_orderdate, '%a %d-%b-%Y') || '</th>' end as content
         from orders where o_orderkey % 4 = 0 union all
         select o_orderkey // {P}, case when o_orderkey % 19 = 0 then 'cats odd' else 'cats' end,
-               o_orderkey, 1 from orders),
-        p as (select *, row_number() over (partition by page_id order by o_orderkey, k) - 1 as pos
-              from r)
-        select page_id, css_class, count(*) as n, min(pos)::int as first_pos,
-               max(pos)::int as last_pos from p group by all""",
+            o_orderkey, 1, concat('<td><a class="cats" href="/t">',
+            case when o_orderkey % 9 = 2 then '&#00000084;om' else 'Tom' end, ' &amp; <b>Co</b>  ',
+            o_custkey % 3, '</a></td><td class="num catsc"><a href="/s">',
+            case when o_orderkey % 6 = 0 then ' 3–1 ' when o_orderkey % 10 = 5 then 'P-P'
+                 when o_orderkey % 14 = 3 then '' else concat(o_custkey % 2, '-', o_custkey % 4) end,
+            '</a></td><td><a href="/u" class="cats">Clerk&#39;s ', o_custkey % 5, '</a>',
+            case when o_orderkey % 5 <> 1 then '</td>' else '' end) from orders)
+        select page_id, (row_number() over (partition by page_id order by o_orderkey, k) - 1)::int as pos,
+               css_class, md5(content) as digest from r""",
     "table_results": f"""with {_TABLE_ROWS}
         select page_id, (row_number() over (partition by page_id order by date, name, seen)
                - 1)::int as pos, date, name, score from table_found""",
@@ -282,8 +289,10 @@ ORACLE: dict[str, str] = {
         select source, reason, count(*) as n, sum(page_id)::bigint as ids from (
             select 'bbc' as source, 'event home is no object' as reason, page_id
             from script_events where bad union all
-            select case when page_id % 3 = 0 then 'fishy' else 'bbc' end,
+            select case when page_id % 20 = 8 then 'other' when page_id % 20 = 4 then null
+                     when page_id % 3 = 0 then 'fishy' else 'bbc' end,
                 case when page_id % 10 = 7 then 'status 404' when page_id % 10 = 9 then 'no response'
+                     when page_id % 20 in (4, 8) then 'unknown source'
                      when page_id % 3 = 0 then 'results table not found'
                      else 'no script with the marker' end, page_id from pages)
         group by all""",
@@ -318,7 +327,7 @@ ORACLE: dict[str, str] = {
     "match_batch": f"{_MATCHED} select league, name, canonical from resolved",
     "unmatched": f"""{_ANNOTATED}
         select page_id, league, pos, name from annotated where canonical is null""",
-    "attach_canonical": f"""with {_aliases()}, {_FIXTURES}, {_matchups('fixtures', ['exact'])}
+    "attach_canonical": f"""{_MATCHED}
         select page_id, pos, f.league, canonical as name, score
         from fixtures f join resolved r on f.league = r.league and f.name = r.name""",
     "match_report": f"""{_ANNOTATED}
@@ -342,6 +351,8 @@ ORACLE: dict[str, str] = {
     "consolidate_scores_stream": f"{_EVENTS} select * from consolidated",
     "upsert_events": f"{_EVENTS} select * from consolidated",
     "all_events": f"{_EVENTS} select * from consolidated",
+    "purge_events": f"""{_EVENTS} select * from consolidated
+        where date >= (select (max(ts::date) - 10)::varchar from events)""",
     "events_for_league": f"{_EVENTS} select * from consolidated where league = 'purchase'",
     "count_by_league": f"""{_EVENTS} select league, count(*) as "count"
         from consolidated group by league""",
@@ -360,6 +371,20 @@ ORACLE: dict[str, str] = {
             date, '"', ',"bbc_score":"' || bbc_score || '"', ',"fishy_score":"' || fishy_score || '"',
             ',"created_at":', created_ms, ',"updated_at":', updated_ms, '}}') as line
         from consolidated where league in (select league from wanted)""",
+    "league_feed_files": f"""{_EVENTS}, e as (
+        select * replace (case when league = 'view' then '' else league end as league) from consolidated),
+        wanted as (select c.league, count(e.name) as n from (
+            select distinct case when event_type = 'view' then '' when event_id % 50 = 0 then 'none/1'
+                else event_type end as league from events) c
+            left join e on c.league = e.league group by c.league)
+        select league, concat('{{"league":"', league, '","count":', n, ',"events":[') as "value" from wanted
+        union all select league, ']}}' from wanted
+        union all select league,
+            case when row_number() over (partition by league order by date, name) = 1 then ''
+                 else ',' end || concat('{{"league":"', league, '","name":"', name, '","date":"',
+            date, '"', ',"bbc_score":"' || bbc_score || '"', ',"fishy_score":"' || fishy_score || '"',
+            ',"created_at":', created_ms, ',"updated_at":', updated_ms, '}}')
+        from e where league in (select league from wanted)""",
     "parse_log_lines": f"""select event_id,
         case when not continued then strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' end as time,
         case when not continued then level end as level,
@@ -394,6 +419,26 @@ ORACLE["pages_to_events"] = f"""with {_aliases()}, {_FIXTURES}, {_PAGE_RESULTS},
     select * from consolidated"""
 ORACLE["ingest_stream"] = ORACLE["pages_to_events"]
 ORACLE["ingest_errors"] = ORACLE["parse_errors"]
+_INGESTED = f"with {_aliases()}, {_FIXTURES}, {_PAGE_RESULTS}, {_matchups('page_results')}"
+# Every other league's entities have a longer name from the second half of the pages on.
+_LATER = "page_id % 16 >= 8 and substr(p.league, 2)::int % 2 = 0"
+ORACLE["ingest_changed_dictionary"] = f"""{_INGESTED},
+    canonical as (select p.* replace (case when {_LATER}
+                  then replace(r.canonical, ' vs ', ' FC vs ') || ' FC' else r.canonical end as name)
+                  from page_results p join resolved r on p.league = r.league and p.name = r.name),
+    {_consolidate('canonical', 'fetched_ms', '')}
+    select * from consolidated"""
+ORACLE["ingest_counts"] = f"""{_INGESTED}
+    select count(*) as parsed, 0::bigint as failed,
+           count(distinct (p.league, p.name, {_LATER})) as resolved from page_results p"""
+ORACLE["ingest_report"] = f"""{_INGESTED},
+    annotated as (select p.*, r.canonical from page_results p
+                  left join resolved r on p.league = r.league and p.name = r.name)
+    select source, league, count(*) as parsed,
+           count(distinct case when canonical is not null then name end) as matched,
+           count(*) filter (canonical is null) as unmatched_rows,
+           count(distinct case when canonical is null then name end) as unmatched_names
+    from annotated group by source, league"""
 ORACLE["ingest_unmatched"] = f"""with {_aliases()}, {_FIXTURES}, {_PAGE_RESULTS},
     {_matchups('page_results')}
     select distinct league, name from page_results p

@@ -133,9 +133,7 @@ def fixture_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def table_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = table_pages.table_rows(derive.order_table_pages(spark, sf))
-    return rows.groupBy("page_id", "css_class").agg(
-        F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")
-    )
+    return rows.select("page_id", "pos", "css_class", F.md5("content").alias("digest"))
 
 
 def table_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,12 +142,7 @@ def table_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parse_errors(spark: SparkSession, sf: str) -> DataFrame:
-    raw = (
-        derive.order_script_pages(spark, sf)
-        .unionByName(derive.order_table_pages(spark, sf))
-        .unionByName(derive.fetched_pages(spark, sf))
-    )
-    _, errors = extract_results(raw)
+    _, errors = extract_results(_odd_pages(spark, sf))
     return errors.groupBy("source", "reason").agg(
         F.count("*").alias("n"), F.sum("page_id").alias("ids")
     )
@@ -216,10 +209,8 @@ def unmatched(spark: SparkSession, sf: str) -> DataFrame:
 
 def attach_canonical(spark: SparkSession, sf: str) -> DataFrame:
     rows = derive.fixtures(spark, sf)
-    exact = results.resolve_names(
-        rows, derive.aliases(spark, sf), matching.DEFAULT_STRATEGIES[:1]
-    )
-    return results.attach_canonical(rows, exact).select("page_id", "pos", "league", "name", "score")
+    names = results.resolve_names(rows, derive.aliases(spark, sf))
+    return results.attach_canonical(rows, names).select("page_id", "pos", "league", "name", "score")
 
 
 def match_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,24 +254,41 @@ def consolidate_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _events_out(_consolidated(spark, sf))
 
 
-def _stored(spark: SparkSession, sf: str) -> str:
-    """An event table of two writers with batches 0 and 1 each, a replay, a compaction, one more."""
-    table = shared_dir(spark, "events")
-    rows = derive.event_results(spark, sf)
+def _event_batch(spark: SparkSession, sf: str, part: int) -> DataFrame:
+    """One of five batches of consolidated results."""
+    rows = derive.event_results(spark, sf).filter(F.col("page_id") % 5 == part)
+    return consolidate.consolidate_scores(rows)
 
-    def batch(part: int) -> DataFrame:
-        return consolidate.consolidate_scores(rows.filter(F.col("page_id") % 5 == part))
 
-    for part, (writer, batch_id) in enumerate((("a", 0), ("b", 0), ("a", 1), ("b", 1))):
-        consolidate.upsert_events(batch(part), batch_id, table, writer)
-    consolidate.upsert_events(batch(1), 0, table, "b")
-    consolidate.compact_events(spark, table)
-    consolidate.upsert_events(batch(4), 2, table, "a")
+def _stored(spark: SparkSession, sf: str) -> str:
+    """An event table of two writers with batches 0 and 1 each, a replay, and one more."""
+    table = shared_dir(spark, "events")
+    for part, (writer, batch_id) in enumerate((("a", 0), ("b", 0), ("a", 1), ("b", 1), ("a", 2))):
+        consolidate.upsert_events(_event_batch(spark, sf, part), batch_id, table, writer)
+    consolidate.upsert_events(_event_batch(spark, sf, 1), 0, table, "b")
     return table
 
 
 def all_events(spark: SparkSession, sf: str) -> DataFrame:
-    return _events_out(consolidate.all_events(spark, _stored(spark, sf)))
+    """The table rewritten to a new place, with a batch that arrives afterwards."""
+    old, new = shared_dir(spark, "events"), shared_dir(spark, "events")
+    for part in range(4):
+        consolidate.upsert_events(_event_batch(spark, sf, part), part, old)
+    consolidate.rewrite_events(spark, old, new)
+    consolidate.upsert_events(_event_batch(spark, sf, 4), 4, new)
+    return _events_out(consolidate.all_events(spark, new))
+
+
+def purge_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches, a purge up to ten days before the last date, a replay and a late batch."""
+    table = shared_dir(spark, "events")
+    for part in range(4):
+        consolidate.upsert_events(_event_batch(spark, sf, part), part, table)
+    last = derive.event_results(spark, sf).agg(F.date_sub(F.max(F.to_date("date")), 10).cast("string"))
+    consolidate.purge_events(spark, table, last.first()[0])
+    consolidate.upsert_events(_event_batch(spark, sf, 2), 2, table)
+    consolidate.upsert_events(_event_batch(spark, sf, 4), 4, table)
+    return _events_out(consolidate.read_events(spark, table))
 
 
 def _landed_results(spark: SparkSession, sf: str) -> str:
@@ -317,6 +325,29 @@ def league_feed(spark: SparkSession, sf: str) -> DataFrame:
     return feed.league_feed(consolidate.read_events(spark, _stored(spark, sf)), codes)
 
 
+def league_feed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents written to files and read back; one league has the empty code."""
+    events = _consolidated(spark, sf).withColumn("league", F.nullif("league", F.lit("view")))
+    events = events.fillna("", ["league"])
+    codes = derive.table(spark, sf, "events").select(
+        F.when(F.col("event_type") == "view", "").when(F.col("event_id") % 50 == 0, "none/1")
+        .otherwise(F.col("event_type")).alias("code")
+    )
+    path = shared_dir(spark, "feed")
+    feed.write_league_feed(feed.league_feed(events, codes), path)
+    return feed.read_league_feeds(spark, path).select("league", "value")
+
+
+def _odd_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of both sites, the given ones as fetched, and some of another source or of none."""
+    source = F.when(F.col("page_id") % 20 == 8, "other").when(F.col("page_id") % 20 != 4, F.col("source"))
+    return (
+        derive.order_script_pages(spark, sf)
+        .unionByName(derive.order_table_pages(spark, sf))
+        .unionByName(derive.fetched_pages(spark, sf).withColumn("source", source))
+    )
+
+
 def pages_to_events(spark: SparkSession, sf: str) -> DataFrame:
     return _events_out(
         consolidated_events(derive.fixture_pages(spark, sf), derive.aliases(spark, sf))
@@ -329,14 +360,56 @@ def _ingest(spark: SparkSession, sf: str, raw: DataFrame) -> tuple[str, str]:
     pages.write_pages(raw, landing)
     dictionary = shared_dir(spark, "aliases")
     derive.aliases(spark, sf).write.parquet(dictionary)
+    _follow(spark, landing, 4, spark.read.parquet(dictionary), table, shared_dir(spark, "state"), reports)
+    return table, reports
+
+
+def _follow(
+    spark: SparkSession, landing: str, batches: int, aliases, table: str, state: str, reports: str
+) -> None:
+    """Ingest what has landed and is not ingested yet, in so many batches or more."""
     files = spark.read.parquet(landing).select("_metadata.file_path").distinct().count()
-    jobs.ingest_pages(
-        pages.stream_pages(spark, landing, max_files=max(1, files // 4)),
-        spark.read.parquet(dictionary), table, shared_dir(spark, "state"), reports=reports,
-    ).awaitTermination()
+    arriving = pages.stream_pages(spark, landing, max_files=max(1, files // batches))
+    jobs.ingest_pages(arriving, aliases, table, state, reports=reports).awaitTermination()
+
+
+def _renamed(aliases: DataFrame) -> DataFrame:
+    """A later dictionary: entities of every other league have a longer name."""
+    even = F.expr("int(substring(league, 2)) % 2 = 0")
+    return aliases.withColumn("entity", F.when(even, F.concat("entity", F.lit(" FC"))).otherwise(F.col("entity")))
+
+
+def _ingest_in_two(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """Half of the pages, then a changed dictionary, then the other half through the same stream."""
+    table, reports, state, dictionary = (shared_dir(spark, n) for n in ("events", "reports", "state", "aliases"))
+    landing, raw = shared_dir(spark, "landing"), derive.fixture_pages(spark, sf)
+    derive.aliases(spark, sf).write.parquet(f"{dictionary}/0")
+    _renamed(spark.read.parquet(f"{dictionary}/0")).write.parquet(f"{dictionary}/1")
+    for half in range(2):
+        pages.write_pages(raw.filter(f"page_id % 16 div 8 = {half}"), landing)
+        versions = lambda: spark.read.parquet(f"{dictionary}/{half}")  # noqa: B023, E731
+        _follow(spark, landing, 2, versions, table, state, reports)
     return table, reports
 
 
+def ingest_changed_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    table, _ = _ingest_in_two(spark, sf)
+    return _events_out(consolidate.read_events(spark, table))
+
+
+def ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows parsed, and names resolved anew: each once a dictionary version, whatever the batches."""
+    _, reports = _ingest_in_two(spark, sf)
+    return jobs.read_reports(spark, reports, "counts").agg(
+        F.sum("parsed").alias("parsed"), F.sum("failed").alias("failed"), F.sum("resolved").alias("resolved")
+    )
+
+
+def ingest_report(spark: SparkSession, sf: str) -> DataFrame:
+    _, reports = _ingest(spark, sf, derive.fixture_pages(spark, sf))
+    return jobs.read_match_report(spark, reports)
+
+
 def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     table, _ = _ingest(spark, sf, derive.fixture_pages(spark, sf))
     return _events_out(consolidate.read_events(spark, table))
@@ -344,14 +417,12 @@ def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 def ingest_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     _, reports = _ingest(spark, sf, derive.fixture_pages(spark, sf))
-    return jobs.read_reports(spark, reports, "unmatched").select("league", "name").distinct()
+    names = jobs.read_reports(spark, reports, "names")
+    return names.filter("not hit").select("league", "name").distinct()
 
 
 def ingest_errors(spark: SparkSession, sf: str) -> DataFrame:
-    raw = derive.order_script_pages(spark, sf).unionByName(
-        derive.order_table_pages(spark, sf)
-    ).unionByName(derive.fetched_pages(spark, sf))
-    _, reports = _ingest(spark, sf, raw)
+    _, reports = _ingest(spark, sf, _odd_pages(spark, sf))
     return jobs.read_reports(spark, reports, "errors").groupBy("source", "reason").agg(
         F.count("*").alias("n"), F.sum("page_id").alias("ids")
     )
@@ -431,11 +502,16 @@ QUERIES: dict[str, Query] = {
     "events_for_league": events_for_league,
     "all_events": all_events,
     "count_by_league": count_by_league,
+    "purge_events": purge_events,
     "league_feed": league_feed,
+    "league_feed_files": league_feed_files,
     "pages_to_events": pages_to_events,
     "ingest_stream": ingest_stream,
     "ingest_unmatched": ingest_unmatched,
     "ingest_errors": ingest_errors,
+    "ingest_report": ingest_report,
+    "ingest_changed_dictionary": ingest_changed_dictionary,
+    "ingest_counts": ingest_counts,
     "parse_log_lines": parse_log_lines,
     "log_stream": log_stream,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.test_matching import alias_frame
 from touchline import schemas
-from touchline.operators import consolidate, feed, results
+from touchline.operators import consolidate, feed, kept, results
 from touchline.streaming import jobs
 
 # A small dictionary.
@@ -142,14 +142,85 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, landed):
     assert as_dict(consolidate.read_events(spark, table)) == EXPECTED
     # A second stream over the same rows starts at batch 0 again, under a name of its own.
     jobs.consolidate_stream(matched, table, str(landed / "cp2")).awaitTermination()
-    names = consolidate.live_folders(spark, table)
-    assert len({n.split("-")[0] for n in names}) == 3
-    consolidate.compact_events(spark, table)
-    assert len(consolidate.live_folders(spark, table)) == 1
-    assert as_dict(consolidate.all_events(spark, table)) == EXPECTED
-    consolidate.upsert_events(again, 0, table)
-    assert as_dict(consolidate.read_events(spark, table)) == EXPECTED
-    assert consolidate.writer_id(spark, str(landed / "cp")) in " ".join(names)
+    rows = spark.read.parquet(f"{table}/rows")
+    assert rows.select("writer").distinct().count() == 3
+    new = str(landed / "rewritten")
+    consolidate.rewrite_events(spark, table, new)
+    assert spark.read.parquet(f"{new}/rows").count() == len(EXPECTED)
+    assert as_dict(consolidate.all_events(spark, new)) == EXPECTED
+    consolidate.upsert_events(again, 0, new)
+    assert as_dict(consolidate.read_events(spark, new)) == EXPECTED
+
+
+def test_purged_rows_stay_away(spark, tmp_path):
+    table, new = str(tmp_path / "t"), str(tmp_path / "n")
+    dates = ["2023-12-31", "2024-02-28", "2024-02-29", "2025-01-01", None, ""]
+    rows = [("L", f"{d} vs B", d, "1-0", None, None, None, None, None) for d in dates]
+    events = spark.createDataFrame(rows, schemas.EVENTS).withColumn(
+        "bbc_order", F.expr("named_struct('fetched_at', timestamp'2025-01-01', 'page_id', 1L, 'pos', 1)")
+    )
+    consolidate.upsert_events(events, 0, table, "w")
+    assert consolidate.low_water(spark, table) is None
+    held = lambda path: {r.date for r in consolidate.read_events(spark, path).collect()}
+    assert held(table) == set(dates)
+    consolidate.purge_events(spark, table, "2024-02-29")
+    left = {"2024-02-29", "2025-01-01", None}
+    assert held(table) == left
+    for batch_id, writer in ((0, "w"), (1, "w"), (0, "late")):
+        consolidate.upsert_events(events, batch_id, table, writer)
+        assert held(table) == left
+    # The mark only rises, and it goes along when the table is rewritten.
+    consolidate.purge_events(spark, table, "2023-01-01")
+    consolidate.rewrite_events(spark, table, new)
+    consolidate.upsert_events(events, 5, new)
+    assert held(table) == held(new) == left and consolidate.low_water(spark, new) == "2024-02-29"
+    assert spark.read.parquet(f"{new}/rows").filter("date < '2024-02-29'").count() == 0
+    with pytest.raises(ValueError):
+        consolidate.purge_events(spark, table, "29.2.2024")
+    # A writer that began before the purge may still store older rows; readers leave them out.
+    consolidate._store(events, 9, table, "slow")
+    assert held(table) == left
+
+
+def test_names_are_resolved_once_a_version(spark, tmp_path, monkeypatch):
+    asked = []
+
+    def counted(names, aliases, **options):
+        asked.append({(r.league, r.name) for r in names.collect()})
+        return results.resolve_names(names, aliases, **options)
+
+    monkeypatch.setattr(kept, "resolve_names", counted)
+    path, teams = str(tmp_path / "names"), {"A": TEAMS, "": TEAMS[:2]}
+    rows = [("A", "Man Utd v Chelsea"), ("", "Liverpool v Man United"), ("A", "x v y"), ("Z", "Spurs v Arsenal")]
+    names = spark.createDataFrame(rows, "league string, name string")
+
+    def resolve(names, teams, batch_id, **options):
+        found, count = kept.resolve_kept(names, alias_frame(spark, teams), path, batch_id=batch_id, **options)
+        return {(r.league, r.name): r.canonical for r in found.collect()}, count
+
+    want = {
+        ("A", "Man Utd v Chelsea"): "Manchester United vs Chelsea", ("A", "x v y"): None,
+        ("", "Liverpool v Man United"): "Liverpool vs Manchester United", ("Z", "Spurs v Arsenal"): None,
+    }
+    assert resolve(names, teams, 0) == (want, 4)
+    # A replay, a later batch and another writer resolve nothing.
+    for batch_id, writer in ((0, "main"), (1, "main"), (0, "other")):
+        assert resolve(names, teams, batch_id, writer=writer) == (want, 0)
+    assert len(asked) == 1
+    # Only the league whose dictionary changed, and the one that got a dictionary.
+    teams = {"A": TEAMS, "": [("Liverpool", ["Man United"]), ("Manchester", ["Liverpool"])], "Z": TEAMS}
+    changed = want | {("Z", "Spurs v Arsenal"): "Tottenham Hotspur vs Arsenal", ("", "Liverpool v Man United"): None}
+    assert resolve(names, teams, 2) == (changed, 2)
+    assert asked[1] == {("", "Liverpool v Man United"), ("Z", "Spurs v Arsenal")}
+    more = names.unionByName(spark.createDataFrame([("A", "Arsenal v Spurs")], names.schema))
+    assert resolve(more, teams, 3) == (changed | {("A", "Arsenal v Spurs"): "Arsenal vs Tottenham Hotspur"}, 1)
+    # Options decide as well, and the old dictionary's answers are still there.
+    assert resolve(names, teams, 4, strict=True)[1] == 4
+    assert resolve(names, {"A": TEAMS, "": TEAMS[:2]}, 5) == (want, 0)
+    new = str(tmp_path / "new")
+    kept.rewrite_kept(spark, path, new, alias_frame(spark, teams))
+    assert kept.read_kept(spark, new).count() == 5
+    assert resolve(names.limit(0), teams, 6) == ({}, 0)
 
 
 def test_event_table_edges(spark, tmp_path):
@@ -162,11 +233,13 @@ def test_event_table_edges(spark, tmp_path):
     consolidate.upsert_events(events.where("league != ''"), 0, table, "w1")
     consolidate.upsert_events(events.where("league = ''"), 0, table, "w2")
     assert {r.league for r in consolidate.all_events(spark, table).collect()} == {"", "a/b=%", "null", "7"}
+    assert spark.read.parquet(f"{table}/rows").count() == 4
     for code in ("", "a/b=%", "null", "7"):
         assert [r.league for r in consolidate.events_for_league(spark, table, code).collect()] == [code]
     feed.write_league_feed(feed.league_feed(events, events.select(F.col("league").alias("code"))), f"{table}-feed")
-    lines = [r.value for r in feed.read_league_feed(spark, f"{table}-feed", "a/b=%").collect()]
-    assert json.loads("".join(lines))["count"] == 1
+    for code in ("", "a/b=%", "null", "7"):
+        lines = [r.value for r in feed.read_league_feed(spark, f"{table}-feed", code).collect()]
+        assert json.loads("".join(lines))["count"] == 1
 
 
 def test_feed_of_event_without_date(spark):

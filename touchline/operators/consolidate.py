@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,94 +69,94 @@ def _flat() -> list:
     ]
 
 
-#: Folders of the table that a reader sees; ``upsert_events`` and ``compact_events`` make them.
-_BATCH, _COMPACTED = "batch=", "compacted"
+#: A table is a folder of plain Parquet: ``rows``, and ``marks`` with the dates purged up to.
+_ROWS, _MARKS = "rows", "marks"
+_PARTITIONS = ["year", "writer", "batch"]
 
 
-def _files(spark: SparkSession, path: str):
-    """The file system of ``path`` and the path, as the session's own store sees them."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The Parquet table at ``path``; empty where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
-def _children(spark: SparkSession, path: str) -> list[str]:
-    files, place = _files(spark, path)
-    if not files.exists(place):
-        return []
-    return sorted(status.getPath().getName() for status in files.listStatus(place))
+def _unexpired(rows: DataFrame, mark: str | None) -> DataFrame:
+    """Rows not dated before ``mark``; rows without a date never expire."""
+    return rows if mark is None else rows.filter(F.coalesce(F.col("date") >= mark, F.lit(True)))
 
 
-def live_folders(spark: SparkSession, path: str) -> list[str]:
-    """Completely written folders of the table."""
-    written = [f for f in _children(spark, path) if f.startswith(_BATCH)]
-    return [f for f in written if "_SUCCESS" in _children(spark, f"{path}/{f}")]
+def upsert_events(batch: DataFrame, batch_id: int, path: str, writer: str = "main") -> None:
+    """Add one batch of consolidated rows to the table at ``path``.
 
+    The batch overwrites the partitions of its writer and number, so a replay replaces what
+    its first run wrote; each stream needs a writer name of its own. Earlier batches are not
+    read, so the cost is that of the batch, however large the table. Rows dated before the
+    low-water mark of the table are left out, be they late or replayed.
+    """
+    _store(_unexpired(batch, low_water(batch.sparkSession, path)), batch_id, path, writer)
 
-def _store(rows: DataFrame, folder: str) -> None:
-    # Led by a sign, so that the empty code and codes that look like no value survive.
+
+def _store(rows: DataFrame, batch_id: int, path: str, writer: str) -> None:
+    # Led by a sign, so that values that are empty or look like none survive.
+    keyed = rows.withColumns({
+        "year": F.concat(F.lit("="), F.coalesce(F.substring("date", 1, 4), F.lit(""))),
+        "writer": F.lit(f"={writer}"), "batch": F.lit(batch_id).cast("bigint"),
+    })
+    # Few files a batch however many leagues; in them a league is a range, which readers skip to.
     (
-        rows.withColumn("league_part", F.concat(F.lit("="), "league")).drop("league")
-        .hint("rebalance", "league_part")
-        .write.mode("overwrite").partitionBy("league_part").parquet(folder)
+        keyed.hint("rebalance", "year").sortWithinPartitions(*_PARTITIONS, "league", "date")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*_PARTITIONS).parquet(f"{path}/{_ROWS}")
     )
 
 
-def upsert_events(batch: DataFrame, batch_id: int, path: str, writer: str = "main") -> None:
-    """Add one batch of consolidated rows to the table at ``path``.
+def read_events(spark: SparkSession, path: str, leagues: list[str] | None = None) -> DataFrame:
+    """Current rows of the table; naming leagues reads only the row groups that hold them.
 
-    A batch goes to a folder named by its writer and its number, which only a replay of that
-    batch by that writer replaces. Each stream needs a writer name of its own, one for each
-    checkpoint (``writer_id``). Earlier batches are not read, so the cost is that of the
-    batch, however large the table.
+    Partitions of purged years are not read. A table without batches is empty.
     """
-    _store(batch, f"{path}/{_BATCH}{writer}-{batch_id}")
+    mark = low_water(spark, path)
+    kinds = [T.StringType(), T.StringType(), T.LongType()]
+    stored_as = T.StructType([*schemas.EVENTS, *map(T.StructField, _PARTITIONS, kinds)])
+    stored = read_or_empty(spark, f"{path}/{_ROWS}", stored_as)
+    if leagues is not None:
+        stored = stored.filter(F.col("league").isin(leagues))
+    if mark is not None:
+        stored = stored.filter((F.col("year") == "=") | (F.col("year") >= f"={mark[:4]}"))
+    return merge_events(_unexpired(stored, mark))
 
 
-def writer_id(spark: SparkSession, checkpoint: str) -> str:
-    """The name kept beside a stream's checkpoint; a new checkpoint gets a new name."""
-    folder = f"{checkpoint.rstrip('/')}/writer"
-    names = [f.removeprefix("id=") for f in _children(spark, folder) if f.startswith("id=")]
-    if names:
-        return names[0]
-    name = uuid.uuid4().hex
-    files, place = _files(spark, f"{folder}/id={name}")
-    files.mkdirs(place)
-    return name
+def low_water(spark: SparkSession, path: str) -> str | None:
+    """The date before which rows are purged; null if there was no purge. It only rises."""
+    return read_or_empty(spark, f"{path}/{_MARKS}", "mark string").agg(F.max("mark")).first()[0]
 
 
-def read_events(spark: SparkSession, path: str, leagues: list[str] | None = None) -> DataFrame:
-    """Current rows of the table; naming leagues reads only their folders.
+def purge_events(spark: SparkSession, path: str, before: str) -> None:
+    """Expire all rows dated before the ISO date ``before``, for good.
 
-    A table without batches is empty.
+    The mark is all that is written: readers skip the partitions of earlier years and the
+    earlier rows of its own year, and writers leave such rows out, so neither a late page nor
+    a replayed batch brings them back, not even one that began before the purge. Their files
+    go with the next ``rewrite_events``. A mark below an earlier one has no effect.
     """
-    live = [f"{path}/{f}" for f in live_folders(spark, path)]
-    if not live:
-        return spark.createDataFrame([], schemas.EVENTS)
-    columns = [f for f in schemas.EVENTS if f.name != "league"]
-    stored_as = T.StructType([*columns, T.StructField("league_part", T.StringType())])
-    stored = spark.read.schema(stored_as).option("basePath", path).parquet(*live)
-    if leagues is not None:
-        stored = stored.filter(F.col("league_part").isin([f"={code}" for code in leagues]))
-    return merge_events(stored.withColumn("league", F.substring("league_part", 2, 1 << 30)))
+    mark = date.fromisoformat(before).isoformat()
+    spark.createDataFrame([(mark,)], "mark string").coalesce(1).write.mode("append").parquet(f"{path}/{_MARKS}")
 
 
-def compact_events(spark: SparkSession, path: str) -> None:
-    """Merge the table's folders into one, in place.
+def rewrite_events(spark: SparkSession, path: str, new_path: str) -> None:
+    """A new table at ``new_path`` with the current rows of ``path``, merged, and its mark.
 
-    The merged folder appears complete, then the folders it holds are removed. In between a
-    reader meets rows twice, which merging does not mind, so there is no moment at which rows
-    are missing or wrong. Batches that writers add meanwhile are not touched; a replayed batch
-    that was merged before comes back as a folder and merges again without effect. Run one
-    compaction at a time. A query that started before it and still reads fails and is run again.
+    The old table stays as it is, so its readers are not disturbed; writers move to the new
+    one when the job is done. Purged rows are in the new table no more.
     """
-    live = live_folders(spark, path)
-    if len(live) < 2:
-        return
-    _store(read_events(spark, path), f"{path}/{_BATCH}{_COMPACTED}-{uuid.uuid4().hex}")
-    for folder in live:
-        files, place = _files(spark, f"{path}/{folder}")
-        files.delete(place, True)
+    mark = low_water(spark, path)
+    if mark is not None:
+        purge_events(spark, new_path, mark)
+    _store(read_events(spark, path), 0, new_path, "rewritten")
 
 
 def events_for_league(spark: SparkSession, path: str, code: str) -> DataFrame:

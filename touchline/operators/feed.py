@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from touchline.session import staged
 
 OPENING, EVENT, CLOSING = 0, 1, 2
-_ORDER = ["league", "part", "date", "name"]
+_ORDER = ["league_part", "part", "date", "name"]
 
 
 def league_feed(events: DataFrame, codes: DataFrame) -> DataFrame:
@@ -65,21 +65,29 @@ def _quoted(column: str):
 def write_league_feed(feed: DataFrame, path: str) -> None:
     """Text files per league whose lines, in file order, are the documents.
 
-    Range partitioning sorts across tasks and splits a large league over several files.
+    Range partitioning sorts across tasks and splits a large league over several files. Folders
+    are named by a sign and the code, so that the empty code has one as well.
     """
     (
-        feed.repartitionByRange(*_ORDER)
+        feed.withColumn("league_part", F.concat(F.lit("="), "league"))
+        .repartitionByRange(*_ORDER)
         .sortWithinPartitions(*_ORDER)
-        .select("league", "line")
+        .select("league_part", "line")
         .write.mode("overwrite")
-        .partitionBy("league")
+        .partitionBy("league_part")
         .text(path)
     )
 
 
-def read_league_feed(spark: SparkSession, path: str, code: str) -> DataFrame:
-    """Lines of one league's document with the file each came from."""
-    feed = spark.read.schema("value string, league string").text(path)
-    return feed.where(F.col("league") == code).select(
-        F.col("_metadata.file_name").alias("file"), "value"
+def read_league_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """(league, file, value): the lines of all documents with the file each came from."""
+    feed = spark.read.schema("value string, league_part string").text(path)
+    return feed.select(
+        F.substring("league_part", 2, 1 << 30).alias("league"),
+        F.col("_metadata.file_name").alias("file"), "value",
     )
+
+
+def read_league_feed(spark: SparkSession, path: str, code: str) -> DataFrame:
+    """Lines of one league's document, from its folder only, with the file each came from."""
+    return read_league_feeds(spark, path).where(F.col("league") == code).drop("league")
