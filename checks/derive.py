@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 LEAGUE_PARTS = 50
 LARGE_LEAGUE_PARTS = 1000
+ALL_PARTS = 1_000_000_000  # one league holds every part
 PAGE_ORDERS = 40
 NOON = 1735732800  # 2025-01-01 12:00 UTC
 

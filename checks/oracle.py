@@ -316,6 +316,8 @@ ORACLE: dict[str, str] = {
     "abbrev_join_reverse_large": _resolve(["abbrev1"], LARGE),
     "token_join_large": _resolve(["token"], LARGE),
     "resolve_entities_large": _resolve(_ALL, LARGE),
+    "abbrev_join_all_parts": _resolve(["abbrev0"], derive.ALL_PARTS),
+    "abbrev_join_reverse_all_parts": _resolve(["abbrev1"], derive.ALL_PARTS),
     "resolve_entities_strict": _resolve(_ALL, strict=True),
     "split_matchups": f"""with {_names()}, {_FIXTURES}
         select page_id, pos, case when len(parts) = 2 then parts[1] end as home,

@@ -487,6 +487,8 @@ QUERIES: dict[str, Query] = {
     "abbrev_join_reverse_large": _matcher(matching.abbrev_join, LARGE, reverse=True),
     "token_join_large": _matcher(matching.token_join, LARGE),
     "resolve_entities_large": _matcher(matching.resolve_entities, LARGE),
+    "abbrev_join_all_parts": _matcher(matching.abbrev_join, derive.ALL_PARTS, key_names=100),
+    "abbrev_join_reverse_all_parts": _matcher(matching.abbrev_join, derive.ALL_PARTS, reverse=True, key_names=100),
     "resolve_entities_strict": _matcher(matching.resolve_entities, strict=True),
     "split_matchups": split_matchups,
     "resolve_matchups": resolve_matchups,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests import brute
 from touchline.functions.text import normalized
 from touchline.operators import matching
+from touchline.operators.abbrev_keys import adapted
 
 # Dictionaries of two leagues.
 ENG1 = [
@@ -173,3 +174,31 @@ def test_too_many_aliases_are_refused(spark):
     texts = spark.createDataFrame([("L", "one")], "league string, text string")
     with pytest.raises(Exception, match="too many aliases"):
         matching.exact_join(texts, aliases).collect()
+
+
+@pytest.mark.parametrize("bound", [1, 4, 25])
+@pytest.mark.parametrize("reverse", [False, True])
+def test_crowded_abbreviation_keys_are_opened(spark, monkeypatch, bound, reverse):
+    rng = random.Random(bound)
+    words = ["ab", "abc", "abcab", "ba", "cab", "aab", "b", "a", "é漢"]
+    names = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(220)]
+    names += ["abc" * 3 + str(i) + "x" for i in range(40)] + ["abcabc"] * 3 + ["ab"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(150)]
+    texts += ["abc", "abca", "abcabcabc", "ab ab", "a", "", "abx", "abc" * 3 + "7x", "zz", "aaaa", "abcabcabc12"]
+    leagues = {"L": [(n, []) for n in names], "M": [(n, []) for n in names[:9]]}
+    seen = []
+
+    def recorded(index, probes, most, within=None):
+        out = adapted(index, probes, most, within)
+        seen.append(out[0])
+        return out
+
+    monkeypatch.setattr(matching, "adapted", recorded)
+    rows = [(league, t) for league in leagues for t in texts]
+    step = matching.Strategy("step", matching.ABBREV_REVERSE if reverse else matching.ABBREV)
+    got = resolved(spark, leagues, rows, strategies=[step], direct_limit=0, key_names=bound)
+    rule = "abbrev1" if reverse else "abbrev0"
+    want = {(league, t): brute.resolve(t, leagues[league], [rule])[0] for league, t in rows}
+    assert {k: v[0] for k, v in got.items()} == want
+    keys = seen[0].filter("kind in ('head', 'reverse') and value is not null").groupBy("league", "kind", "key")
+    assert keys.count().agg(F.max("count")).first()[0] <= bound

@@ -30,18 +30,23 @@ def abbreviates(short: str, long: str) -> str:
 
     Takes polynomial time on any input; used where names are too long for the regex.
     """
+    reached = walk("array(1)", f"substring({short}, 2)", long)
+    return f"""({short} = '' or (
+        {long} <> '' and substring({short}, 1, 1) = substring({long}, 1, 1)
+        and size({reached}) > 0))"""
+
+
+def walk(start: str, chars: str, long: str) -> str:
+    """Positions of ``long`` at which reading on with ``chars`` can end, from those of ``start``."""
     hit, space = f"position(c, {long}, p + 1)", f"position(' ', {long}, p + 1)"
     hops = f"""array(
         if({hit} > 0 and ({space} = 0 or {hit} <= {space}), {hit}, 0),
         if({space} > 0 and substring({long}, {space} + 1, 1) = c, {space} + 1, 0))"""
-    reached = f"""aggregate(
-        filter(split(substring({short}, 2), ''), c -> c <> ''),
-        array(1),
+    return f"""aggregate(
+        filter(split({chars}, ''), c -> c <> ''),
+        {start},
         (at, c) -> filter(
             array_distinct(flatten(transform(at, p -> {hops}))), p -> p > 0))"""
-    return f"""({short} = '' or (
-        {long} <> '' and substring({short}, 1, 1) = substring({long}, 1, 1)
-        and size({reached}) > 0))"""
 
 
 def abbrev_heads(long: str) -> str:

@@ -21,7 +21,8 @@ its dictionary size:
   exact          the text                               none
   edit           text with up to two characters gone    sum of the costs
   edit, longer   hash of a third of the text            edit distance
-  abbrev         first characters of an abbreviation    abbreviation rule
+  abbrev         first characters of an abbreviation,   abbreviation rule
+                 more where many names share them
   token          token that makes up half of a name     counts
   token, second  that token and one more                token rule
   =============  =====================================  ==========================
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import abbrev, edits, tokens
 from touchline.functions.text import normalized
+from touchline.operators.abbrev_keys import KEY_NAMES, adapted
 from touchline.session import spread
 
 EXACT, EDIT, ABBREV, ABBREV_REVERSE, TOKEN = "exact", "edit", "abbrev", "abbrev_reverse", "token"
@@ -82,8 +84,7 @@ def resolve_entities(
     aliases: DataFrame,
     strategies: Sequence[Strategy] = DEFAULT_STRATEGIES,
     strict: bool = False,
-    direct_limit: int = DIRECT_LIMIT,
-    broadcast_rows: int = BROADCAST_ROWS,
+    **options,
 ) -> DataFrame:
     """(league, text, entity, strategy) for each distinct text; null where nothing hits.
 
@@ -92,8 +93,7 @@ def resolve_entities(
     """
     names = texts.select("league", "text").distinct().withColumn("x", normalized(F.col("text")))
     best = match_normalized(
-        names.select("league", "x").distinct(),
-        aliases, strategies, strict, direct_limit, broadcast_rows,
+        names.select("league", "x").distinct(), aliases, strategies, strict, **options
     )
     return names.join(best, ["league", "x"], "left").select("league", "text", "entity", "strategy")
 
@@ -130,8 +130,14 @@ def match_normalized(
     strict: bool = False,
     direct_limit: int = DIRECT_LIMIT,
     broadcast_rows: int = BROADCAST_ROWS,
+    key_names: int = KEY_NAMES,
+    within: list[str] | None = None,
 ) -> DataFrame:
-    """(league, x, entity, strategy) for the distinct (league, x) that resolve."""
+    """(league, x, entity, strategy) for the distinct (league, x) that resolve.
+
+    An abbreviation key that more than ``key_names`` names of a league share is replaced by
+    longer ones. What that stages is added to ``within``.
+    """
     for step in strategies:
         if step.kind == EDIT and step.limit not in (0, 1, 2):
             raise ValueError("edit strategies take a limit of 0, 1 or 2")
@@ -164,7 +170,7 @@ def match_normalized(
         large = dictionary
         if profile.direct_rows:
             large = _of_size(dictionary, f"size > {direct_limit}")
-        found.append(_match_indexed(names, large, strategies, profile, broadcast_rows))
+        found.append(_match_indexed(names, large, strategies, profile, broadcast_rows, key_names, within))
     if not found:
         return names.select(
             "league", "x", F.lit(None).cast("string").alias("entity"),
@@ -209,6 +215,7 @@ def _profile(dictionary: DataFrame, direct_limit: int) -> Row:
     return per_league.agg(
         F.expr("coalesce(sum(n), 0) as entities"),
         F.expr("coalesce(sum(bytes), 0) as bytes"),
+        F.expr("coalesce(max(n), 0) as largest"),
         F.expr(f"coalesce(sum(n) filter (where n <= {direct_limit}), 0) as direct_rows"),
         F.expr(f"coalesce(sum(keys) filter (where n > {direct_limit}), 0) as index_rows"),
         *[
@@ -419,6 +426,8 @@ def _match_indexed(
     strategies: Sequence[Strategy],
     profile: Row,
     broadcast_rows: int,
+    key_names: int,
+    within: list[str] | None,
 ) -> DataFrame:
     entries = ", ".join(_index_entries(step) for step in strategies)
     index = (
@@ -428,15 +437,7 @@ def _match_indexed(
         )
         .groupBy("league", "kind", "key", "weight", "total", "value")
         .agg(F.min("place").alias("place"))
-        .selectExpr(
-            "league", "kind", "key", "place",
-            "weight as y_weight", "total as y_total", "value as y",
-        )
-        .selectExpr("*", _pattern_for("reverse", "y"), *tokens.token_columns("y", "y"))
     )
-    if profile.index_rows <= broadcast_rows:
-        index = F.broadcast(index)
-
     probes = f"concat({', '.join(_probe_entries(step, profile) for step in strategies)})"
     if strategies[0].kind == EXACT:
         # Early exit: a text with an exact hit needs no other key.
@@ -447,12 +448,25 @@ def _match_indexed(
         probes = f"if(known, {_probe_entries(strategies[0], profile)}, {probes})"
     probed = (
         _keyed(spread(names, "x", "league"), "x", probes, "league", "x")
-        .selectExpr("league", "x", "kind", "key", "weight as x_weight", "total as x_total")
-        .selectExpr(
-            "*",
-            _pattern_for("head", "x"),
-            *tokens.token_columns("x", "if(kind = 'tokens', x, null)"),
-        )
+        .select("league", "x", "kind", "key", "weight", "total")
+    )
+    # A league with fewer names than that has no key with more.
+    adapts = profile.largest > key_names and {s.kind for s in strategies} & {ABBREV, ABBREV_REVERSE}
+    if adapts:
+        index, probed = adapted(index, probed, key_names, within)
+    index = index.selectExpr(
+        "league", "kind", "key", "place",
+        "weight as y_weight", "total as y_total", "value as y",
+    ).selectExpr("*", _pattern_for("reverse", "y"), *tokens.token_columns("y", "y"))
+    # The bound is on the usual keys; staged ones have a size that Spark sees.
+    if profile.index_rows <= broadcast_rows and not adapts:
+        index = F.broadcast(index)
+    probed = probed.selectExpr(
+        "league", "x", "kind", "key", "weight as x_weight", "total as x_total"
+    ).selectExpr(
+        "*",
+        _pattern_for("head", "x"),
+        *tokens.token_columns("x", "if(kind = 'tokens', x, null)"),
     )
     hit = _first_hit([_confirmed(step, profile) for step in strategies])
     return probed.join(index, ["league", "kind", "key"]).groupBy("league", "x").agg(F.expr(hit))
