@@ -397,6 +397,17 @@ ORACLE: dict[str, str] = {
         sum(length(message))::bigint as chars from ({_LOG}) group by 1""",
 }
 
+ORACLE["log_records"] = f"""with l as ({_LOG}),
+    g as (select *, sum((not continued)::int) over (order by event_id) as record,
+                 strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' as stamp from l)
+    select any_value(stamp) filter (not continued) as time, any_value(level) filter (not continued) as level,
+           any_value('<0.' || user_id || '.0>') filter (not continued) as pids,
+           any_value(case md when 'x' then '' else md end) filter (not continued) as modules,
+           string_agg(message, chr(10) order by event_id) as message, 0 as continued, count(*) as lines
+    from g where record > 0 group by record
+    union all select null, null, null, null, message, 1, 1 from g where record = 0"""
+ORACLE["log_records_stream"] = ORACLE["log_records"]
+
 _PAGE_RESULTS = f"""page_rows as (
         select page_id, source, league, fetched_ms, pos, date, score,
                case when source = 'bbc' then home_text || ' vs ' || away_text

@@ -14,6 +14,7 @@ from touchline.operators.carry import carry_forward as carry
 from touchline.plans.results import consolidated_events, extract_results
 from touchline.session import shared_dir
 from touchline.sources import config, logs, pages
+from touchline.sources import log_records as log_records_of
 from touchline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -455,6 +456,35 @@ def log_stream(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.groupBy("level").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
+def _records_out(records: DataFrame) -> DataFrame:
+    return records.select(
+        "time", "level", F.array_join("pids", ",").alias("pids"),
+        F.array_join("modules", ",").alias("modules"), "message",
+        F.col("is_continuation").cast("int").alias("continued"), "lines",
+    )
+
+
+def log_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole records of a log in eight files, whose borders cut some."""
+    path = shared_dir(spark, "log")
+    lines = derive.log_lines(spark, sf).repartitionByRange(8, "event_id")
+    lines.sortWithinPartitions("event_id").select("value").write.text(path)
+    return _records_out(log_records_of.log_records(log_records_of.read_lines(spark, path)))
+
+
+def log_records_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same log in six files that arrive one after the other, two a batch."""
+    path, out = shared_dir(spark, "log"), shared_dir(spark, "records")
+    lines = derive.log_lines(spark, sf)
+    size = lines.agg(F.max("event_id") + 1).first()[0]
+    for part in range(6):
+        own = lines.filter(f"event_id * 6 div {size} = {part}").coalesce(1)
+        own.sortWithinPartitions("event_id").select("value").write.mode("append").text(path)
+    arriving = log_records_of.stream_lines(spark, path, max_files=2)
+    log_records_of.follow_records(arriving, out, shared_dir(spark, "state")).awaitTermination()
+    return _records_out(log_records_of.read_records(spark, out))
+
+
 LARGE = derive.LARGE_LEAGUE_PARTS
 
 QUERIES: dict[str, Query] = {
@@ -516,4 +546,6 @@ QUERIES: dict[str, Query] = {
     "ingest_counts": ingest_counts,
     "parse_log_lines": parse_log_lines,
     "log_stream": log_stream,
+    "log_records": log_records,
+    "log_records_stream": log_records_stream,
 }

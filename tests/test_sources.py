@@ -1,5 +1,7 @@
 import json
+import os
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -10,7 +12,7 @@ from touchline.functions.text import normalized
 from touchline.operators.carry import carry_forward
 from touchline.operators.table_pages import collapse_repeats
 from touchline.session import shared_dir
-from touchline.sources import config, logs, pages
+from touchline.sources import config, log_records, logs, pages
 from tests import brute
 
 
@@ -172,3 +174,78 @@ def test_crawl_needs_a_cycle(spark):
     leagues = spark.createDataFrame([("A", "a", 1, 0)], "code string, bbcName string, thefishyId int, league_idx int")
     with pytest.raises(ValueError, match="cycles"):
         pages.crawl_table(leagues, pages.SOURCES, "2025-01-01", cycles=0)
+
+
+def whole_records(lines):
+    """(message, lines, flag) of each record, read line by line."""
+    out = []
+    for line in lines:
+        words = line.split(" ", 2)
+        if line.startswith("20") and len(words) == 3:
+            start = re.match(r"(?s)^20[^ ]*(?: \d[^ ]*)? ", line).end()
+            out.append([re.sub(r"^\[\w+\] ", "", line[start:]), 1, False])
+        elif out and not out[-1][2]:
+            out[-1][0] += "\n" + line
+            out[-1][1] += 1
+        else:
+            out.append([line, 1, True])
+    return sorted(map(tuple, out))
+
+
+def log_text(rng, count):
+    lines = ["orphan", "  at the start"]
+    for i in range(count):
+        lines.append(f"2025-11-20T10:00:{i % 60:02d} [{rng.choice(['info', 'Error', 'x'])}] message {i} é <0.{i}.0>")
+        lines += [rng.choice(["    at line", "2025 short", "", "[error] not a head"])] * rng.choice([0, 0, 1, 2, 30])
+    return lines
+
+
+def test_log_records_over_splits_and_files(spark, tmp_path):
+    rng = random.Random(8)
+    logs_ = {name: log_text(rng, 150) for name in ("a", "b")}
+    logs_["c"] = ["never", "a head"]
+    for name, lines in logs_.items():
+        (tmp_path / name).mkdir()
+        cuts = sorted(rng.sample(range(1, len(lines)), min(5, len(lines) - 1)))
+        for k, (i, j) in enumerate(zip([0, *cuts], [*cuts, len(lines)], strict=True)):
+            (tmp_path / name / f"app-{k:03d}.log").write_text("\n".join(lines[i:j]) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "300b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            lines = log_records.read_lines(spark, f"{tmp_path}/*")
+            if size == "300b":
+                assert lines.select("file", "block").distinct().count() > 60
+            rows = log_records.log_records(lines).collect()
+            for name, text in logs_.items():
+                own = [(r.message, r.lines, r.is_continuation) for r in rows if r.log.endswith(f"/{name}")]
+                assert sorted(own) == whole_records(text)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    first = next(r for r in rows if r.message.startswith("message 0 "))
+    assert first.pids == ["<0.0.0>"] and first.time.startswith("2025-11-20T10:00:00")
+    assert log_records.log_records(lines.limit(0)).collect() == []
+
+
+def test_log_records_across_batches(spark, tmp_path):
+    rng = random.Random(9)
+    text = log_text(rng, 60) + ["2025-11-21 10:00:00 last one", "goes on"]
+    (tmp_path / "log").mkdir()
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    cuts = [0, 1, 40, 41, 60, 61, 62, 90, len(text)]
+    done = 0
+    for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        path = tmp_path / "log" / f"app-{rng.randrange(10**6)}.log"
+        path.write_text("\n".join(text[i:j]) + "\n")
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+        if k % 3 == 2 or j == len(text):
+            lines = log_records.stream_lines(spark, str(tmp_path / "log"), max_files=1)
+            log_records.follow_records(lines, out, state).awaitTermination()
+            rows = log_records.read_records(spark, out).collect()
+            assert sorted((r.message, r.lines, r.is_continuation) for r in rows) == whole_records(text[:j])
+            stored = spark.read.parquet(f"{out}/records").count()
+            assert done <= stored == len(rows) - 1
+            done = stored
+    assert log_records.read_records(spark, str(tmp_path / "nothing")).collect() == []

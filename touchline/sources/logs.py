@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The levels in the order they are looked for, and the component names.
@@ -20,6 +20,11 @@ def stream_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.text(path)
 
 
+def is_head(line: Column) -> Column:
+    """Whether a line begins a record: it starts with a year of this century and has three words."""
+    return line.startswith("20") & (F.size(F.split(line, " ", 3)) == 3)
+
+
 def parse_log_lines(df: DataFrame, column: str = "value") -> DataFrame:
     """Add time, level, pids, modules, message and is_continuation of a line.
 
@@ -27,7 +32,7 @@ def parse_log_lines(df: DataFrame, column: str = "value") -> DataFrame:
     words, continues the one above and gets nothing but the flag and its text.
     """
     line = F.col(column)
-    is_head = line.startswith("20") & (F.size(F.split(line, " ", 3)) == 3)
+    head_line = is_head(line)
     head = r"^(20[^ ]*(?: \d[^ ]*)?) (.*)$"
     rest = F.regexp_extract(line, f"(?s){head}", 2)
     level = F.coalesce(
@@ -46,7 +51,7 @@ def parse_log_lines(df: DataFrame, column: str = "value") -> DataFrame:
     message = F.regexp_replace(rest, r"(?s)^\[\w+\] ", "")
     return df.select(
         "*",
-        *[F.when(is_head, value).alias(name) for name, value in fields.items()],
-        F.when(is_head, message).otherwise(line).alias("message"),
-        (~is_head).alias("is_continuation"),
+        *[F.when(head_line, value).alias(name) for name, value in fields.items()],
+        F.when(head_line, message).otherwise(line).alias("message"),
+        (~head_line).alias("is_continuation"),
     )
