@@ -64,10 +64,16 @@ _RULES = {
 }
 
 
+for _k in (3, 4):
+    _RULES[f"edit{_k}"] = f"levenshtein(x, y) <= {_k}"
+_RULES["surname"] = "string_split(x, ' ')[-1] = string_split(y, ' ')[-1] and left(x, 1) = left(y, 1)"
+_LABELS = {"edit3": "edit", "edit4": "edit"}
+
+
 def _best(rules: list[str], strict: bool = False) -> str:
     """Needs keyed(league, x) and aliases; the first hit of every text by brute force."""
     cases = " ".join(f"when {_RULES[r]} then {i}" for i, r in enumerate(rules))
-    labels = " ".join(f"when {i} then '{r}'" for i, r in enumerate(rules))
+    labels = " ".join(f"when {i} then '{_LABELS.get(r, r)}'" for i, r in enumerate(rules))
     given = "where x <> '' and y <> ''" if strict else ""
     return f"""dictionary as (
         select league, y, arg_min(entity, (entity_pos, alias_pos)) as entity,
@@ -90,7 +96,7 @@ def _resolve(rules: list[str], size: int = N, strict: bool = False) -> str:
     from normed n left join best b on n.league = b.league and n.x = b.x"""
 
 
-_ALL = list(_RULES)
+_ALL = ["exact", "edit", "abbrev0", "abbrev1", "token"]
 
 _FIXTURES = f"""lines as (
         select l_orderkey, l_linenumber, l_partkey as home_key,
@@ -318,6 +324,11 @@ ORACLE: dict[str, str] = {
     "resolve_entities_large": _resolve(_ALL, LARGE),
     "abbrev_join_all_parts": _resolve(["abbrev0"], derive.ALL_PARTS),
     "abbrev_join_reverse_all_parts": _resolve(["abbrev1"], derive.ALL_PARTS),
+    "edit_join_k3": _resolve(["edit3"]),
+    "edit_join_k3_large": _resolve(["edit3"], LARGE),
+    "edit_join_k4_large": _resolve(["edit4"], LARGE),
+    "resolve_entities_own": _resolve([*_ALL, "surname"]),
+    "resolve_entities_own_large": _resolve(["exact", "surname", "edit"], LARGE),
     "resolve_entities_strict": _resolve(_ALL, strict=True),
     "split_matchups": f"""with {_names()}, {_FIXTURES}
         select page_id, pos, case when len(parts) = 2 then parts[1] end as home,

@@ -486,6 +486,11 @@ def log_records_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LARGE = derive.LARGE_LEAGUE_PARTS
+#: A strategy of the caller: the last word is the same, and the first letter.
+SURNAME = matching.Strategy(
+    "surname", matching.OWN, keys="array(substring_index({t}, ' ', -1))",
+    holds="substring(x, 1, 1) = substring(y, 1, 1)",
+)
 
 QUERIES: dict[str, Query] = {
     "read_leagues": read_leagues,
@@ -517,6 +522,16 @@ QUERIES: dict[str, Query] = {
     "abbrev_join_reverse_large": _matcher(matching.abbrev_join, LARGE, reverse=True),
     "token_join_large": _matcher(matching.token_join, LARGE),
     "resolve_entities_large": _matcher(matching.resolve_entities, LARGE),
+    "edit_join_k3": _matcher(matching.edit_join, k=3),
+    "edit_join_k3_large": _matcher(matching.edit_join, LARGE, k=3),
+    "edit_join_k4_large": _matcher(matching.edit_join, LARGE, k=4),
+    "resolve_entities_own": _matcher(
+        matching.resolve_entities, strategies=[*matching.DEFAULT_STRATEGIES, SURNAME]
+    ),
+    "resolve_entities_own_large": _matcher(
+        matching.resolve_entities, LARGE,
+        strategies=[matching.DEFAULT_STRATEGIES[0], SURNAME, matching.DEFAULT_STRATEGIES[1]],
+    ),
     "abbrev_join_all_parts": _matcher(matching.abbrev_join, derive.ALL_PARTS, key_names=100),
     "abbrev_join_reverse_all_parts": _matcher(matching.abbrev_join, derive.ALL_PARTS, reverse=True, key_names=100),
     "resolve_entities_strict": _matcher(matching.resolve_entities, strict=True),

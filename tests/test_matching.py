@@ -151,8 +151,12 @@ def test_strict_leaves_empty_texts_alone(spark):
 def test_bad_limits(spark):
     aliases = alias_frame(spark, {"ENG1": ENG1})
     frame = spark.createDataFrame([("ENG1", "x")], "league string, text string")
-    with pytest.raises(ValueError):
-        matching.edit_join(frame, aliases, k=3)
+    for limit in (-1, 1.5):
+        with pytest.raises(ValueError):
+            matching.edit_join(frame, aliases, k=limit)
+    for own in (matching.Strategy("a b", matching.OWN, keys="array({t})"), matching.Strategy("a", matching.OWN)):
+        with pytest.raises(ValueError):
+            matching.resolve_entities(frame, aliases, [own])
     with pytest.raises(ValueError):
         matching.token_join(frame, aliases, threshold=0.2)
 
@@ -202,3 +206,48 @@ def test_crowded_abbreviation_keys_are_opened(spark, monkeypatch, bound, reverse
     assert {k: v[0] for k, v in got.items()} == want
     keys = seen[0].filter("kind in ('head', 'reverse') and value is not null").groupBy("league", "kind", "key")
     assert keys.count().agg(F.max("count")).first()[0] <= bound
+
+
+@pytest.mark.parametrize("k", [3, 4, 6])
+@pytest.mark.parametrize("way", ["direct", "indexed", "indexed_shuffled"])
+def test_any_number_of_edits(spark, k, way):
+    rng = random.Random(k)
+    names = [random_name(rng, "abc", 5) or "c" for _ in range(40)] + ["ab", "a", "b" * 30]
+    texts = {("L", t) for t in ["", "c", "bb", "cccccc", "b" * 27, "b" * 40]}
+    for name in names:
+        for edits in (1, 2, k, k + 1):
+            text = name
+            for _ in range(edits):
+                at = rng.randint(0, len(text))
+                text = text[:at] + rng.choice(["", "x", "ab"[rng.randint(0, 1)]]) + text[at + rng.randint(0, 1):]
+            texts.add(("L", text))
+    leagues = {"L": [(name, []) for name in names]}
+    got = resolved(spark, leagues, sorted(texts), strategies=[matching.Strategy("edit", matching.EDIT, k)], **WAYS[way])
+    for (_, text), (entity, _) in got.items():
+        near = [n for n in names if brute.distance(brute.norm(text), brute.norm(n)) <= k]
+        assert entity == (near[0] if near else None), text
+
+
+def test_own_strategy_is_the_same_in_every_way(spark):
+    rng = random.Random(4)
+    names = [random_name(rng, "abc", 3) or "c" for _ in range(60)]
+    texts = sorted({("L", spoiled(rng, rng.choice(names), "abc")) for _ in range(150)} | {("L", "")})
+    own = matching.Strategy(
+        "shares_word", matching.OWN, keys="split({t}, ' ')", holds="abs(length(x) - length(y)) <= 1"
+    )
+    steps = [matching.DEFAULT_STRATEGIES[0], own, matching.DEFAULT_STRATEGIES[2]]
+    found = [resolved(spark, {"L": [(n, []) for n in names]}, texts, strategies=steps, **WAYS[way]) for way in WAYS]
+    assert all(f == found[0] for f in found)
+
+    def rule(x, y):
+        return bool(set(x.split(" ")) & set(y.split(" "))) and abs(len(x) - len(y)) <= 1
+
+    for (_, text), hit in found[0].items():
+        x = brute.norm(text)
+        want = (None, None)
+        for name, test in (("exact", lambda x, y: x == y), ("shares_word", rule), ("abbrev0", brute.abbreviates)):
+            first = next((n for n in names if test(x, brute.norm(n))), None)
+            if first is not None:
+                want = (first, name)
+                break
+        assert hit == want, text

@@ -1,4 +1,7 @@
-"""Keys that turn "within two edits" into an equality, as SQL expressions."""
+"""Keys that turn "within k edits" into an equality, as SQL expressions.
+
+Up to two edits have keys that prove a hit by themselves; more go by segments alone.
+"""
 
 from __future__ import annotations
 
@@ -42,6 +45,39 @@ def edit_keys() -> str:
                    {key("i", 1, 1)}, {key("i, ',', j", 2, 0)}) end"""
 
 
+def part_index_keys(text: str, k: int) -> str:
+    """Keys of the ``k`` + 1 near-equal segments of a dictionary text, one of which survives."""
+    start, width = _part(k + 1)
+    segment = f"substring({text}, int({start} + 1), int({width}))"
+    return f"""flatten(transform(array(length({text})), n -> transform(
+        sequence(0, {k}), part -> {_segment_key(segment)})))"""
+
+
+def part_probe_keys(text: str, k: int) -> str:
+    """Keys under which texts within ``k`` edits of ``text`` may be indexed.
+
+    Of the segments that survive, one lies so that at most as many edits are left of it as
+    there are segments left of it, and likewise right of it; so a segment is looked up only
+    as far from its place as that allows.
+    """
+    start, width = _part(k + 1)
+    gap = f"(length({text}) - n)"
+    low = f"greatest(-part, {gap} - ({k} - part), -({start}))"
+    high = f"least(part, {gap} + ({k} - part))"
+    shifts = f"if({low} <= {high}, sequence(int({low}), int({high})), cast(array() as array<int>))"
+    segment = f"substring({text}, int({start} + shift + 1), int({width}))"
+    return f"""array_distinct(flatten(flatten(transform(
+        filter(sequence(length({text}) - {k}, length({text}) + {k}), n -> n >= 0),
+        n -> transform(sequence(0, {k}), part -> transform(
+            {shifts}, shift -> {_segment_key(segment)}))))))"""
+
+
+def _part(parts: int) -> tuple[str, str]:
+    """Start from 0 and width of a segment of a text with ``n`` characters."""
+    start = f"(n div {parts}) * part"
+    return start, f"if(part < {parts - 1}, n div {parts}, n - (n div {parts}) * part)"
+
+
 # Start and width of one of three near-equal segments of a text with ``n`` characters.
 _PARTS = MAX_EDITS + 1
 _START = f"(n div {_PARTS}) * part + 1"

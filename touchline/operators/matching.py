@@ -21,6 +21,8 @@ its dictionary size:
   exact          the text                               none
   edit           text with up to two characters gone    sum of the costs
   edit, longer   hash of a third of the text            edit distance
+  edit, k > 2    hash of one of k + 1 parts             edit distance
+  own            keys of the strategy                   condition of the strategy
   abbrev         first characters of an abbreviation,   abbreviation rule
                  more where many names share them
   token          token that makes up half of a name     counts
@@ -43,14 +45,22 @@ from touchline.operators.abbrev_keys import KEY_NAMES, adapted
 from touchline.session import spread
 
 EXACT, EDIT, ABBREV, ABBREV_REVERSE, TOKEN = "exact", "edit", "abbrev", "abbrev_reverse", "token"
+OWN = "own"
 
 
 class Strategy(NamedTuple):
-    """One step of the cascade; ``limit`` is the edit count or the token threshold."""
+    """One step of the cascade; ``limit`` is the edit count or the token threshold.
+
+    A strategy of the kind ``OWN`` is given by SQL: ``keys`` is an array of keys of a text,
+    which it names ``{t}``, and ``holds`` a condition on ``x``, the text, and ``y``, the alias.
+    It hits where the two have a key in common and the condition is true.
+    """
 
     name: str
     kind: str
     limit: float | None = None
+    keys: str | None = None
+    holds: str = "true"
 
 
 DEFAULT_STRATEGIES = (
@@ -139,8 +149,10 @@ def match_normalized(
     longer ones. What that stages is added to ``within``.
     """
     for step in strategies:
-        if step.kind == EDIT and step.limit not in (0, 1, 2):
-            raise ValueError("edit strategies take a limit of 0, 1 or 2")
+        if step.kind == EDIT and (step.limit < 0 or step.limit != int(step.limit)):
+            raise ValueError("edit strategies take a whole number from 0 as limit")
+        if step.kind == OWN and not (step.keys and step.name.isidentifier()):
+            raise ValueError("own strategies take keys and a name that is an identifier")
         if step.kind == TOKEN and not 0.5 <= step.limit <= 1:
             raise ValueError("token strategies take a threshold from 0.5 to 1")
 
@@ -292,6 +304,8 @@ def _holds(step: Strategy, profile: Row) -> str:
         return f"(abs(x_length - y_length) <= {k} and levenshtein(x, y, {k}) >= 0)"
     if step.kind == TOKEN:
         return tokens.tokens_agree(step.limit, bool(profile.repeats))
+    if step.kind == OWN:
+        return f"(arrays_overlap({step.keys.format(t='x')}, {step.keys.format(t='y')}) and ({step.holds}))"
     short, long = ("x", "y") if step.kind == ABBREV else ("y", "x")
     return f"""({short}_length = 0 or (
         x_first = y_first and {short}_length <= {long}_length
@@ -350,9 +364,22 @@ def _edit_entries(text: str, k: int, segments: str, value: str) -> str:
         {_entries_when(f"length({text}) > {_LONGEST_KEYED - edits.MAX_EDITS}", split)})"""
 
 
+def _own_entries(step: Strategy, text: str, value: str) -> str:
+    entry = _entry(f"own {step.name}", "string(k)", value=value)
+    return f"transform({step.keys.format(t=text)}, k -> {entry})"
+
+
+def _part_entries(keys: str, value: str) -> str:
+    return f"transform({keys}, s -> {_entry('segment', 's', value=value)})"
+
+
 def _index_entries(step: Strategy) -> str:
     if step.kind == EXACT:
         return f"array({_entry('exact', 'y')})"
+    if step.kind == OWN:
+        return _own_entries(step, "y", "y")
+    if step.kind == EDIT and step.limit > edits.MAX_EDITS:
+        return _part_entries(edits.part_index_keys("y", int(step.limit)), "y")
     if step.kind == EDIT:
         return _edit_entries("y", int(step.limit), edits.segment_index_keys("y"), "y")
     if step.kind == TOKEN:
@@ -376,6 +403,12 @@ def _index_entries(step: Strategy) -> str:
 def _probe_entries(step: Strategy, profile: Row) -> str:
     if step.kind == EXACT:
         return f"array({_entry('exact', 'x')})"
+    if step.kind == OWN:
+        return _own_entries(step, "x", "null")
+    if step.kind == EDIT and step.limit > edits.MAX_EDITS:
+        k = int(step.limit)
+        parts = _part_entries(edits.part_probe_keys("x", k), "null")
+        return _entries_when(f"length(x) <= {profile.longest + k}", parts)
     if step.kind == EDIT:
         return _entries_when(
             f"length(x) <= {profile.longest + edits.MAX_EDITS}",
@@ -401,6 +434,8 @@ def _confirmed(step: Strategy, profile: Row) -> str:
     """Whether a pair that met on a key of ``step`` is a hit."""
     if step.kind == EXACT:
         return "kind = 'exact'"
+    if step.kind == OWN:
+        return f"(kind = 'own {step.name}' and ({step.holds}))"
     if step.kind == EDIT:
         k = int(step.limit)
         return f"""((kind = 'edit' and x_weight + y_weight + x_total <= {k})
