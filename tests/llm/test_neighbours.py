@@ -70,3 +70,23 @@ def test_few_rows(spark):
     assert nearest(df.limit(1), "vec_id = 0").collect() == []
     assert nearest(df.limit(0), "vec_id = 0").collect() == []
     assert nearest(df, "vec_id is null").collect() == []
+
+
+def test_multiples_of_one_vector_tie_by_id(spark):
+    rng = np.random.default_rng(6)
+    one = rng.standard_normal(24)
+    vectors = np.concatenate((one * rng.uniform(0.1, 9, (3000, 1)), rng.standard_normal((200, 24))))
+    ids = rng.permutation(len(vectors))
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(frame, "vec_id % 50 = 0", settings=Settings(cell_rows=500, leaf_rows=64)).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    norms = np.linalg.norm(vectors, axis=1)
+    asked = [i for i in range(3000) if ids[i] % 50 == 0]
+    for i in asked:
+        scores = (vectors * vectors[i]).sum(axis=1) / (norms * np.linalg.norm(vectors[i]))
+        order = np.lexsort((ids, -scores))
+        assert found[int(ids[i])] == [int(ids[j]) for j in order if j != i][:5]
+    assert len(asked) > 40

@@ -21,6 +21,11 @@ from pyspark.sql import functions as F
 from touchline.session import staged
 
 
+#: Allowance of the stopping test for rounding, in squared distance: vectors that point the same
+#: way project alike but for rounding, and none of them may be left out.
+ROUNDING = 1e-12
+
+
 @dataclass(frozen=True)
 class Settings:
     dimensions: int = 8  # of the projection; even
@@ -137,11 +142,11 @@ class Tree:
         places, cosines = np.zeros(0, np.int64), np.zeros(0)
         worst = limit
         for leaf in np.argsort(bounds):
-            if bounds[leaf] > self.quantile * worst:
+            if bounds[leaf] > self.quantile * worst + ROUNDING:
                 break
             rows = self.leaves[leaf]
             off = self.flat[rows] - flat
-            rows = rows[(off * off).sum(axis=1) <= self.quantile * worst]
+            rows = rows[(off * off).sum(axis=1) <= self.quantile * worst + ROUNDING]
             if not rows.size:
                 continue
             places = np.concatenate((places, rows))
@@ -274,7 +279,7 @@ def nearest(
             worst = np.array([inf if w is None else w for w in batch.column(4).to_pylist()])
             bounds = cells.bounds(_unit(_matrix(batch.column(3)))[0] @ matrix)
             bounds[np.arange(len(own)), own] = inf
-            go, to = np.nonzero((bounds <= quantile * worst[:, None]) & (bounds < inf))
+            go, to = np.nonzero((bounds <= quantile * worst[:, None] + ROUNDING) & (bounds < inf))
             sent = batch.take(pa.array(go))
             yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *sent.columns[1:]], names=batch.schema.names)
 
