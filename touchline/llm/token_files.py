@@ -29,10 +29,10 @@ MAGIC = b"RANKVB01"
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8"), ("control", "<u8"), ("data", "<u8")])
 #: A file closes with the document that brings it to this many bytes.
 FILE_BYTES = 8 << 20
-#: Bytes of distinct words and their ids that a worker keeps, about; then it starts anew.
-KEPT_BYTES = 160_000_000
-#: What an entry of two byte strings takes besides its content.
-ENTRY_BYTES = 180
+#: Distinct words that a worker keeps with their ids, at about 180 bytes each besides their
+#: content, and bytes of that content; beyond either it starts anew.
+KEPT_WORDS = 800_000
+KEPT_BYTES = 64_000_000
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
@@ -97,7 +97,7 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, of type ``dtype``."""
-        if self.held > KEPT_BYTES:
+        if len(self.known) > KEPT_WORDS or self.held > KEPT_BYTES:
             self.known.clear()
             self.held = 0
         cut = []
@@ -107,10 +107,9 @@ class WordIds:
             cut.append((octets if b"<|" in octets else octets.lower()).split())
         new = set().union(*cut).difference(self.known)
         if new:
-            before = len(self.known)
             self._learn(new)
             # A word's stem may be kept beside it.
-            self.held += ENTRY_BYTES * (len(self.known) - before) + 2 * sum(len(w) + len(self.known[w]) for w in new)
+            self.held += 2 * (sum(map(len, new)) + sum(map(len, map(self.known.__getitem__, new))))
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 
