@@ -67,7 +67,11 @@ _RULES = {
 for _k in (3, 4):
     _RULES[f"edit{_k}"] = f"levenshtein(x, y) <= {_k}"
 _RULES["surname"] = "string_split(x, ' ')[-1] = string_split(y, ' ')[-1] and left(x, 1) = left(y, 1)"
-_LABELS = {"edit3": "edit", "edit4": "edit"}
+for _name, _least in (("token_third", 0.3), ("token_tenth", 0.1)):
+    _RULES[_name] = f"""x <> '' and y <> '' and list_sum(list_transform(string_split(x, ' '),
+        lambda t: len(list_filter(string_split(y, ' '), lambda u: u = t))))
+        / (len(string_split(x, ' ')) * len(string_split(y, ' ')))::double >= {_least}::double"""
+_LABELS = {"edit3": "edit", "edit4": "edit", "token_third": "token", "token_tenth": "token"}
 
 
 def _best(rules: list[str], strict: bool = False) -> str:
@@ -321,6 +325,9 @@ ORACLE: dict[str, str] = {
     "abbrev_join_large": _resolve(["abbrev0"], LARGE),
     "abbrev_join_reverse_large": _resolve(["abbrev1"], LARGE),
     "token_join_large": _resolve(["token"], LARGE),
+    "token_join_third": _resolve(["token_third"]),
+    "token_join_third_large": _resolve(["token_third"], LARGE),
+    "token_join_tenth_all_parts": _resolve(["token_tenth"], derive.ALL_PARTS),
     "resolve_entities_large": _resolve(_ALL, LARGE),
     "abbrev_join_all_parts": _resolve(["abbrev0"], derive.ALL_PARTS),
     "abbrev_join_reverse_all_parts": _resolve(["abbrev1"], derive.ALL_PARTS),

@@ -521,6 +521,9 @@ QUERIES: dict[str, Query] = {
     "abbrev_join_large": _matcher(matching.abbrev_join, LARGE),
     "abbrev_join_reverse_large": _matcher(matching.abbrev_join, LARGE, reverse=True),
     "token_join_large": _matcher(matching.token_join, LARGE),
+    "token_join_third": _matcher(matching.token_join, threshold=0.3),
+    "token_join_third_large": _matcher(matching.token_join, LARGE, threshold=0.3),
+    "token_join_tenth_all_parts": _matcher(matching.token_join, derive.ALL_PARTS, threshold=0.1),
     "resolve_entities_large": _matcher(matching.resolve_entities, LARGE),
     "edit_join_k3": _matcher(matching.edit_join, k=3),
     "edit_join_k3_large": _matcher(matching.edit_join, LARGE, k=3),

@@ -35,9 +35,9 @@ def abbreviates(short, long):
     return bool(reached)
 
 
-def overlap(a, b):
+def overlap(a, b, least=0.5):
     xs, ys = a.split(), b.split()
-    return bool(xs and ys) and sum(x == y for x in xs for y in ys) / (len(xs) * len(ys)) >= 0.5
+    return bool(xs and ys) and sum(x == y for x in xs for y in ys) / (len(xs) * len(ys)) >= least
 
 
 RULES = {

@@ -8,6 +8,7 @@ from tests import brute
 from touchline.functions.text import normalized
 from touchline.operators import matching
 from touchline.operators.abbrev_keys import adapted
+from touchline.operators.token_keys import rarest
 
 # Dictionaries of two leagues.
 ENG1 = [
@@ -157,8 +158,9 @@ def test_bad_limits(spark):
     for own in (matching.Strategy("a b", matching.OWN, keys="array({t})"), matching.Strategy("a", matching.OWN)):
         with pytest.raises(ValueError):
             matching.resolve_entities(frame, aliases, [own])
-    with pytest.raises(ValueError):
-        matching.token_join(frame, aliases, threshold=0.2)
+    for limit in (0, -0.5, 1.5):
+        with pytest.raises(ValueError):
+            matching.token_join(frame, aliases, threshold=limit)
 
 
 def test_long_texts_take_the_walk(spark):
@@ -228,6 +230,36 @@ def test_any_number_of_edits(spark, k, way):
         assert entity == (near[0] if near else None), text
 
 
+@pytest.mark.parametrize(
+    "threshold, way",
+    [(0.3, "direct"), (0.3, "indexed"), (0.1, "indexed_shuffled"), (1 / 3, "indexed"), (0.45, "indexed")],
+)
+def test_low_token_thresholds(spark, monkeypatch, threshold, way):
+    rng = random.Random(f"{threshold}{way}")
+    words = ["fc", "united", "é漢", "a", "b", "c", *(f"w{chr(97 + i)}" for i in range(20))]
+    names = [" ".join(rng.choices(words, [9, 6, 3] + [1] * 23, k=rng.randint(1, 12))) for _ in range(250)]
+    texts = {" ".join(rng.choices([*words, "unknown"], [9, 6, 3] + [1] * 24, k=rng.randint(1, 12))) for _ in range(200)}
+    texts |= {" ".join(rng.sample(n.split(), len(n.split()))) for n in names[:60]} | {"", "fc", "fc united", "united fc fc"}
+    leagues = {"L": [(n, []) for n in names], "M": [(n, []) for n in names[:7]]}
+    rows = sorted((league, t) for league in leagues for t in texts)
+    asked = []
+
+    def recorded(index, probes, within=None):
+        out = rarest(index, probes, within)
+        asked.append(out[0])
+        return out
+
+    monkeypatch.setattr(matching, "rarest", recorded)
+    step = matching.Strategy("token", matching.TOKEN, threshold)
+    got = resolved(spark, leagues, rows, strategies=[step], **WAYS[way])
+    for (league, text), (entity, _) in got.items():
+        x = brute.norm(text)
+        near = [n for n, _ in leagues[league] if brute.overlap(x, brute.norm(n), threshold)]
+        assert entity == (near[0] if near else None), (league, text)
+    if way == "indexed":
+        assert asked[0].filter("kind = 'rare' and key = 'fc' and league = 'L'").isEmpty()
+
+
 def test_own_strategy_is_the_same_in_every_way(spark):
     rng = random.Random(4)
     names = [random_name(rng, "abc", 3) or "c" for _ in range(60)]

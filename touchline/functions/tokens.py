@@ -27,8 +27,8 @@ def tokens_agree(threshold: float, long_repeats: bool) -> str:
     """Equal token pairs over the product of the token counts reach ``threshold``.
 
     Reads the columns x, y and those of ``token_columns``. If both sides have more than
-    two tokens the rule can hold only where both repeat one; ``long_repeats`` says
-    whether the dictionary has such names.
+    two tokens the rule can hold only where both repeat one, if the threshold is 0.5 or more;
+    ``long_repeats`` says whether the dictionary has such names.
     """
 
     def same(a: str, b: str) -> str:
@@ -36,13 +36,17 @@ def tokens_agree(threshold: float, long_repeats: bool) -> str:
 
     pairs = " + ".join(same(a, b) for a in ("x_t1", "x_t2") for b in ("y_t1", "y_t2"))
     rest = "0"
-    if long_repeats:
+    if long_repeats or threshold < 0.5:
         rest = f"aggregate(split(x, ' '), 0, (total, t) -> total + {occurrences('t', 'y')})"
-    return f"""(x_n > 0 and y_n > 0 and {threshold}D * x_n * y_n <= case
+    equal = f"""case
         when x_n <= 2 and y_n <= 2 then {pairs}
         when y_n <= 2 then {occurrences('y_t1', 'x')} + {occurrences('y_t2', 'x')}
         when x_n <= 2 then {occurrences('x_t1', 'y')} + {occurrences('x_t2', 'y')}
-        else {rest} end)"""
+        else {rest} end"""
+    if threshold < 0.5:
+        # As a quotient, since a product with 0.3 may be off by rounding.
+        return f"(x_n > 0 and y_n > 0 and {equal} / nullif(bigint(x_n) * y_n, 0) >= {threshold}D)"
+    return f"(x_n > 0 and y_n > 0 and {threshold}D * x_n * y_n <= {equal})"
 
 
 def dominant_tokens(text: str) -> str:
@@ -60,3 +64,45 @@ def dominant_pairs(text: str) -> str:
     """Each dominant token together with each other token of ``text``."""
     return f"""flatten(transform({dominant_tokens(text)}, t -> transform(
         filter(array_distinct(split({text}, ' ')), u -> u <> t), u -> concat(t, ' ', u))))"""
+
+
+# Below a threshold of 0.5. The overlap is the sum over the tokens of their shares in both
+# texts, so it is at most the largest share of a shared token, on either side.
+
+_HALF = 1 << 31
+
+
+def frequent_tokens(text: str, threshold: float) -> str:
+    """The tokens, at most 1 / ``threshold``, whose share of ``text`` reaches the threshold.
+
+    Each text has one among the tokens that it shares with a text it agrees with.
+    """
+    return f"""filter(array_distinct(split({text}, ' ')),
+        t -> {text} <> '' and {_is_frequent('t', text, threshold)})"""
+
+
+def frequent_pairs(text: str, threshold: float) -> str:
+    """Array of (key, weight) of the pairs of tokens, at least one of them frequent.
+
+    The key has the smaller token first; the weight has the count of it above the lower 31 bits,
+    which hold the count of the other. Two texts that agree and share two tokens share such a pair.
+    """
+    other = f"u <> t and (t < u or not {_is_frequent('u', text, threshold)})"
+    weight = f"bigint({occurrences('p.a', text)}) * {_HALF}L + {occurrences('p.b', text)}"
+    return f"""transform(
+        flatten(transform({frequent_tokens(text, threshold)}, t -> transform(
+            filter(array_distinct(split({text}, ' ')), u -> {other}),
+            u -> named_struct('a', least(t, u), 'b', greatest(t, u))))),
+        p -> named_struct('key', concat(p.a, ' ', p.b), 'weight', {weight}))"""
+
+
+def proven(threshold: float) -> str:
+    """Whether the one or two tokens of a key, with their counts, make up the overlap alone."""
+    pair = f"""(x_weight div {_HALF}L) * (y_weight div {_HALF}L)
+        + (x_weight % {_HALF}L) * (y_weight % {_HALF}L)"""
+    return f"""(kind in ('share', 'pair') and if(kind = 'share', x_weight * y_weight, {pair})
+        / nullif(bigint(x_total) * y_total, 0) >= {threshold}D)"""
+
+
+def _is_frequent(token: str, text: str, threshold: float) -> str:
+    return f"{occurrences(token, text)} / nullif({token_count(text)}, 0) >= {threshold}D"

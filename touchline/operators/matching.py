@@ -27,6 +27,8 @@ its dictionary size:
                  more where many names share them
   token          token that makes up half of a name     counts
   token, second  that token and one more                token rule
+  token < 0.5    frequent token, or it and one more     counts
+  the same       tokens but for the two most common     token rule
   =============  =====================================  ==========================
 """
 
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 from touchline.functions import abbrev, edits, tokens
 from touchline.functions.text import normalized
 from touchline.operators.abbrev_keys import KEY_NAMES, adapted
+from touchline.operators.token_keys import PROVEN, rarest
 from touchline.session import spread
 
 EXACT, EDIT, ABBREV, ABBREV_REVERSE, TOKEN = "exact", "edit", "abbrev", "abbrev_reverse", "token"
@@ -153,8 +156,8 @@ def match_normalized(
             raise ValueError("edit strategies take a whole number from 0 as limit")
         if step.kind == OWN and not (step.keys and step.name.isidentifier()):
             raise ValueError("own strategies take keys and a name that is an identifier")
-        if step.kind == TOKEN and not 0.5 <= step.limit <= 1:
-            raise ValueError("token strategies take a threshold from 0.5 to 1")
+        if step.kind == TOKEN and not 0 < step.limit <= 1:
+            raise ValueError("token strategies take a threshold above 0, up to 1")
 
     coded = aliases.filter(F.col("alias_norm").isNotNull()).select(
         "league",
@@ -320,12 +323,12 @@ def _entry(
     spot: str = "0, 0",
 ) -> str:
     i, j = spot.split(", ")
-    return f"""named_struct('kind', '{kind}', 'base', {base}, 'weight', int({weight}),
+    return f"""named_struct('kind', '{kind}', 'base', {base}, 'weight', bigint({weight}),
                             'total', int({total}), 'value', string({value}), 'i', {i}, 'j', {j})"""
 
 
 def _entries_when(condition: str, entries: str) -> str:
-    none = "struct<kind:string,base:string,weight:int,total:int,value:string,i:int,j:int>"
+    none = "struct<kind:string,base:string,weight:bigint,total:int,value:string,i:int,j:int>"
     return f"if({condition}, {entries}, cast(array() as array<{none}>))"
 
 
@@ -344,7 +347,9 @@ def _keyed(df: DataFrame, text: str, entries: str, *keep: str) -> DataFrame:
     )
 
 
-def _token_entries(text: str, value: str) -> str:
+def _token_entries(text: str, value: str, threshold: float) -> str:
+    if threshold < 0.5:
+        return _low_token_entries(text, value, threshold)
     count = tokens.token_count(text)
     single = _entry("token", "t", tokens.occurrences("t", text), count)
     double = _entry("tokens", "p", value=value)
@@ -353,6 +358,22 @@ def _token_entries(text: str, value: str) -> str:
                       {_entries_when(f"{count} > 1", pairs)})"""
 
 
+def _low_token_entries(text: str, value: str, threshold: float) -> str:
+    count = tokens.token_count(text)
+    frequent = tokens.frequent_tokens(text, threshold)
+    single = _entry("share", "t", tokens.occurrences("t", text), count)
+    double = _entry("pair", "p.key", "p.weight", count)
+    rare = _entry("rare", "t", value=value)
+    words = f"array_distinct(split({text}, ' '))"
+    return f"""concat(
+        transform({frequent}, t -> {single}),
+        transform({tokens.frequent_pairs(text, threshold)}, p -> {double}),
+        {_entries_when(
+            f"{count} > {PROVEN} and size({words}) > {PROVEN} and size({frequent}) > 0",
+            f"transform({words}, t -> {rare})",
+        )})"""
+
+
 def _edit_entries(text: str, k: int, segments: str, value: str) -> str:
     """Both ways overlap by ``MAX_EDITS`` lengths, so that no pair falls between them."""
     near = _entry("edit", "string(null)", spot="e.i, e.j")
@@ -383,7 +404,7 @@ def _index_entries(step: Strategy) -> str:
     if step.kind == EDIT:
         return _edit_entries("y", int(step.limit), edits.segment_index_keys("y"), "y")
     if step.kind == TOKEN:
-        return _token_entries("y", "y")
+        return _token_entries("y", "y", step.limit)
     if step.kind == ABBREV:
         heads = abbrev.abbrev_heads("y")
         full = f"filter({heads}, h -> length(h) = {abbrev.KEY_LENGTH})"
@@ -415,7 +436,7 @@ def _probe_entries(step: Strategy, profile: Row) -> str:
             _edit_entries("x", int(step.limit), edits.segment_probe_keys("x"), "null"),
         )
     if step.kind == TOKEN:
-        return _token_entries("x", "null")
+        return _token_entries("x", "null", step.limit)
     if step.kind == ABBREV:
         head = _entry("head", f"substring(x, 1, {abbrev.KEY_LENGTH})")
         longer = _entries_when(f"length(x) <= {profile.longest}", f"array({head})")
@@ -440,6 +461,9 @@ def _confirmed(step: Strategy, profile: Row) -> str:
         k = int(step.limit)
         return f"""((kind = 'edit' and x_weight + y_weight + x_total <= {k})
                     or (kind = 'segment' and levenshtein(x, y, {k}) >= 0))"""
+    if step.kind == TOKEN and step.limit < 0.5:
+        return f"""({tokens.proven(step.limit)}
+                    or (kind = 'rare' and {tokens.tokens_agree(step.limit, True)}))"""
     if step.kind == TOKEN:
         return f"""((kind = 'token'
                      and x_weight * y_weight >= {step.limit}D * x_total * y_total)
@@ -485,6 +509,9 @@ def _match_indexed(
         _keyed(spread(names, "x", "league"), "x", probes, "league", "x")
         .select("league", "x", "kind", "key", "weight", "total")
     )
+    ranks = any(s.kind == TOKEN and s.limit < 0.5 for s in strategies)
+    if ranks:
+        index, probed = rarest(index, probed, within)
     # A league with fewer names than that has no key with more.
     adapts = profile.largest > key_names and {s.kind for s in strategies} & {ABBREV, ABBREV_REVERSE}
     if adapts:
@@ -494,14 +521,14 @@ def _match_indexed(
         "weight as y_weight", "total as y_total", "value as y",
     ).selectExpr("*", _pattern_for("reverse", "y"), *tokens.token_columns("y", "y"))
     # The bound is on the usual keys; staged ones have a size that Spark sees.
-    if profile.index_rows <= broadcast_rows and not adapts:
+    if profile.index_rows <= broadcast_rows and not adapts and not ranks:
         index = F.broadcast(index)
     probed = probed.selectExpr(
         "league", "x", "kind", "key", "weight as x_weight", "total as x_total"
     ).selectExpr(
         "*",
         _pattern_for("head", "x"),
-        *tokens.token_columns("x", "if(kind = 'tokens', x, null)"),
+        *tokens.token_columns("x", "if(kind in ('tokens', 'rare'), x, null)"),
     )
     hit = _first_hit([_confirmed(step, profile) for step in strategies])
     return probed.join(index, ["league", "kind", "key"]).groupBy("league", "x").agg(F.expr(hit))
