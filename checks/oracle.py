@@ -474,3 +474,5 @@ ORACLE["ingest_unmatched"] = f"""with {_aliases()}, {_FIXTURES}, {_PAGE_RESULTS}
     {_matchups('page_results')}
     select distinct league, name from page_results p
     where not exists (from resolved r where r.league = p.league and r.name = p.name)"""
+
+ORACLE["table_results_quoted"] = ORACLE["table_results"]

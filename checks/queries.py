@@ -142,6 +142,19 @@ def table_results(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(*_RESULT)
 
 
+def table_results_quoted(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pages with angle brackets in quoted attribute values of every kind of tag."""
+    pages = derive.order_table_pages(spark, sf)
+    for tag, value in (
+        ("table", 'title="a > b"'), ("tr", "data-x='</table>'"), ("td", 'title="<tr class=cats>"'),
+        ("a", 'rel = "1 > 0" data-y=\'"<a>"\''),
+    ):
+        pages = pages.withColumn("body", F.replace("body", F.lit(f"<{tag} "), F.lit(f"<{tag} {value} ")))
+    pages = pages.withColumn("body", F.replace("body", F.lit("<td>"), F.lit('<td title="</td>">')))
+    found, _ = table_pages.extract_table_results(pages)
+    return found.select(*_RESULT)
+
+
 def parse_errors(spark: SparkSession, sf: str) -> DataFrame:
     _, errors = extract_results(_odd_pages(spark, sf))
     return errors.groupBy("source", "reason").agg(
@@ -507,6 +520,7 @@ QUERIES: dict[str, Query] = {
     "fixture_events": fixture_events,
     "table_rows": table_rows,
     "table_results": table_results,
+    "table_results_quoted": table_results_quoted,
     "parse_errors": parse_errors,
     "carry_forward": carry_forward,
     "collapse_repeats": collapse_repeats,
