@@ -17,10 +17,13 @@ def chats(spark):
         ODD, strict=True))]
     rows += [(2, 0, "user", None), (2, 1, "assistant", None), (2, 1, "assistant", None)]
     rows += [(None, 3, "assistant", "b"), (None, None, "assistant", "a"), (3, 0, "user", "x" * 200_000)]
+    # Equal turn numbers go by role, then text; a long conversation spans blocks.
+    rows += [(5, 1, "user", "b"), (5, 1, "user", "a"), (5, 1, "assistant", "z"), (5, 1, "assistant", "z")]
+    rows += [(6, i, "user" if i % 7 < 2 else "assistant", "é⟦" * (i % 5)) for i in range(3000)]
     rows += [(4, i, "assistant" if i % 2 else "user", f"{i} é") for i in range(400)]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     want = {}
-    for c, t, r, x in sorted(rows, key=lambda r: (str(r[0]), -1 if r[1] is None else r[1])):
+    for c, t, r, x in sorted(rows, key=lambda r: (str(r[0]), -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
         want.setdefault(c, []).append((r or "", x or ""))
     return df, want
 

@@ -12,6 +12,19 @@ MARK = "⟦"
 ESCAPE, HEAD, BODY, NEXT, END = (MARK + c for c in ("q", "h", "b", "n", "e\n"))
 
 
+#: Pieces whose offsets are added up in one go.
+BLOCK = 128
+
+_SPANS = """flatten(zip_with(blocks, starts, (b, start) -> aggregate(
+    b,
+    named_struct('at', start, 'spans', cast(array() as array<struct<start: bigint, length: bigint>>)),
+    (a, p) -> named_struct(
+        'at', a.at + octet_length(p.s),
+        'spans', if(p.learn, array_append(a.spans, named_struct(
+            'start', a.at, 'length', cast(octet_length(p.s) as bigint))), a.spans)),
+    a -> a.spans)))"""
+
+
 def _escaped(sql: str) -> str:
     return f"replace({sql}, '{MARK}', '{ESCAPE}')"
 
@@ -66,17 +79,24 @@ def format_chats(
             array(named_struct('s', '{END}', 'learn', false))
         )))""".replace(":learn", "'" + learn.replace("\\", "\\\\").replace("'", "\\'") + "'")).alias("pieces"),
     )
-    return pieces.select(
+    # Running offsets go by blocks, so that no step copies more than a block's spans.
+    blocks = pieces.select(
+        "id", "pieces",
+        F.expr(f"""transform(sequence(0, (size(pieces) - 1) div {BLOCK}), b -> slice(pieces, b * {BLOCK} + 1, {BLOCK}))""")
+        .alias("blocks"),
+    )
+    placed = blocks.select(
+        "*",
+        F.expr("""aggregate(
+            transform(blocks, b -> aggregate(b, 0L, (n, p) -> n + octet_length(p.s))),
+            named_struct('at', 0L, 'starts', cast(array() as array<bigint>)),
+            (a, n) -> named_struct('at', a.at + n, 'starts', array_append(a.starts, a.at)),
+            a -> a.starts)""").alias("starts"),
+    )
+    return placed.select(
         F.col("id").alias(conv_col),
         F.expr("array_join(pieces.s, '')").alias("formatted"),
-        F.expr("""aggregate(
-            pieces,
-            named_struct('at', 0L, 'spans', cast(array() as array<struct<start: bigint, length: bigint>>)),
-            (a, p) -> named_struct(
-                'at', a.at + octet_length(p.s),
-                'spans', if(p.learn, concat(a.spans, array(named_struct(
-                    'start', a.at, 'length', cast(octet_length(p.s) as bigint)))), a.spans)),
-            a -> a.spans)""").alias("loss_spans"),
+        F.expr(_SPANS).alias("loss_spans"),
     )
 
 
@@ -89,9 +109,10 @@ def read_chats(formatted: DataFrame, *, conv_col: str = "conv_id") -> DataFrame:
     blocks = formatted.select(
         F.col(conv_col),
         F.expr(f"filter(split(formatted, '\\\\Q{END}\\\\E'), b -> b != '')").alias("blocks"),
-        F.expr(f"""transform(loss_spans, s -> {_unescaped(
-            "decode(substring(encode(formatted, 'UTF-8'), cast(s.start + 1 as int), cast(s.length as int)), 'UTF-8')"
-        )})""").alias("loss_texts"),
+        # The array of one element has the text encoded once, not once a span.
+        F.expr(f"""flatten(transform(array(encode(formatted, 'UTF-8')), bytes -> transform(loss_spans, s -> {_unescaped(
+            "decode(substring(bytes, cast(s.start + 1 as int), cast(s.length as int)), 'UTF-8')"
+        )})))""").alias("loss_texts"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
     return blocks.select(
