@@ -92,25 +92,47 @@ def _differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _numbered(rows: DataFrame, side: str, *keys: str) -> DataFrame:
+    """``rows`` with the ``nth`` of each among those equal in ``keys``; names take ``side``."""
+    among = Window.partitionBy("archive", *keys).orderBy("offset", "length", "digest", "count")
+    rows = rows.withColumn("nth", F.row_number().over(among))
+    return rows.select(*[F.col(c).alias(c + side) for c in rows.columns])
+
+
+def _met(*keys: str) -> Column:
+    """The condition that rows of the sides ``_a`` and ``_b`` have the same archive and keys, none null."""
+    same = F.col("archive_a").eqNullSafe(F.col("archive_b"))
+    for k in keys:
+        same = same & (F.col(f"{k}_a") == F.col(f"{k}_b"))
+    return same
+
+
 def audit(
-    a: DataFrame, b: DataFrame, *, range_bytes: int = RANGE_BYTES, fan_out: int = FAN_OUT
+    a: DataFrame, b: DataFrame, *, record_col: str | None = None,
+    range_bytes: int = RANGE_BYTES, fan_out: int = FAN_OUT,
 ) -> DataFrame:
     """Where two replicas differ: one row per differing record.
 
-    Both tables have archive, offset (BIGINT), length and digest of each record. Columns of
-    the result: archive, offset, problem (``altered``: other length or digest, ``missing``
-    from b, ``extra`` in b), length_a, length_b, digest_a, digest_b. Records are hashed into
-    offset ranges, those into a tree; roots are compared first, and only branches that
-    differ are followed down to their records. Records are matched by offset; where an
-    offset repeats, each differing record of one side is shown beside each of the other.
-    Null archives, lengths and digests are values like any other; a null offset counts as
-    -1. Other columns are left out; two empty tables give an empty result.
+    Both tables have archive, offset (BIGINT), length and digest of each record, and perhaps
+    ``record_col`` with its id as a string. Columns of the result: archive, offset, problem
+    (``altered``: other length or digest, ``missing`` from b, ``extra`` in b), offset_b,
+    length_a, length_b, digest_a, digest_b; offset is that of a, for extra records that of b.
+
+    Records are hashed into offset ranges, those into a tree; roots are compared first, and only
+    branches that differ are followed down to their records. What is not equal there is matched
+    by length and digest first, as records behind a damaged one have moved whole and are sound,
+    then by id, then, unless both have one, by offset. Equal records of one archive are matched
+    in order of offset; where an offset repeats, each differing record of one side is shown
+    beside each of the other. An archive is a file of bounded size. Null archives, lengths and
+    digests are values like any other, but a null digest does not move; a null offset counts as
+    -1, a null id as none. Other columns are left out; two empty tables give an empty result.
     """
     sides = [
         staged(
             t.select(
                 "archive", F.coalesce(F.col("offset"), F.lit(-1)).cast("bigint").alias("offset"),
                 F.col("length").cast("bigint").alias("length"), "digest",
+                (F.col(record_col) if record_col else F.lit(None)).cast("string").alias("record"),
             ),
             "records",
         )
@@ -130,19 +152,45 @@ def audit(
         bad = staged(_differing(*children, keys), "branches")
     ranges = bad.select(F.col("archive").alias("p_archive"), F.col("node").alias("p_node"))
     inside = F.col("archive").eqNullSafe(F.col("p_archive")) & (F.expr(f"offset div {range_bytes}") == F.col("p_node"))
+    held = ["archive", "offset", "length", "digest"]
     left, right = (
-        t.join(ranges, inside, "left_semi").groupBy("archive", "offset", "length", "digest").count()
+        staged(
+            t.join(ranges, inside, "left_semi").groupBy(held)
+            .agg(F.count("*").alias("count"), F.min("record").alias("record")),
+            "suspects",
+        )
         for t in sides
     )
-    # What both sides hold equally often is sound; the rest is matched by offset.
-    held = ["archive", "offset", "length", "digest", "count"]
-    only_a, only_b = left.select(held).exceptAll(right.select(held)), right.select(held).exceptAll(left.select(held))
-    only_b = only_b.select(*[F.col(c).alias(f"{c}_b") for c in held])
-    met = F.col("archive").eqNullSafe(F.col("archive_b")) & (F.col("offset") == F.col("offset_b"))
-    return only_a.join(only_b, met, "full_outer").select(
-        F.coalesce("archive", "archive_b").alias("archive"),
-        F.coalesce("offset", "offset_b").alias("offset"),
-        F.expr("if(offset_b is null, 'missing', if(offset is null, 'extra', 'altered'))").alias("problem"),
-        F.col("length").alias("length_a"), F.col("length_b"),
-        F.col("digest").alias("digest_a"), F.col("digest_b"),
+    # What both sides hold equally often is sound, where it was or moved.
+    rest_a, rest_b = _unequal(left, right, [*held, "count"]), _unequal(right, left, [*held, "count"])
+    moved_a, moved_b = (
+        _numbered(rest, side, "length", "digest", "count") for rest, side in ((rest_a, "_a"), (rest_b, "_b"))
+    )
+    moved = _met("length", "digest", "count", "nth")
+    lost = moved_a.join(moved_b, moved, "left_anti")
+    new = moved_b.join(moved_a, moved, "left_anti")
+    lost, new = (
+        _numbered(t.select(*[F.col(c + side).alias(c) for c in left.columns]), side, "record")
+        for t, side in ((lost, "_a"), (new, "_b"))
+    )
+    known = staged(lost.join(new, _met("record", "nth"), "full_outer"), "by-id")
+    both = F.col("count_a").isNotNull() & F.col("count_b").isNotNull()
+    lost = known.where("count_b is null").select(lost.columns)
+    new = known.where("count_a is null").select(new.columns)
+    at = _met("offset") & (F.col("record_a").isNull() | F.col("record_b").isNull())
+    found = known.where(both).unionByName(lost.join(new, at, "full_outer"))
+    return found.select(
+        F.when(F.col("count_a").isNull(), F.col("archive_b")).otherwise(F.col("archive_a")).alias("archive"),
+        F.coalesce("offset_a", "offset_b").alias("offset"),
+        F.expr("if(count_b is null, 'missing', if(count_a is null, 'extra', 'altered'))").alias("problem"),
+        "offset_b", "length_a", "length_b", "digest_a", "digest_b",
     )
+
+
+def _unequal(rows: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without an equal one in ``other``, nulls being equal."""
+    other = other.select(*[F.col(c).alias(f"o_{c}") for c in columns])
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"o_{c}"))
+    return rows.join(other, same, "left_anti")

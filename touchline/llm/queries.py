@@ -72,27 +72,26 @@ def op5_warc_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Two replicas of the WARC archives of all pages, 512 page ids an archive.
 
     The second has what storage does to files: by the page id some records have one
-    character altered in the middle, some are cut to half, some are gone.
+    character altered in the middle, some are cut to half, some are gone. So the records
+    behind a cut or a gap lie elsewhere in it; ids are those in the record headers.
     """
-    record = _table(spark, sf, "pages").select(
+    pages = _table(spark, sf, "pages").select(
         "page_id", F.expr("page_id div 512").alias("archive"), warc_record(F.col("url"), F.col("html")).alias("r")
     )
-    harm = F.expr("""case coalesce(page_id, 0) % 97
+    harmed = F.expr("""case coalesce(page_id, 0) % 97
         when 13 then concat(left(r, length(r) div 2), '~', substring(r, length(r) div 2 + 2))
         when 31 then left(r, length(r) div 2) else r end""")
-    both = with_offsets(
-        record.select(
+
+    def replica(record: Column, name: str) -> DataFrame:
+        rows = pages.select("page_id", "archive", record.alias("r")).select(
             "page_id", "archive", F.octet_length("r").cast("bigint").alias("length"), F.sha2("r", 256).alias("digest"),
-            F.octet_length(harm).cast("bigint").alias("length_b"), F.sha2(harm, 256).alias("digest_b"),
-        ),
-        "page_id", "digest",
-    )
-    both = staged(both, "replicas")
-    first = both.select("archive", "offset", "length", "digest")
-    second = both.where("coalesce(page_id, 0) % 97 != 59").select(
-        "archive", "offset", F.col("length_b").alias("length"), F.col("digest_b").alias("digest")
-    )
-    return audit(first, second)
+            F.regexp_extract("r", "WARC-Record-ID: <([^>]*)>", 1).alias("record"),
+        )
+        if name == "second":
+            rows = rows.where("coalesce(page_id, 0) % 97 != 59")
+        return staged(with_offsets(rows, "page_id", "digest"), name)
+
+    return audit(replica(F.col("r"), "first"), replica(harmed, "second"), record_col="record")
 
 
 #: Documents that nothing is learned from; rows without an id are held out as well.
@@ -256,11 +255,14 @@ with p as (
     from w
 ), o as (
     select *, coalesce(sum(length_a) over (partition by archive order by page_id, digest_a
-        rows between unbounded preceding and 1 preceding), 0) as pos
+        rows between unbounded preceding and 1 preceding), 0) as pos,
+        coalesce(sum(case when page_id % 97 = 59 then 0 else strlen(damaged) end) over (
+        partition by archive order by page_id, digest_a rows between unbounded preceding and 1 preceding), 0) as pos_b
     from d
 )
 select archive, cast(pos as bigint) as "offset",
     case when page_id % 97 = 59 then 'missing' else 'altered' end as problem,
+    case when page_id % 97 = 59 then null else cast(pos_b as bigint) end as offset_b,
     cast(length_a as bigint) as length_a,
     case when page_id % 97 = 59 then null else cast(strlen(damaged) as bigint) end as length_b, digest_a,
     case when page_id % 97 = 59 then null else sha256(damaged) end as digest_b
