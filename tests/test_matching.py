@@ -283,3 +283,21 @@ def test_own_strategy_is_the_same_in_every_way(spark):
                 want = (first, name)
                 break
         assert hit == want, text
+
+
+@pytest.mark.parametrize("direct_limit, joins", [(256, 2), (0, 3)])
+def test_tables_over_the_bound_are_not_broadcast(spark, direct_limit, joins):
+    """Spark guesses these few rows small enough; only the counted bound may decide."""
+    aliases = alias_frame(spark, {"ENG1": ENG1})
+    names = spark.createDataFrame([("ENG1", "arsenal"), ("ENG1", "wolvs")], "league string, x string")
+    best = matching.match_normalized(names, aliases, direct_limit=direct_limit, broadcast_rows=0)
+    plan = best._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == joins
+    assert {(r.x, r.entity) for r in best.collect()} == {("arsenal", "Arsenal"), ("wolvs", "Wolves")}
+
+
+def test_leagues_of_many_texts_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(matching, "LEAGUE_TEXTS", 3)
+    leagues = {"ENG1": ENG1, "ENG2": ENG2[:2]}
+    texts = [("ENG1", name) for name, _ in ENG1] + [("ENG1", ""), ("ENG2", "Brmingham"), ("ENG3", "x")]
+    assert resolved(spark, leagues, texts, broadcast_rows=-1) == resolved(spark, leagues, texts)
