@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from checks import derive
 from touchline import schemas
 from touchline.functions.text import normalized
 from touchline.operators.carry import carry_forward
@@ -249,3 +250,19 @@ def test_log_records_across_batches(spark, tmp_path):
             assert done <= stored == len(rows) - 1
             done = stored
     assert log_records.read_records(spark, str(tmp_path / "nothing")).collect() == []
+
+
+def test_derived_rows_are_built_once_and_without_broadcasts(spark, tmp_path):
+    part = [(k, f"red ring {k}", "Brand#1", "SMALL", k) for k in range(60)]
+    line = [(k, k % 60, k % 7, k % 4, 3.0) for k in range(200)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(
+        f"{tmp_path}/part.parquet"
+    )
+    spark.createDataFrame(
+        line, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"
+    ).selectExpr("*", "timestamp_ntz'2025-01-02 00:00:00' as l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    texts = derive.entity_texts(spark, str(tmp_path))
+    assert "Broadcast" not in texts._jdf.queryExecution().sparkPlan().toString()
+    rows = derive.fixtures(spark, str(tmp_path))
+    assert "Join" not in rows._jdf.queryExecution().sparkPlan().toString()
+    assert (texts.count(), rows.count()) == (200, sum(1 for k in range(200) if k % 60 < 50 or (k % 7 + k % 4) % 50 < 10))
