@@ -252,6 +252,26 @@ def test_log_records_across_batches(spark, tmp_path):
     assert log_records.read_records(spark, str(tmp_path / "nothing")).collect() == []
 
 
+def test_records_of_one_log_are_joined_in_many_tasks(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "app.log").write_text("".join(f"2025-11-21 10:00:00 message {k}\ngoes on\n" for k in range(400)))
+    out = str(tmp_path / "out")
+    # Small tables are dealt out as large ones are.
+    large = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in large}
+    try:
+        for key, value in large.items():
+            spark.conf.set(key, value)
+        lines = log_records.stream_lines(spark, str(tmp_path / "log"))
+        log_records.follow_records(lines, out, str(tmp_path / "state")).awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    stored = spark.read.parquet(f"{out}/records").selectExpr("lines", "_metadata.file_path as file").collect()
+    assert [r.lines for r in stored] == [2] * 399
+    assert len({r.file for r in stored}) > 4
+
+
 def test_derived_rows_are_built_once_and_without_broadcasts(spark, tmp_path):
     part = [(k, f"red ring {k}", "Brand#1", "SMALL", k) for k in range(60)]
     line = [(k, k % 60, k % 7, k % 4, 3.0) for k in range(200)]

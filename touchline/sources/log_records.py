@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from touchline.operators.carry import carry_forward
 from touchline.operators.consolidate import read_or_empty
-from touchline.session import staged, staging
+from touchline.session import shuffled, staged, staging
 from touchline.sources.logs import is_head, parse_log_lines
 from touchline.streaming.jobs import start, writer_of
 
@@ -105,11 +105,13 @@ def follow_records(
                 "block", F.monotonically_increasing_id().alias("line"),
             )
             lines = staged(_headed(_open(spark, out, writer, batch_id).unionByName(arrived)), "lines", within)
-            last = lines.groupBy("log").agg(F.max("head").alias("last"))
-            marked = lines.join(last, "log")
+            last = shuffled(lines.groupBy("log").agg(F.max("head").alias("head")).filter("head is not null"))
+            # Met by log and head: by log alone, all lines of a log would be in one task.
+            headed, record = lines.filter("head is not null"), ["log", "head"]
             # Without a head, lines continue nothing and are complete.
-            _write(_joined(marked.filter("head is null or head < last")), f"{out}/records", writer, batch_id)
-            _write(marked.filter("head = last").drop("head", "last"), f"{out}/open", writer, batch_id)
+            complete = headed.join(last, record, "left_anti").unionByName(lines.filter("head is null"))
+            _write(_joined(complete), f"{out}/records", writer, batch_id)
+            _write(headed.join(last, record, "left_semi").drop("head"), f"{out}/open", writer, batch_id)
 
     return start(lines, store, "append", checkpoint, interval)
 
