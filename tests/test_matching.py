@@ -2,10 +2,11 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tests import brute
-from touchline.functions.text import normalized
+from touchline.functions.text import letters, normalized
 from touchline.operators import matching
 from touchline.operators.abbrev_keys import adapted
 from touchline.operators.token_keys import rarest
@@ -301,3 +302,29 @@ def test_leagues_of_many_texts_are_cut(spark, monkeypatch):
     leagues = {"ENG1": ENG1, "ENG2": ENG2[:2]}
     texts = [("ENG1", name) for name, _ in ENG1] + [("ENG1", ""), ("ENG2", "Brmingham"), ("ENG3", "x")]
     assert resolved(spark, leagues, texts, broadcast_rows=-1) == resolved(spark, leagues, texts)
+
+
+def test_letters_rule_pairs_out_before_the_rules(spark):
+    rows = spark.createDataFrame([("axb", "axb"), ("axb", "pq axb"), ("cdef", "ijklm")], "x string, y string")
+    for step, kind, held in (
+        (matching.Strategy("a", matching.ABBREV), "head", [True, True, False]),
+        (matching.Strategy("r", matching.ABBREV_REVERSE), "reverse", [True, False, False]),
+    ):
+        # Patterns that find anything: only the letters can tell.
+        pairs = rows.selectExpr(
+            "x", "y", f"'{kind}' as kind", "'' as x_pattern", "'' as y_pattern",
+            f"{letters('x')} as x_weight", f"{letters('y')} as y_weight",
+        )
+        confirmed = matching._confirmed(step, Row(longest=9, repeats=0))
+        assert [r.held for r in pairs.selectExpr(f"{confirmed} as held").collect()] == held
+
+
+def test_opened_keys_keep_texts_whose_letters_share_a_bit(spark):
+    # "a" and U+00E1 share a bit of the sets, as do many others.
+    names = [f"abc{c}{d} {e}" for c in "a\u00e1xyz" for d in "pq\u0171" for e in ("rest", "r\u00e9st")]
+    texts = [n[:k] for n in names for k in (3, 4, 5)] + [n.replace("st", "") for n in names] + names
+    leagues, asked = {"L": [(n, []) for n in names]}, [("L", t) for t in texts]
+    for kind in (matching.ABBREV, matching.ABBREV_REVERSE):
+        steps = {"strategies": [matching.Strategy("a", kind)]}
+        opened = resolved(spark, leagues, asked, direct_limit=0, key_names=2, **steps)
+        assert opened == resolved(spark, leagues, asked, **steps)
