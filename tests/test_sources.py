@@ -95,6 +95,20 @@ def test_landing_table(spark, tmp_path):
     assert [tuple(r) for r in pages.read_pages(spark, str(tmp_path / "p")).collect()] == [row]
 
 
+def test_landing_folders_do_not_follow_the_leagues(spark, tmp_path):
+    leagues = [*(f"L{i}" for i in range(100)), "", None]
+    rows = [
+        (i, source, league, "u", 200, "x", datetime(2025, 1, 2))
+        for i, league in enumerate(leagues) for source in ("bbc", "fishy")
+    ]
+    path = str(tmp_path / "p")
+    pages.write_pages(spark.createDataFrame(rows, schemas.RAW_PAGES), path)
+    read = pages.read_pages(spark, path)
+    assert sorted(map(tuple, read.collect()), key=str) == sorted(rows, key=str)
+    assert {r.page_id for r in read.filter("league = 'L7'").collect()} == {7}
+    assert sum(not folders for _, folders, _ in os.walk(path)) <= 2 * pages.PARTS
+
+
 def test_log_lines(spark, tmp_path):
     lines = [
         "2025-11-20T10:00:00.1+00:00 [info] scheduler: task for <0.12.0> via bbc_pool",
