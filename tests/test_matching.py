@@ -328,3 +328,27 @@ def test_opened_keys_keep_texts_whose_letters_share_a_bit(spark):
         steps = {"strategies": [matching.Strategy("a", kind)]}
         opened = resolved(spark, leagues, asked, direct_limit=0, key_names=2, **steps)
         assert opened == resolved(spark, leagues, asked, **steps)
+
+
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_far_pairs_go_in_the_join_of_small_leagues(spark, broadcast_rows):
+    """Before the cascade and the minimum, whose cost would be that of all pairs."""
+    own = [
+        matching.Strategy("same", matching.OWN, keys="array(substring_index({t}, ' ', -1))", holds="length(x) > 3"),
+        matching.Strategy("same", matching.OWN, keys="split({t}, ' ')", holds="length(y) > 30"),
+    ]
+    steps = [*matching.DEFAULT_STRATEGIES, *own]
+    aliases = alias_frame(spark, {"ENG1": ENG1})
+    names = spark.createDataFrame([("ENG1", "arsenal"), ("ENG1", None)], "league string, x string")
+    best = matching.match_normalized(names, aliases, steps, broadcast_rows=broadcast_rows)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    (pairs,) = [line for line in plan.splitlines() if "Join" in line and "_letters" in line]
+    assert "bit_count" in pairs and "_words" in pairs and pairs.count("_set") == 4 and "levenshtein" not in pairs
+    assert [tuple(r) for r in best.collect()] == [("ENG1", "arsenal", "Arsenal", "exact")]
+    texts = [("ENG1", t) for t in ("Old Villa", "Villa", "Man", "zz", "", "City of West Ham")]
+    found = resolved(spark, {"ENG1": ENG1}, texts, strategies=own, broadcast_rows=broadcast_rows)
+    assert found == {
+        ("ENG1", "Old Villa"): ("Aston Villa", "same"), ("ENG1", "Villa"): ("Aston Villa", "same"),
+        ("ENG1", "Man"): (None, None), ("ENG1", "zz"): (None, None), ("ENG1", ""): (None, None),
+        ("ENG1", "City of West Ham"): ("West Ham", "same"),
+    }
