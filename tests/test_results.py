@@ -283,3 +283,25 @@ def test_league_lookup(spark):
         ("A", True, "new", 0, "One"), ("A", True, "new", 1, "Two"),
         ("B", True, "b", None, None), ("Z", False, None, None, None),
     ]
+
+
+def test_the_marks_of_a_name_are_counted_once(spark, monkeypatch):
+    """By the filter on names that are matchups, and not again for their sides."""
+    plans, stage = {}, results.staged
+
+    def watched(df, purpose, within=None):
+        plans[purpose] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stage(df, purpose, within)
+
+    monkeypatch.setattr(results, "staged", watched)
+    rows = spark.createDataFrame(
+        [("L", n) for n in ("Ab Vs Cd", "Cd\u00a0v\tAb", "Ab v Cd v Ab", "Ab - Cd", " v Cd", "Ab\nB v Cd", None)],
+        "league string, name string",
+    )
+    aliases = spark.createDataFrame(
+        [("L", 0, 0, "Ab", "ab"), ("L", 1, 0, "Cd", "cd")],
+        "league string, entity_pos int, alias_pos int, entity string, alias_norm string",
+    )
+    found = results.resolve_names(rows, aliases, [results.DEFAULT_STRATEGIES[0]])
+    assert {r.name: r.canonical for r in found.collect()} == {"Ab Vs Cd": "Ab vs Cd", "Cd\u00a0v\tAb": "Cd vs Ab"}
+    assert plans["names"].count("regexp_extract_all(name") == 1
