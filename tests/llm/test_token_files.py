@@ -2,12 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from touchline.llm import ordering
+from touchline.llm import ordering, token_files
 from touchline.llm.batches import json_tokenizer
 from touchline.llm.token_files import WordIds, _image, pack, read_image, read_tokens, token_file_digests, unpack, write_tokens
 
@@ -81,3 +82,35 @@ def test_digests_against_plain_encoding(spark, monkeypatch, tmp_path):
     again = read_tokens(files, folder).select("doc_id", "start", "n_tokens").orderBy("start").collect()
     assert [tuple(r) for r in again] == [(r.doc_id, r.start, r.n_tokens) for r in got]
     assert token_file_digests(docs.limit(0), PATH).collect() == []
+
+
+def test_files_are_read_in_bounded_batches(monkeypatch, tmp_path):
+    """A whole file as one batch took a worker's memory, beside the words it had kept for encoding."""
+    monkeypatch.setattr(token_files, "READ_BYTES", 40)
+    folder = f"file://{tmp_path}/files"
+    docs = [(i, False, 3, *map(len, p := pack(np.array([i, 1, 2], np.uint32))), *p) for i in range(10)]
+    token_files._put(folder, "one.bin", _image(docs))
+    token_files._put(folder, "ranks.bin", np.arange(10, 30, dtype="<u4").tobytes())
+    batches = list(token_files._documents(folder, "one.bin", 7))
+    assert [b.num_rows for b in batches] == [4, 4, 2]
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert rows == [
+        {"id": i, "start": 7 + 3 * i, "n_tokens": 3, "ids": np.array([10 + i, 11, 12], "<u4").tobytes()} for i in range(10)
+    ]
+
+
+def test_texts_are_cut_by_bytes():
+    rows = ["x" * n for n in (5, 0, 30, 1, 1, 12)] + [None]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(7)), "text": rows})
+    pieces = list(token_files._by_text([batch, batch.slice(3, 0)], 1, 10))
+    assert sum((p.column("text").to_pylist() for p in pieces), []) == rows and len(pieces) >= 3
+    assert all(sum(len(t or "") for t in p.column("text").to_pylist()) <= 40 for p in pieces)
+
+
+def test_words_are_bounded_and_dropped_after_encoding(monkeypatch):
+    words = WordIds(PATH)
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 5)
+    for text in ("a b c d e f g h", "  b\tz ", "", " "):
+        got = words.encode([text])
+        assert np.frombuffer(got[0], words.dtype).tolist() == json_tokenizer(PATH).encode(text, add_special_tokens=False).ids
+    assert len(words.known) < 8 and b"" not in words.known and words.encode([]) == []

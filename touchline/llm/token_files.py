@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ MAGIC = b"RANKVB01"
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8"), ("control", "<u8"), ("data", "<u8")])
 #: A file closes with the document that brings it to this many bytes.
 FILE_BYTES = 8 << 20
+#: Bytes of text that are encoded at a time; the longer, the fewer words are looked up twice.
+TEXT_BYTES = 8 << 20
+#: Bytes of ids after which a batch read from a file closes.
+READ_BYTES = 4 << 20
 #: Distinct words that a worker keeps with their ids, at about 180 bytes each besides their
 #: content, and bytes of that content; beyond either it starts anew.
 KEPT_WORDS = 800_000
@@ -95,22 +100,31 @@ class WordIds:
                 whole.discard(word)
         self._whole(sorted(whole & new))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Little-endian ids of each text, of type ``dtype``."""
+        return self.encode_array(pa.array(texts, pa.string())).to_pylist()
+
+    def encode_array(self, texts: pa.Array) -> pa.Array:
+        """``encode`` of an array without nulls; words are cut, made distinct and put back by Arrow."""
         if len(self.known) > KEPT_WORDS or self.held > KEPT_BYTES:
             self.known.clear()
             self.held = 0
-        cut = []
-        for text in texts:
-            octets = text.encode()
-            # Lower-casing could turn other text into a special string.
-            cut.append((octets if b"<|" in octets else octets.lower()).split())
-        new = set().union(*cut).difference(self.known)
+        # Lower-casing could turn other text into a special string.
+        special = pc.match_substring(texts, "<|")
+        cut = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        words = cut.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        new = set(distinct).difference(self.known)
+        # White space at either end of a text leaves an empty word there.
+        new.discard(b"")
         if new:
             self._learn(new)
             # A word's stem may be kept beside it.
             self.held += 2 * (sum(map(len, new)) + sum(map(len, map(self.known.__getitem__, new))))
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        ids = pa.array([self.known[word] if word else b"" for word in distinct], pa.large_binary())
+        _, starts, content = ids.take(words.indices).buffers()
+        starts = np.frombuffer(starts, np.int64)[cut.offsets.to_numpy()]
+        return pa.Array.from_buffers(ids.type, len(texts), [None, pa.py_buffer(starts), content])
 
 
 @lru_cache(maxsize=2)
@@ -118,6 +132,15 @@ def _words(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _by_text(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``most`` bytes of a text column, and one text at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+        cuts = np.flatnonzero(np.diff(sizes.cumsum() // most)) + 1
+        for start, stop in pairwise([0, *cuts.tolist(), batch.num_rows]):
+            yield batch.slice(start, stop - start)
+
+
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit ``ranks``."""
     ranks = ranks.astype("<u4")
@@ -184,6 +207,28 @@ def read_image(image: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         control, data = c, d
 
 
+def _documents(folder: str, name: str, start: int) -> Iterator[pa.RecordBatch]:
+    """The documents of a file; a batch closes with the one that brings its ids to ``READ_BYTES``."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*docs, strict=True), types, strict=True)],
+            names=["id", "start", "n_tokens", "ids"],
+        )
+
+    docs, held = [], 0
+    for i, ranks in read_image(_get(folder, name)):
+        docs.append((i, start, len(ranks), _ids_by_rank(folder)[ranks].tobytes()))
+        start += len(ranks)
+        held += len(docs[-1][3])
+        if held >= READ_BYTES:
+            yield batch()
+            docs, held = [], 0
+    if docs:
+        yield batch()
+
+
 def write_tokens(
     docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id",
     text_col: str = "text", end_id: int = 2, file_bytes: int = FILE_BYTES,
@@ -198,25 +243,32 @@ def write_tokens(
     ``n_tokens``. ``folder`` is a URI that pyarrow can open on every worker.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = _words(tokenizer)
-        end = np.array([end_id], words.dtype).tobytes()
-        found = words.encode(pc.fill_null(batch.column(1), "").to_pylist())
+        end = pa.scalar(np.array([end_id], words.dtype).tobytes(), pa.large_binary())
+        found = words.encode_array(pc.fill_null(batch.column(1), ""))
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array([words.dtype.itemsize] * len(found), pa.int32()),
-                pa.array([ids + end for ids in found], pa.binary()),
+                pc.binary_join_element_wise(found, end, pa.scalar(b"", pa.large_binary())).cast(pa.binary()),
             ],
             names=["id", "width", "ids"],
         )
 
-    encoded = staged(map_arrow(rows, encode, "id bigint, width int, ids binary", rows=512), "token-ids")
+    def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(encode, _by_text(batches, 1, TEXT_BYTES))
+
+    encoded = staged(rows.mapInArrow(encode_all, "id bigint, width int, ids binary"), "token-ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
-        for batch in batches:
+        for batch in slices(batches, 512):
+            by_width: dict[int, list[bytes]] = {}
             for width, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = np.bincount(np.frombuffer(ids, f"<u{width}"))
+                by_width.setdefault(width, []).append(ids)
+            for width, texts in by_width.items():
+                found = np.bincount(np.frombuffer(b"".join(texts), f"<u{width}"))
                 if len(found) > len(total):
                     total = np.pad(total, (0, len(found) - len(total)))
                 total[: len(found)] += found
@@ -234,6 +286,8 @@ def write_tokens(
     cuts = range_cuts(rows, "id")
 
     def code(batch: pa.RecordBatch) -> pa.RecordBatch:
+        # All texts are encoded; the words that this worker kept would take memory to the end.
+        _words.cache_clear()
         widths, ids = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         ranks = [rank_of[np.frombuffer(i, f"<u{w}")] for w, i in zip(widths, ids, strict=True)]
         packed = [pack(r) for r in ranks]
@@ -300,16 +354,8 @@ def read_tokens(files: DataFrame, folder: str, *, id_col: str = "doc_id") -> Dat
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                docs = []
-                for i, ranks in read_image(_get(folder, name)):
-                    docs.append((i, start, len(ranks), _ids_by_rank(folder)[ranks].tobytes()))
-                    start += len(ranks)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*docs, strict=True), types, strict=True)],
-                    names=["id", "start", "n_tokens", "ids"],
-                )
+                yield from _documents(folder, name, start)
 
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
     out = placed.repartition(tasks, "name").mapInArrow(
         read, "id bigint, start bigint, n_tokens bigint, ids binary"
     )
