@@ -107,7 +107,7 @@ def test_texts_are_cut_by_bytes():
     assert all(sum(len(t or "") for t in p.column("text").to_pylist()) <= 40 for p in pieces)
 
 
-def test_words_are_bounded_and_dropped_after_encoding(monkeypatch):
+def test_kept_words_are_bounded(monkeypatch):
     words = WordIds(PATH)
     monkeypatch.setattr(token_files, "KEPT_WORDS", 5)
     for text in ("a b c d e f g h", "  b\tz ", "", " "):
