@@ -100,6 +100,18 @@ def test_consolidation_and_reports(spark):
     assert [tuple(r) for r in consolidate.count_by_league(events).collect()] == [("ENG1", 2)]
 
 
+def test_report_lists_the_texts_that_did_not_match(spark):
+    aliases = alias_frame(spark, {"ENG1": TEAMS})
+    annotated = results.annotate_matchups(result_rows(spark), aliases)
+    passing = []
+    rows = results.match_report(annotated, texts=True, within=passing).collect()
+    counts = {tuple(r)[:6] for r in rows if r.rows is None}
+    assert counts == {tuple(r) for r in results.match_report(annotated).collect()}
+    missed = [r for r in rows if r.rows is not None]
+    assert [(r.source, r.league, r.name, r.rows) for r in missed] == [("bbc", "ENG1", "Nobody vs Knows", 2)]
+    assert missed[0].parsed is None and len(rows) == len(counts) + 1 and len(passing) == 1
+
+
 def test_attach_canonical(spark):
     aliases = alias_frame(spark, {"ENG1": TEAMS})
     rows = result_rows(spark)
