@@ -235,6 +235,36 @@ def test_names_are_resolved_once_a_version(spark, tmp_path, monkeypatch):
     assert resolve(names.limit(0), teams, 6) == ({}, 0)
 
 
+def test_a_replay_with_a_changed_dictionary_keeps_other_leagues(spark, tmp_path):
+    """Leagues A and B share a part of the kept table, so the replay writes over the rows of both."""
+    path, teams = str(tmp_path / "names"), {"A": TEAMS, "B": TEAMS[:2]}
+    codes = spark.range(200).select(F.concat(F.lit("B"), "id").alias("league"), kept._part().alias("part"))
+    part = spark.createDataFrame([("A",)], "league string").select(kept._part()).first()[0]
+    other = codes.filter(F.col("part") == part).first().league
+    teams = {"A": TEAMS, other: TEAMS}
+    rows = [("A", "Man Utd v Chelsea", 1), (other, "Spurs v Arsenal", 2), (other, "no matchup", 3), (None, "x v y", 4)]
+    names = spark.createDataFrame(rows, "league string, name string, n int")
+    resolve = lambda teams: kept.resolve_kept(names, alias_frame(spark, teams), path, batch_id=0)
+    want = {(1, "Manchester United vs Chelsea"), (2, "Tottenham Hotspur vs Arsenal"), (3, None), (4, None)}
+    found, count = resolve(teams)
+    assert count == 4 and {(r.n, r.canonical) for r in found.collect()} == want
+    found, count = resolve(teams | {"A": TEAMS[:1]})
+    assert count == 2 and {(r.n, r.canonical) for r in found.collect()} == {(1, None), *want} - {(1, "Manchester United vs Chelsea")}
+    # Few names are sent to all tasks, with the same answers.
+    few, _ = kept.resolve_kept(names, alias_frame(spark, teams), path, batch_id=1, few=True)
+    assert {(r.n, r.canonical) for r in few.collect()} == want
+
+
+def test_every_name_comes_along(spark):
+    aliases = alias_frame(spark, {"ENG1": TEAMS})
+    rows = [("ENG1", "Man Utd v Chelsea", 1), ("ENG1", "Man Utd v Man Utd", 2), ("ENG1", "no matchup", 3), ("Z", "Spurs v Arsenal", 4), (None, None, 5)]
+    names = spark.createDataFrame(rows, "league string, name string, n int")
+    every = {(r.n, r.canonical, r.home_strategy is None) for r in results.resolve_names(names, aliases, every=True).collect()}
+    assert every == {(1, "Manchester United vs Chelsea", False), *[(n, None, True) for n in (2, 3, 4, 5)]}
+    some = results.resolve_names(names, aliases).collect()
+    assert [(r.name, r.canonical) for r in some] == [("Man Utd v Chelsea", "Manchester United vs Chelsea")]
+
+
 def test_event_table_edges(spark, tmp_path):
     table = str(tmp_path / "t")
     assert consolidate.read_events(spark, table).collect() == []

@@ -2,6 +2,7 @@ import json
 import os
 import random
 import re
+import time
 from datetime import datetime
 
 import pytest
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from checks import derive
 from touchline import schemas
-from touchline.functions.text import normalized
+from touchline.functions.text import normalized, strip_long, strip_space
 from touchline.operators.carry import carry_forward
 from touchline.operators.table_pages import collapse_repeats
-from touchline.session import shared_dir
+from touchline.session import shared_dir, staged
 from touchline.sources import config, log_records, logs, pages
 from tests import brute
 
@@ -300,3 +301,26 @@ def test_derived_rows_are_built_once_and_without_broadcasts(spark, tmp_path):
     rows = derive.fixtures(spark, str(tmp_path))
     assert "Join" not in rows._jdf.queryExecution().sparkPlan().toString()
     assert (texts.count(), rows.count()) == (200, sum(1 for k in range(200) if k % 60 < 50 or (k % 7 + k % 4) % 50 < 10))
+
+
+def test_shuffle_files_go_when_a_table_is_staged(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle")}
+
+    before = shuffles()
+    staged(spark.range(100_000).selectExpr("id % 1000 as k").groupBy("k").count(), "sums")
+    deadline = time.time() + 20
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_long_texts_are_stripped_like_short_ones(spark):
+    texts = [None, "", " ", "a", " \u00a0a b\n\u3000", "\x1c\x85", "\n x; \u2028", "x" * 5000 + " \t"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select("t", strip_long(F.col("t")).alias("long"), strip_space(F.col("t")).alias("short")).collect():
+        assert r.long == r.short == (None if r.t is None else r.t.strip())
