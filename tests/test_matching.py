@@ -330,6 +330,29 @@ def test_opened_keys_keep_texts_whose_letters_share_a_bit(spark):
         assert opened == resolved(spark, leagues, asked, **steps)
 
 
+@pytest.mark.parametrize("steps, rounds", [
+    (matching.DEFAULT_STRATEGIES, 7),
+    ([matching.Strategy("edit", matching.EDIT, 3), matching.Strategy("token", matching.TOKEN, 0.3)], 5),
+    ([matching.Strategy("edit", matching.EDIT, 1), matching.Strategy("own", matching.OWN, keys="split({t}, ' ')")], 4),
+])
+def test_many_texts_meet_a_large_dictionary_in_rounds(spark, monkeypatch, steps, rounds):
+    """With the hits they have at once; no round takes what an earlier strategy hit."""
+    rng = random.Random(11)
+    names = [random_name(rng, "abcde", 4) or "c" for _ in range(50)] + ["abcdefghijk lmnop qrstuv", "ab" * 25]
+    texts = sorted({("L", spoiled(rng, rng.choice(names), "abc")) for _ in range(150)} | {("L", ""), ("M", "a")})
+    ask = lambda: resolved(spark, {"L": [(n, []) for n in names]}, texts, strategies=steps, direct_limit=0, broadcast_rows=0)
+    at_once, purposes, stage = ask(), [], matching.staged
+
+    def watched(df, purpose, within=None):
+        purposes.append(purpose)
+        return stage(df, purpose, within)
+
+    monkeypatch.setattr(matching, "ROUND_TEXTS", 0)
+    monkeypatch.setattr(matching, "staged", watched)
+    assert ask() == at_once
+    assert purposes.count("round") == rounds and purposes.count("rest") == len(steps) - 1
+
+
 @pytest.mark.parametrize("broadcast_rows", [200_000, 0])
 def test_far_pairs_go_in_the_join_of_small_leagues(spark, broadcast_rows):
     """Before the cascade and the minimum, whose cost would be that of all pairs."""
